@@ -310,13 +310,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_byt
     return cut_spans(rows.drop("_doc", "_key", "text_key"), docs.schema)
 
 
-def cut_spans(rows: DataFrame, schema, word_bytes: bytes = WORD_BYTES) -> DataFrame:
+def cut_spans(rows: DataFrame, schema, word_bytes: bytes = WORD_BYTES, spans_of=lambda s: s) -> DataFrame:
     """rows (a table's columns and _spans) as that table, the spans cut out of text and n_chars counted anew."""
 
     def cut(batches):
         for batch in batches:
             pairs = zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)
-            texts = [cut_words(t, s, word_bytes) if s else t for t, s in pairs]
+            texts = [cut_words(t, spans_of(s), word_bytes) if s else t for t, s in pairs]
             named = {f.name: batch.column(f.name) for f in schema}
             named["text"] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_pydict(named)
