@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, packing, quality, sharding, simhash, substrings, toxicity, warc
+from . import decontaminate, embeddings, licenses, packing, quality, sharding, simhash, substrings, toxicity, warc
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
@@ -55,7 +59,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op3_substrings, op4_toxicity, op5_decontamination, op7_warc, op8_sharding, op9_simhash, op10_licenses)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_substrings, op4_toxicity, op5_decontamination, op6_embeddings, op7_warc, op8_sharding, op9_simhash, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
