@@ -304,18 +304,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_byt
     A null text stays null; a text without hits stays as it is.
     """
     found = find(docs, benchmark, window, shard_bytes, block_chars).where("size(spans) > 0")
-    spans = found.groupBy("doc_id", "text_key").agg(F.first("spans").alias("_spans"))
-    rows = docs.withColumn("_key", common.text_key())
-    rows = rows.join(spans.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("text_key")), "left")
-    return cut_spans(rows.drop("_doc", "_key", "text_key"), docs.schema)
+    spans = found.groupBy("doc_id", "text_key").agg(F.first("spans").alias("_loom_spans"))
+    spans = spans.withColumnsRenamed({"doc_id": "_loom_doc", "text_key": "_loom_text"})
+    rows = docs.withColumn("_loom_key", common.text_key())
+    rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_loom_doc")) & (F.col("_loom_key") == F.col("_loom_text")), "left")
+    return cut_spans(rows.drop("_loom_doc", "_loom_key", "_loom_text"), docs.schema)
 
 
 def cut_spans(rows: DataFrame, schema, word_bytes: bytes = WORD_BYTES, spans_of=lambda s: s) -> DataFrame:
-    """rows (a table's columns and _spans) as that table, the spans cut out of text and n_chars counted anew."""
+    """rows (a table's columns and _loom_spans) as that table, the spans cut out of text and n_chars counted anew."""
 
     def cut(batches):
         for batch in batches:
-            pairs = zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)
+            pairs = zip(batch.column("text").to_pylist(), batch.column("_loom_spans").to_pylist(), strict=True)
             texts = [cut_words(t, spans_of(s), word_bytes) if s else t for t, s in pairs]
             named = {f.name: batch.column(f.name) for f in schema}
             named["text"] = pa.array(texts, pa.string())

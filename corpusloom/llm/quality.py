@@ -150,15 +150,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, cost: fl
     return Model(scaled, offset, *logistic(margins, good[over], weight / weight.mean()))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs and quality_score; every whole text is scored, null and empty ones by the offset alone."""
+def score(docs: DataFrame, model: Model, column: str = "quality_score") -> DataFrame:
+    """docs and its scores; every whole text is scored, null and empty ones by the offset alone. A column of that name
+    is replaced."""
+    docs = docs.drop(column)
 
     def scores(batches):
         for batch in batches:
             made = pa.array([model.score(indicators(t)) for t in batch.column("text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, column])
 
-    schema = docs.select("*", F.lit(0.0).alias("quality_score")).schema
+    schema = docs.select("*", F.lit(0.0).alias(column)).schema
     return docs.mapInArrow(scores, schema)
 
 
@@ -177,4 +179,5 @@ def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = ACCEPT, **options) -> DataFrame:
     """The rows of docs whose score reaches the threshold, with docs' columns."""
-    return score(docs, fit(docs, labels, **options)).where(F.col("quality_score") >= threshold).drop("quality_score")
+    scored = score(docs, fit(docs, labels, **options), "_loom_score")
+    return scored.where(F.col("_loom_score") >= threshold).drop("_loom_score")

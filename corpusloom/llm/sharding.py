@@ -71,14 +71,14 @@ def report(docs: DataFrame, shards: int = SHARDS, **options) -> DataFrame:
 def write(docs: DataFrame, path: str, shards: int = SHARDS, **options) -> None:
     """The documents as Parquet, one folder a shard, rows in slot order within its files."""
     placed = interleave(docs, shards, **options).select(
-        F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("text_crc32").alias("_crc"), "shard", "slot"
+        F.col("doc_id").alias("_loom_doc"), F.col("source").alias("_loom_source"), F.col("text_crc32").alias("_loom_crc"), "shard", "slot"
     )
     # copies that agree in id, source and text take their places in turn
-    turn = Window.partitionBy("_doc", "_source", "_crc").orderBy("slot", "shard")
-    own = Window.partitionBy("doc_id", "source", "_own").orderBy("doc_id")
+    turn = Window.partitionBy("_loom_doc", "_loom_source", "_loom_crc").orderBy("slot", "shard")
+    own = Window.partitionBy("doc_id", "source", "_loom_own").orderBy("doc_id")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    rows = docs.withColumn("_own", crc).withColumn("_turn", F.row_number().over(own))
-    placed = placed.withColumn("_place", F.row_number().over(turn))
-    on = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_crc")) & (F.col("_turn") == F.col("_place"))
-    out = rows.join(placed, on).drop("_doc", "_source", "_crc", "_own", "_turn", "_place")
+    rows = docs.withColumn("_loom_own", crc).withColumn("_loom_turn", F.row_number().over(own))
+    placed = placed.withColumn("_loom_place", F.row_number().over(turn))
+    on = F.col("doc_id").eqNullSafe(F.col("_loom_doc")) & F.col("source").eqNullSafe(F.col("_loom_source")) & (F.col("_loom_own") == F.col("_loom_crc")) & (F.col("_loom_turn") == F.col("_loom_place"))
+    out = rows.join(placed, on).drop("_loom_doc", "_loom_source", "_loom_crc", "_loom_own", "_loom_turn", "_loom_place")
     out.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -195,9 +195,9 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     from copies and stay. All columns of docs are kept.
     """
     found = near_duplicates(docs, **options)
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_key").alias("_key"))
-    kept = kept.withColumnRenamed("doc_id", "_keep")
+    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_key").alias("_loom_key"))
+    kept = kept.withColumnRenamed("doc_id", "_loom_keep")
     named = docs.where("doc_id is not null").join(
-        kept, (F.col("doc_id") == F.col("_keep")) & (common.text_key() == F.col("_key")), "left_semi"
+        kept, (F.col("doc_id") == F.col("_loom_keep")) & (common.text_key() == F.col("_loom_key")), "left_semi"
     )
     return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

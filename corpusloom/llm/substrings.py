@@ -213,11 +213,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, mmer: int = MMER, buck
 
 
 def with_spans(docs: DataFrame, **options) -> DataFrame:
-    """docs and _spans: the list of its packed spans, null where it has none."""
-    found = repeated_spans(docs, **options).groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("_packed"))
-    found = found.withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
-    on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("_doc")) & (common.text_key() == F.col("_key"))
-    return docs.join(found, on, "left").drop("_doc", "_key")
+    """docs and _loom_packed: the list of its packed spans, null where it has none."""
+    found = repeated_spans(docs, **options).groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("_loom_packed"))
+    found = found.withColumnsRenamed({"doc_id": "_loom_doc", "text_key": "_loom_key"})
+    on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("_loom_doc")) & (common.text_key() == F.col("_loom_key"))
+    return docs.join(found, on, "left").drop("_loom_doc", "_loom_key")
 
 
 def covered(packed: list[bytes] | None, n: int) -> np.ndarray:
@@ -234,7 +234,7 @@ def covered(packed: list[bytes] | None, n: int) -> np.ndarray:
 def _report(batches):
     for batch in batches:
         total, gone, digests = [], [], []
-        for text, packed in zip(batch.column("text").to_pylist(), batch.column("_packed").to_pylist(), strict=True):
+        for text, packed in zip(batch.column("text").to_pylist(), batch.column("_loom_packed").to_pylist(), strict=True):
             words = words_of(text)
             drop = covered(packed, len(words))
             if drop.any():
@@ -272,4 +272,4 @@ def _merged(packed: list[bytes] | None) -> list[int]:
 
 def remove(docs: DataFrame, **options) -> DataFrame:
     """docs with those words cut from text (what stands between kept words stays) and n_chars counted anew where docs has it."""
-    return cut_spans(with_spans(docs, **options).withColumnRenamed("_packed", "_spans"), docs.schema, WORD_BYTES, _merged)
+    return cut_spans(with_spans(docs, **options).withColumnRenamed("_loom_packed", "_loom_spans"), docs.schema, WORD_BYTES, _merged)
