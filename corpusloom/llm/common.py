@@ -2,47 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..staging import stage, stage_dir, unstage  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage_dir(spark: SparkSession) -> str:
-    """The shared folder for staged tables: spark.checkpoint.dir, or /tmp/checkpoints in a local session without one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "/tmp/checkpoints"
-    return found.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: later stages start from files, not from lineage."""
-    path = f"{stage_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def unstage(df: DataFrame) -> None:
-    """Delete a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    root = stage_dir(spark)
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.split("://")[-1].lstrip(":/").startswith(root.split("://")[-1].lstrip(":/")) or root in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_key(text: str = "text") -> F.Column:
     """Tells rows apart that share a doc_id: rows that agree on both are copies and get the same result."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
