@@ -82,7 +82,7 @@ def sections(text: str) -> list[tuple[str, int, int, int]]:
             elif fence is None and not mark and (h := HEADING.match(line)):
                 found.append((f"{h[1]} {h[2] or ''}".rstrip(), len(h[1]), at))
         at += len(line) + 1
-    ends = [x[2] for x in found[1:]] + [len(text)]
+    ends = [x[2] for x in found[1:]] + [len(text)] * bool(found)
     return [(h, level, start, end) for (h, level, start), end in zip(found, ends, strict=True)]
 
 

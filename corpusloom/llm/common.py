@@ -26,10 +26,9 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     while len(a):
         la, lb = label[a], label[b]
         low = np.minimum(la, lb)
+        # only roots are hooked: a link to another root than the smallest stays for the next round
         np.minimum.at(label, la, low)
         np.minimum.at(label, lb, low)
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
         while True:
             up = label[label]
             if np.array_equal(up, label):
