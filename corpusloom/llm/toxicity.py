@@ -155,6 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: in
         return Model(Lexicon({}), constant=float(max(weights)) if weights else 0.5)
     part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(20))
     chosen = common.stage(chosen.withColumn("half", (part % 2).cast("int")).withColumn("fit", part < 14), "toxic-sample")
+    present = [r[0] for r in chosen.select("label").distinct().collect()]
+    if len(present) < 2:  # labelled documents of one class or none are in docs
+        return Model(Lexicon({}), constant=float(present[0]) if present else 0.5)
     lexicons = learn_lexicons(chosen)
     # a row's lexicon is learned on the other half
     rows = chosen.withColumn("lexicon", 1 - F.col("half"))
