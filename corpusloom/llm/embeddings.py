@@ -146,8 +146,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tile: int = TILE
     rows = common.stage(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), "vectors")
     good = rows.where(usable())
     group = good.groupBy("embedding").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"))
-    # a group is named by its smallest id, and one of null ids by a negative hash
-    group = common.stage(group.select(F.coalesce("low", -F.abs(F.xxhash64("embedding")) - 2).alias("rep"), "low", "copies", "embedding"), "vector-groups")
+    # ids may repeat, so a group has a number of its own; it is written once and read from then on
+    group = common.stage(group.select(F.monotonically_increasing_id().alias("rep"), "low", "copies", "embedding"), "vector-groups")
     links = counts = None
     for (dim,) in group.select(F.size("embedding")).distinct().collect():
         found = common.stage(_linked(group.where(F.size("embedding") == dim), dim, cosine, tile, cuts), "vector-links")

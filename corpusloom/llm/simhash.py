@@ -68,7 +68,7 @@ def cells(fps: DataFrame, groups: int = GROUPS, radius: int = RADIUS) -> DataFra
         F.struct(F.lit(i).alias("choice"), F.col("c").bitwiseAND(F.lit(_signed(sum(chosen)))).alias("cell"))
         for i, chosen in enumerate(combinations(group_masks(groups), groups - radius))
     ]
-    return fps.withColumn("c", counts).select("fp", "rep", F.explode(F.array(*keys)).alias("k")).select("k.choice", "k.cell", "fp", "rep")
+    return fps.withColumn("c", counts).select("fp", F.explode(F.array(*keys)).alias("k")).select("k.choice", "k.cell", "fp")
 
 
 def _pairs_of(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,10 +95,10 @@ def _pairs_of(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 def _cell_links(batches, radius: int, hot: int):
     """Rows come sorted by (choice, cell). Links inside each cell; members of cells above `hot` are passed on marked."""
 
-    def out(u, v, fp, is_hot):
-        return pd.DataFrame({"u": u, "v": v, "fp": fp, "hot": np.full(len(u), is_hot)})
+    def out(u, v, is_hot):
+        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64), "hot": np.full(len(u), is_hot)})
 
-    def links(fp, rep, starts, ends):
+    def links(fp, starts, ends):
         u, v = [], []
         size = ends - starts
         small = (size > 1) & (size <= 48)
@@ -107,15 +107,14 @@ def _cell_links(batches, radius: int, hot: int):
             n = e - s - shift
             at = np.repeat(s - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             near = at[np.bitwise_count(fp[at] ^ fp[at + shift]) <= radius]
-            u.append(rep[near])
-            v.append(rep[near + shift])
+            u.append(fp[near])
+            v.append(fp[near + shift])
         for s, e in zip(starts[size > 48], ends[size > 48], strict=True):
             i, j = _pairs_of(fp[s:e], radius)
-            u.append(rep[s:e][i])
-            v.append(rep[s:e][j])
+            u.append(fp[s:e][i])
+            v.append(fp[s:e][j])
         if u and sum(map(len, u)):
-            u, v = np.concatenate(u), np.concatenate(v)
-            yield out(u, v, np.zeros(len(u), np.int64), False)
+            yield out(np.concatenate(u), np.concatenate(v), False)
 
     held, overflow = None, None  # rows of the last cell so far; the key of a cell found to be hot
     for pdf in batches:
@@ -124,39 +123,38 @@ def _cell_links(batches, radius: int, hot: int):
         if held is not None:
             pdf = pd.concat([held, pdf], ignore_index=True)
         choice, cell = pdf["choice"].to_numpy(), pdf["cell"].to_numpy()
-        fp, rep = pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy()
+        fp = pdf["fp"].to_numpy().view(np.uint64)
         starts = np.concatenate([[0], np.flatnonzero((choice[1:] != choice[:-1]) | (cell[1:] != cell[:-1])) + 1])
         ends = np.concatenate([starts[1:], [len(pdf)]])
         if overflow is not None and overflow == (choice[0], cell[0]):
-            yield out(rep[: ends[0]], rep[: ends[0]], fp[: ends[0]].view(np.int64), True)
+            yield out(fp[: ends[0]], fp[: ends[0]], True)
             if len(starts) == 1:
                 held = None
                 continue
             starts, ends = starts[1:], ends[1:]
         overflow = None
         for s, e in zip(starts[ends - starts > hot], ends[ends - starts > hot], strict=True):
-            yield out(rep[s:e], rep[s:e], fp[s:e].view(np.int64), True)
+            yield out(fp[s:e], fp[s:e], True)
         last = starts[-1]
         if ends[-1] - last > hot:
             overflow, held = (choice[-1], cell[-1]), None
         else:
             held = pdf.iloc[last:]
         done = (ends - starts <= hot) & (starts != last)
-        yield from links(fp, rep, starts[done], ends[done])
+        yield from links(fp, starts[done], ends[done])
     if held is not None and len(held):
-        fp, rep = held["fp"].to_numpy().view(np.uint64), held["rep"].to_numpy()
-        yield from links(fp, rep, np.array([0]), np.array([len(held)]))
+        yield from links(held["fp"].to_numpy().view(np.uint64), np.array([0]), np.array([len(held)]))
 
 
 def _hot_links(hot: DataFrame, radius: int) -> DataFrame:
     """Links among fingerprints of hot cells: clear every choice of `radius` bits; what agrees then is linked, and a
     star to the smallest member connects it. Linear in the rows, no pairs."""
     masks = [_signed(~sum(1 << b for b in bits) & ((1 << 64) - 1)) for bits in combinations(range(64), radius)]
-    keyed = hot.select("fp", "rep", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("i", "m")).select(
-        "rep", "i", F.col("fp").bitwiseAND(F.col("m")).alias("x")
+    keyed = hot.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("i", "m")).select(
+        "fp", "i", F.col("fp").bitwiseAND(F.col("m")).alias("x")
     )
-    low = keyed.groupBy("i", "x").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return keyed.join(low, ["i", "x"]).where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
+    low = keyed.groupBy("i", "x").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keyed.join(low, ["i", "x"]).where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, groups: int = GROUPS, hot_cell: int = 4096) -> DataFrame:
@@ -171,20 +169,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, groups: int = GROUPS,
     component (a component of such rows only is null). Repeated rows give repeated rows; an empty table gives none.
     """
     fps = common.stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", common.text_key().alias("text_key")).mapInArrow(_fingerprints, "doc_id long, text_key long, fp long"), "simhash")
-    groups_of = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    named = groups_of.where(F.col("rep").isNotNull())
-    keyed = cells(named, groups, radius).repartition("choice", "cell").sortWithinPartitions("choice", "cell", "fp")
-    found = common.stage(
-        keyed.mapInPandas(lambda it: _cell_links(it, radius, hot_cell), "u long, v long, fp long, hot boolean"), "simhash-links"
-    )
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    keyed = cells(distinct.select("fp"), groups, radius).repartition("choice", "cell").sortWithinPartitions("choice", "cell", "fp")
+    found = common.stage(keyed.mapInPandas(lambda it: _cell_links(it, radius, hot_cell), "u long, v long, hot boolean"), "simhash-links")
     links = found.where("not hot").select("u", "v")
-    hot = found.where("hot").select("fp", F.col("u").alias("rep")).distinct()
+    hot = found.where("hot").select(F.col("u").alias("fp")).distinct()
     if not hot.isEmpty():
         links = links.unionByName(_hot_links(hot, radius))
     comps = common.components(links, "simhash-components")
-    labelled = groups_of.join(comps, F.col("rep") == F.col("node"), "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
-    )
+    # fingerprints are the nodes: an id that repeats with other texts joins nothing
+    labelled = distinct.join(comps, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp"))
+    low = labelled.groupBy("component").agg(F.min("low").alias("component_id"))
+    labelled = labelled.join(low, "component").select("fp", "component_id")
     return fps.join(labelled, "fp", "left").select("doc_id", "text_key", "fp", "component_id")
 
 

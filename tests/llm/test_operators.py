@@ -172,13 +172,13 @@ def test_simhash_clusters(spark):
             fps.add(b)
     fps = {i: f for i, f in enumerate(sorted(fps))}
     want = brute.components_of(fps)
-    table = spark.createDataFrame([(f, i) for i, f in fps.items()], "fp long, rep long")
+    table = spark.createDataFrame([(f,) for f in fps.values()], "fp long")
     keyed = simhash.cells(table).repartition("choice", "cell").sortWithinPartitions("choice", "cell", "fp")
-    links = keyed.mapInPandas(lambda it: simhash._cell_links(it, 2, 5000), "u long, v long, fp long, hot boolean").select("u", "v")
-    comp = {r["node"]: r["component"] for r in common.components(links).collect()}
-    assert {i: comp.get(i, i) for i in fps} == want
-    hot = {r["node"]: r["component"] for r in common.components(simhash._hot_links(table, 2)).collect()}
-    assert {i: hot.get(i, i) for i in fps} == want
+    number = {f: i for i, f in fps.items()}  # numbered in their order
+    links = keyed.mapInPandas(lambda it: simhash._cell_links(it, 2, 5000), "u long, v long, hot boolean").select("u", "v")
+    for found in (links, simhash._hot_links(table, 2)):
+        comp = {number[r["node"]]: number[r["component"]] for r in common.components(found).collect()}
+        assert {i: comp.get(i, i) for i in fps} == want
 
 
 def test_components_chain(spark):
