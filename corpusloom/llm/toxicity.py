@@ -63,7 +63,10 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     n = len(lower)
     strong = [i for i, o in enumerate(odds) if o >= 2.0 or lower[i] in INSULTS]
     fixed = sum(w in INSULTS for w in lower)
-    near = sum(any(w in SECOND for w in lower[max(0, i - 4) : i + 5]) for i in strong[:2000])
+    near = 0
+    if strong:  # second-person words at most four away, from running counts
+        upto, at = np.cumsum([0, *(w in SECOND for w in lower)]), np.array(strong)
+        near = int((upto[np.minimum(at + 5, n)] > upto[np.maximum(at - 4, 0)]).sum())
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     kinds = np.bincount(raw, minlength=256)
     letters = max(1, sum(map(len, words)))

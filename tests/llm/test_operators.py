@@ -293,6 +293,15 @@ def test_toxicity(labelled, nothing):
     assert {r["score"] for r in toxicity.report(docs, labels.where("toxic = 1")).collect()} == {1.0}
 
 
+def test_toxicity_features_cover_long_texts():
+    lexicon, at = toxicity.Lexicon({}), toxicity.NAMES.index("second")
+    for n in (1, 3, 3000):
+        words = ["idiot", "a", "b", "c", "you", "x", "x", "x", "x", "x"] * n + ["idiot"]
+        near = sum(any(w in toxicity.SECOND for w in words[max(0, i - 4) : i + 5]) for i, w in enumerate(words) if w == "idiot")
+        assert near == n and toxicity.features(" ".join(words), lexicon)[at] == near / len(words)
+    assert toxicity.features("nothing here", lexicon)[at] == 0 and toxicity.features(None, lexicon) == [0.0] * len(toxicity.NAMES)
+
+
 def test_warc(spark, tmp_path):
     html = '<html><head><title>A &amp; B</title><script>var t="</p>";</script><!-- x --></head><body><p>One<br>two <b>bold</b>&nbsp;&lt;3</p><a href="/x">link</a></body></html>'
     pages = spark.createDataFrame([(1, "http://a/1", html), (2, None, None), (3, "http://a/3", ""), (1, "http://a/1", html), (None, "u", "plain < 3 text")], "page_id long, url string, html string").withColumn("block", F.lit("x"))
