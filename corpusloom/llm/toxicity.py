@@ -28,7 +28,8 @@ INSULTS = frozenset(
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton vous votre tú ti usted vosotros".split())
 STANDS_FOR = str.maketrans("0134578@$!|*", "oieastbasii ", "._-")
 WORD = re.compile(r"[^\W\d_]+")
-MASKED = re.compile(r"\S*[^\W\d_][0-9@$!|*._-]+[^\W\d_]\S*")
+#: Signs between two letters mark a token as masked. No backtracking: the signs are no letters, so linear in any text.
+MASK = re.compile(r"[^\W\d_][0-9@$!|*._-]++[^\W\d_]")
 NAMES = ("fixed", "learned", "strong", "kinds", "peak", "second", "capitals", "shouted", "punctuation", "obfuscated", "masked_hits", "log_words")
 
 
@@ -52,31 +53,40 @@ class Lexicon:
         return found
 
 
+def masked_tokens(text: str) -> list[str]:
+    """Tokens between white space with signs inside a word, in order."""
+    return [t for t in text.split() if MASK.search(t)] if MASK.search(text) else []
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """The dense features of a whole text, all rates but the last; all 0 for null and empty texts."""
     text = text or ""
     words = WORD.findall(text)
     if not words:
         return [0.0] * len(NAMES)
-    lower = WORD.findall(text.lower())
-    odds = [lexicon.score(w) for w in lower]
+    # in ASCII text the words of the lower-cased text are the lower-cased words
+    lower = " ".join(words).lower().split(" ") if text.isascii() else WORD.findall(text.lower())
+    counts = Counter(lower)
+    known = {w: lexicon.score(w) for w in counts}
+    odds = [known[w] for w in lower]
     n = len(lower)
-    strong = [i for i, o in enumerate(odds) if o >= 2.0 or lower[i] in INSULTS]
-    fixed = sum(w in INSULTS for w in lower)
+    hot = {w for w, o in known.items() if o >= 2.0 or w in INSULTS}
+    strong = [i for i, w in enumerate(lower) if w in hot] if hot else []
+    fixed = sum(counts[w] for w in hot if w in INSULTS)
     near = 0
     if strong:  # second-person words at most four away, from running counts
-        upto, at = np.cumsum([0, *(w in SECOND for w in lower)]), np.array(strong)
+        upto, at = np.cumsum([0, *map(SECOND.__contains__, lower)]), np.array(strong)
         near = int((upto[np.minimum(at + 5, n)] > upto[np.maximum(at - 4, 0)]).sum())
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     kinds = np.bincount(raw, minlength=256)
     letters = max(1, sum(map(len, words)))
-    masked = MASKED.findall(text)
+    masked = masked_tokens(text)
     hits = sum(any(w in INSULTS or lexicon.score(w) >= 2.0 for w in WORD.findall(m.lower().translate(STANDS_FOR))) for m in masked)
     return [
         fixed / n,
         sum(odds) / n,
         len(strong) / n,
-        math.log1p(len({lower[i] for i in strong})),
+        math.log1p(len(hot)),
         max(odds),
         near / n,
         kinds[65:91].sum() / letters,

@@ -1,5 +1,6 @@
 """Every operator against its brute-force version on small tables with nulls, empty and long texts, ties and repeated rows."""
 
+import re
 import zlib
 from collections import Counter
 
@@ -302,6 +303,16 @@ def test_toxicity_features_cover_long_texts():
     assert toxicity.features("nothing here", lexicon)[at] == 0 and toxicity.features(None, lexicon) == [0.0] * len(toxicity.NAMES)
 
 
+def test_toxicity_masked_tokens():
+    text = "an id.iot, st00pid\u00a0f*ck a..b 3d x_y --a-- 1a1 \u00e9!\u00e9 tail"
+    slow = [t for t in text.split() if re.search(r"[^\W\d_][0-9@$!|*._-]+[^\W\d_]", t)]
+    assert toxicity.masked_tokens(text) == slow and len(slow) == 6
+    lexicon = toxicity.Lexicon({})
+    for long in ("a." * 200_000, "a" + "." * 400_000, "x" * 400_000):  # one token: linear time
+        made = dict(zip(toxicity.NAMES, toxicity.features(long, lexicon), strict=True))
+        assert made["obfuscated"] == len(toxicity.masked_tokens(long)) / len(toxicity.WORD.findall(long))
+
+
 def test_warc(spark, tmp_path):
     html = '<html><head><title>A &amp; B</title><script>var t="</p>";</script><!-- x --></head><body><p>One<br>two <b>bold</b>&nbsp;&lt;3</p><a href="/x">link</a></body></html>'
     pages = spark.createDataFrame([(1, "http://a/1", html), (2, None, None), (3, "http://a/3", ""), (1, "http://a/1", html), (None, "u", "plain < 3 text")], "page_id long, url string, html string").withColumn("block", F.lit("x"))
