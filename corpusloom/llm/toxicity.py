@@ -115,6 +115,7 @@ def learn_lexicons(chosen: DataFrame, entries: int = ENTRIES) -> list[Lexicon]:
     """A lexicon from each half of the sample, and one from both."""
     sizes = {(r[0], r[1]): r[2] for r in chosen.groupBy("half", "label").count().collect()}
     counts = chosen.mapInArrow(_count, "key string, n0 long, t0 long, n1 long, t1 long").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n0", "t0", "n1", "t1")))
+    counts = common.stage(counts, "toxic-counts")  # three lexicons read it
     out = []
     for halves in ((0,), (1,), (0, 1)):
         toxic, clean = (sum(sizes.get((h, label), 0) for h in halves) for label in (1, 0))
