@@ -20,6 +20,17 @@ def text_key(text: str = "text") -> F.Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs without near duplicates, where found has doc_id, text_key, component_id of every row: of each component the
+    row with the smallest doc_id, and of its texts the one with the smallest key; rows with a null doc_id stay."""
+    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_key").alias("_loom_key"))
+    kept = kept.withColumnRenamed("doc_id", "_loom_keep")
+    named = docs.where("doc_id is not null").join(
+        kept, (F.col("doc_id") == F.col("_loom_keep")) & (text_key() == F.col("_loom_key")), "left_semi"
+    )
+    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+
+
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest reachable index for each of n nodes under the links a[i]-b[i]."""
     label = np.arange(n)

@@ -190,10 +190,4 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     Where that doc_id repeats, the text with the smallest key stays, once. Rows with a null doc_id can't be told apart
     from copies and stay. All columns of docs are kept.
     """
-    found = near_duplicates(docs, **options)
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_key").alias("_loom_key"))
-    kept = kept.withColumnRenamed("doc_id", "_loom_keep")
-    named = docs.where("doc_id is not null").join(
-        kept, (F.col("doc_id") == F.col("_loom_keep")) & (common.text_key() == F.col("_loom_key")), "left_semi"
-    )
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    return common.keep_first(docs, near_duplicates(docs, **options))

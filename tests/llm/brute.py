@@ -105,3 +105,16 @@ def cosines(vectors, threshold=0.95):
 
 def crc(text):
     return zlib.crc32((text or "").encode())
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard_components(texts):
+    """Component of each key of texts: five-word shingles, Jaccard 0.8 or more."""
+    sets = {k: shingles(t) for k, t in texts.items()}
+    ids = list(sets)
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return union(ids, pairs)
