@@ -1,5 +1,5 @@
-"""Licence scans: a positional index of licence templates, looked up by each file's rarest licence words, with
-DataFrame functions only."""
+"""Licence scans: a positional index of licence templates, looked up by the rarest words of each template that stand
+in a file, with DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -40,7 +40,7 @@ TEMPLATES = {
         "mozilla public license",
     ),
 }
-#: Rarest licence words looked up in each file, and the share of a template's looked-up words that must line up.
+#: Rarest words looked up of each template in a file, and the share of a template's looked-up words that must line up.
 RAREST, AGREE = 6, 0.5
 #: What parts words, as a Java pattern over the text with A-Z lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -108,8 +108,8 @@ def _starts(phrase: str) -> Column:
 def scan(docs: DataFrame, rarest: int = RAREST, agree: float = AGREE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row of docs.
 
-    The `rarest` licence words of a file with the highest IDF (over all rows of docs) are looked up in the templates'
-    postings. Where file position less template position is the same for at least `agree` of the template's looked-up
+    Of each template one of whose key phrases stands in the file, the `rarest` words with the highest IDF (over all rows
+    of docs) that stand there are looked up in its postings, however many templates a file has. Where file position less template position is the same for at least `agree` of the template's looked-up
     words, and for two at least, and one of the template's key phrases stands in the file, the template's label is
     added to those of the base phrases. score is the largest such share, and one half at least where a base phrase
     stands.
@@ -118,7 +118,6 @@ def scan(docs: DataFrame, rarest: int = RAREST, agree: float = AGREE) -> DataFra
     """
     seen = {r["word"]: r["df"] for r in word_frequencies(docs).collect()}  # a row a licence word: some 120
     ranked = sorted(vocabulary(), key=lambda w: (seen.get(w, 0), w))  # highest IDF first
-    rank = F.create_map(*[x for i, w in enumerate(ranked) for x in (F.lit(w), F.lit(i))])
 
     keys = [k for _, phrases in TEMPLATES.values() for k in phrases.split("|")]
     anchors = sorted({max(p.split(), key=len) for p in [*PHRASES, *keys]})
@@ -131,13 +130,18 @@ def scan(docs: DataFrame, rarest: int = RAREST, agree: float = AGREE) -> DataFra
     )
     spaced = F.when(F.col("near"), F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))).otherwise("")
     rows = rows.withColumn("spaced", spaced)
-    verified = [F.when(_any([_stands(p) for p in phrases.split("|")]), F.lit(name)) for name, (_, phrases) in TEMPLATES.items()]
+    rows = rows.withColumn("known", F.when(F.col("near"), F.array_intersect("w", F.array(*map(F.lit, vocabulary())))))
+
+    def standing(template):  # its words in the file, rarest first
+        inside = F.array(*(F.lit(w) for w in ranked if w in template.split()))
+        return F.slice(F.filter(inside, lambda x: F.array_contains(F.col("known"), x)), 1, rarest)
+
+    verified = [
+        F.when(_any([_stands(p) for p in phrases.split("|")]), F.struct(F.lit(name).alias("name"), standing(template).alias("words")))
+        for name, (template, phrases) in TEMPLATES.items()
+    ]
     rows = rows.withColumn("verified", F.when(F.col("near"), F.array_compact(F.array(*verified))))
-    known = F.array_intersect("w", F.array(*map(F.lit, vocabulary())))
-    rarest_words = F.transform(
-        F.slice(F.array_sort(F.transform(known, lambda x: F.struct(F.element_at(rank, x).alias("r"), x.alias("x")))), 1, rarest), lambda s: s["x"]
-    )
-    rows = rows.withColumn("rare", F.when(F.size("verified") > 0, rarest_words))
+    rows = rows.withColumn("rare", F.array_distinct(F.flatten("verified.words")))
     places = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("at"), x.alias("word"))), lambda s: F.array_contains(F.col("rare"), s["word"]))
     base = F.concat(*(_starts(p) for p in PHRASES))
     rows = rows.select(
@@ -147,14 +151,15 @@ def scan(docs: DataFrame, rarest: int = RAREST, agree: float = AGREE) -> DataFra
         F.when(F.col("near"), base).otherwise(F.array().cast("array<int>")).alias("base"),
         F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(_stands(p), F.lit(label)) for p, label in PHRASES.items()))))).alias("base_labels"),
         "verified",
-        "rare",
         F.when(F.size("rare") > 0, places).alias("places"),
     )
     rows = common.stage(rows, "licences")
 
-    looked = rows.where(F.size("places") > 0).select("doc_id", "text_key", "verified", "rare", F.inline("places"))
+    looked = rows.where(F.size("places") > 0).select("doc_id", "text_key", "verified", F.inline("places"))
     index = template_index(docs.sparkSession)
-    votes = looked.join(F.broadcast(index), "word").where(F.array_contains("verified", F.col("template")))
+    votes = looked.join(F.broadcast(index), "word")
+    votes = votes.withColumn("rare", F.get(F.filter("verified", lambda v: v["name"] == F.col("template")), F.lit(0))["words"])
+    votes = votes.where(F.array_contains("rare", F.col("word")))
     expected = F.size(F.filter("template_words", lambda x: F.array_contains(F.col("rare"), x)))
     votes = votes.groupBy("doc_id", "text_key", "template", "label", (F.col("at") - F.col("place")).alias("offset"), expected.alias("expected")).agg(
         F.count_distinct("place").alias("lined_up")
