@@ -123,13 +123,15 @@ def write_documents(documents: DataFrame, root: str) -> int:
 
     def write(batches):
         import os
+        from itertools import count
+
         import pandas as pd
 
         for pdf in batches:
             for r in pdf.itertuples():
                 os.makedirs(os.path.dirname(r.path), exist_ok=True)
                 stem, end = r.path.removesuffix(".md"), ".md"
-                for n in range(11):
+                for n in count():  # until a name is free
                     name = stem + (f" {n}" if n else "") + end
                     try:
                         with open(name, "x", encoding="utf-8") as f:
