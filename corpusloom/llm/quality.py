@@ -1,7 +1,9 @@
-"""Quality classifier: naive Bayes support vectors over n-gram indicators of the text's shape."""
+"""Quality classifier: naive Bayes support vectors over word and character n-gram indicators."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,12 +11,20 @@ from pyspark.sql import functions as F
 
 from . import labelled
 
-#: Hashed n-gram space, longest n-gram, labelled rows a class to fit on, score from which a text is accepted.
-BITS, LONGEST, PER_CLASS, ACCEPT = 14, 4, 10_000, 0.7
+#: Hashed n-gram space, bytes of a character n-gram, labelled rows a class to fit on, score from which a text is accepted.
+BITS, LETTERS, PER_CLASS, ACCEPT = 17, 3, 4_000, 0.7
 #: Rows kept for training: crc32 of the id modulo 4 isn't 2.
 MODULUS, HELD_OUT = 4, 2
-#: Shares of adjacent equal words from which a text has each repetition indicator.
+#: Words are runs of letters, digits and underscores; every other sign that isn't white space is a word of its own.
+WORD = re.compile(r"\w+|[^\w\s]")
+#: Longest n-gram of the shape: the text with each run of small or non-ASCII letters, capitals or digits as one letter.
+SHAPES = 4
+#: Shares of neighbouring equal words from which a text has each indicator of repetition.
 REPEATS = (0.02, 0.1, 0.3)
+#: Fitted rows that must have an n-gram for it to weigh anything.
+LEAST = 3
+#: Characters of a text that are held as words at a time.
+PIECE = 1 << 20
 
 
 def _classes() -> np.ndarray:
@@ -29,31 +39,46 @@ def _classes() -> np.ndarray:
 CLASSES = _classes()
 
 
+def _pieces(text: str):
+    """The text in pieces of at most PIECE characters, cut at white space where there is any."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            end = max(text.rfind(" ", at + PIECE // 2, end), text.rfind("\n", at + PIECE // 2, end)) + 1 or end
+        yield text[at:end]
+        at = end
+
+
 def indicators(text: str | None) -> np.ndarray:
-    """Sorted hashed n-grams (1 to LONGEST) of the whole text's shape, and its repetition indicators.
+    """Sorted slots of the whole text's distinct n-grams: words and pairs of neighbouring words (lower-cased, a sign is a
+    word), runs of LETTERS bytes as they stand, runs of up to SHAPES signs of the shape, and indicators of repetition.
+    Null and empty texts have none."""
+    from xxhash import xxh32_intdigest
 
-    The shape has one letter for each run of letters or digits of a kind, and every other byte. Empty texts have none.
-    """
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     found = np.zeros(1 << BITS, bool)
-    if not len(raw):
-        return np.flatnonzero(found)
-    for start in range(0, len(raw), 1 << 22):  # long texts in pieces that overlap by more than an n-gram
-        shape = CLASSES[raw[max(0, start - 64) : start + (1 << 22)]]
+    shift, last, pairs, same = np.uint32(32 - BITS), None, 0, 0
+    for piece in _pieces(text or ""):
+        words = [w.encode("utf-8", "surrogatepass") for w in WORD.findall(piece.lower())]
+        if words:
+            ids = np.fromiter(map(xxh32_intdigest, words), np.uint32, len(words))
+            found[ids >> shift] = True
+            chain = ids if last is None else np.concatenate([[last], ids])
+            found[((chain[:-1] * np.uint32(0x9E3779B1)) ^ (chain[1:] * np.uint32(0x85EBCA77))) >> shift] = True
+            pairs, same, last = pairs + len(chain) - 1, same + int((chain[1:] == chain[:-1]).sum()), ids[-1]
+        raw = np.frombuffer(piece.encode("utf-8", "surrogatepass"), np.uint8)
+        shape = CLASSES[raw]
         shape = shape[np.concatenate([[True], (shape[1:] != shape[:-1]) | (shape[1:] > 3)])]
-        for n in range(1, LONGEST + 1):
-            if len(shape) < n:
-                break
-            grams = np.full(len(shape) - n + 1, n * 7919, np.uint32)
-            for i in range(n):
-                grams = (grams + shape[i : len(shape) - n + 1 + i]) * np.uint32(0x9E3779B1)
-                grams ^= grams >> np.uint32(15)
-            found[len(REPEATS) + grams % np.uint32((1 << BITS) - len(REPEATS))] = True
-    words = (text or "").split()
-    if len(words) > 1:
-        same = sum(map(str.__eq__, words, words[1:])) / (len(words) - 1)
-        found[: len(REPEATS)] = [same > share for share in REPEATS]
-    return np.flatnonzero(found)
+        for n, units, salt in [(LETTERS, raw.astype(np.uint32), 1), *((n, shape, n * 7919) for n in range(1, SHAPES + 1))]:
+            if len(units) >= n:
+                grams = np.full(len(units) - n + 1, salt, np.uint32)
+                for i in range(n):
+                    grams = (grams + units[i : len(units) - n + 1 + i]) * np.uint32(0x9E3779B1)
+                    grams ^= grams >> np.uint32(15)
+                found[(grams * np.uint32(0xC2B2AE3D)) >> shift] = True
+    if pairs:
+        found[: len(REPEATS)] |= np.array([same > share * pairs for share in REPEATS])
+    return np.flatnonzero(found).astype(np.uint32)
 
 
 class Model:
@@ -68,11 +93,12 @@ class Model:
 
 
 def log_count_ratios(rows: list[np.ndarray], good: np.ndarray) -> np.ndarray:
-    """Class log-count ratio of each indicator, smoothed by one row."""
+    """Class log-count ratio of each indicator, smoothed by one row; 0 for those that fewer than LEAST rows have."""
     up, down = np.ones(1 << BITS), np.ones(1 << BITS)
     for found, y in zip(rows, good, strict=True):
         (up if y else down)[found] += 1
-    return np.log((up / (1 + good.sum())) / (down / (1 + len(good) - good.sum())))
+    ratio = np.log((up / (1 + good.sum())) / (down / (1 + len(good) - good.sum())))
+    return np.where(up + down >= LEAST + 2, ratio, 0.0)
 
 
 def hinge(rows: list[np.ndarray], good: np.ndarray, ratio: np.ndarray, cost: float, rounds: int = 10, seed: int = 0) -> tuple[np.ndarray, float]:
@@ -114,7 +140,22 @@ def logistic(margins: np.ndarray, good: np.ndarray, weight: np.ndarray) -> tuple
     return max(float(a), 1e-3), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, cost: float = 0.05) -> Model:
+def _packed(slots: np.ndarray) -> bytes:
+    """Slots as a bitmap, or one by one where that is shorter."""
+    if 4 * len(slots) < (1 << BITS) // 8:
+        return slots.tobytes()
+    full = np.zeros(1 << BITS, bool)
+    full[slots] = True
+    return np.packbits(full).tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    if len(packed) < (1 << BITS) // 8:
+        return np.frombuffer(packed, np.uint32)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, cost: float = 0.01) -> Model:
     """Fit on at most `per_class` labelled training rows of each class; one in five sets the logistic scale.
 
     Without labels every score is 0.5; with labels of one class only, every score is near that class.
@@ -122,19 +163,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, cost: fl
 
     def found(batches):
         for batch in batches:
-            bits = []
-            for text in batch.column("text").to_pylist():
-                full = np.zeros(1 << BITS, bool)
-                full[indicators(text)] = True
-                bits.append(np.packbits(full).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(bits)], ["doc_id", "label", "bits"])
+            made = [indicators(t) for t in batch.column("text").to_pylist()]
+            packed = [_packed(x) for x in made]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(packed, pa.binary())], ["doc_id", "label", "slots"])
 
     chosen, weights = labelled.sample(docs, labels, "quality", MODULUS, HELD_OUT, per_class)
-    # 2 * per_class rows of 2^BITS bits at most: 40 MB
-    got = chosen.mapInArrow(found, "doc_id long, label int, bits binary").orderBy("doc_id", "label", "bits").collect()
+    # 2 * per_class rows of 2^BITS / 8 bytes at most: 131 MB, and 2 KB or so for a usual text
+    got = chosen.mapInArrow(found, "doc_id long, label int, slots binary").orderBy("doc_id", "label", "slots").collect()
     if not got:
         return Model(np.zeros(1 << BITS), 0.0, 1.0, 0.0)
-    rows = [np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8))) for r in got]
+    rows = [_unpacked(r["slots"]) for r in got]
     good = np.array([r["label"] == 1 for r in got])
     if good.all() or not good.any():
         return Model(np.zeros(1 << BITS), 4.0 if good.all() else -4.0, 1.0, 0.0)
@@ -166,7 +204,8 @@ def score(docs: DataFrame, model: Model, column: str = "quality_score") -> DataF
 
 def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs (null ids: held_out is null). Labels, lang, source and
-    doc_id are no inputs of a score. Repeated rows are scored each; an empty table gives no rows."""
+    doc_id are no inputs of a score. Repeated rows are scored each; an empty table gives no rows. Null and empty texts
+    score by the offset alone, very long ones whole, a piece at a time; a score of exactly 0.7 is accepted."""
     model = fit(docs, labels, **options)
     scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
     return scored.select(
