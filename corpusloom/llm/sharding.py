@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Shards, seed of the shuffle.
-SHARDS, SEED = 16, 42
+#: Shards, seed of the shuffle, hash cells of a source (a power of two). Cells are stretches of the hash's own order, so
+#: their number splits the work and never moves a row.
+SHARDS, SEED, CELLS = 16, 42, 4096
 
 
 def _ranked(rows: DataFrame, keys: list[str], cell: str, order: list, out: str) -> DataFrame:
@@ -28,28 +29,31 @@ def _ranked(rows: DataFrame, keys: list[str], cell: str, order: list, out: str)
     return joined.withColumn(out, F.col("_before") + F.col("_inside") - 1).drop("_before", "_inside", *(f"_{k}" for k in [*keys, cell]))
 
 
-def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, source: str = "source", cells: int | None = None) -> DataFrame:
+def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, source: str = "source", cells: int = CELLS) -> DataFrame:
     """doc_id, source, size, text_crc32, shard, slot of every row of docs (doc_id, text, source): law `rows`.
 
-    Rows of a source are shuffled by a seeded hash of their id and ranked from 0; (rank + 1/2) / rows of the source is
-    their fractional rank. All rows are ordered by it and cut into `shards` runs whose counts differ by one at most, so
-    each shard holds each source in proportion, and so does every stretch of a shard. slot counts from 0 in a shard.
-    No text is shuffled. Ranks come from pre-aggregated counts of `cells` hash cells a source and of `cells` equal
-    stretches of the fractional rank, so no source and no task meets more than a cell's rows in one place.
-    Null text: size 1, crc of nothing. A null source is a source of its own; null and repeated ids are kept, rows that
-    agree in id, size and checksum are interchangeable. An empty table gives no rows; other columns are ignored.
+    Rows of a source are shuffled by a seeded hash of their id, checksum and size and ranked from 0; (rank + 1/2) / rows
+    of the source is their fractional rank. All rows are ordered by it and cut into `shards` runs whose counts differ by
+    one at most, so each shard holds each source in proportion, and so does every stretch of a shard. slot counts from 0
+    in a shard. Seed and rows alone decide the places: no setting of the session, no number of tasks or cells.
+    No text is shuffled. Ranks come from pre-aggregated counts of `cells` stretches of a source's hashes and of `cells`
+    equal stretches of the fractional rank, so no source and no task meets more than a cell's rows in one place.
+    Null text: size 1, crc of nothing; empty text the same. Very long texts only cost their size and checksum. A null
+    source is a source of its own; null and repeated ids are kept, rows that agree in id, size and checksum are
+    interchangeable. Equal fractional ranks are ordered by source. An empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    cells = cells or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if cells & (cells - 1) or not 0 < cells <= 1 << 30:
+        raise ValueError("cells must be a power of two")
     raw = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col(source).alias("source"),
         (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw.cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.lit(seed), F.col("doc_id")).alias("shuffle"),
     )
-    rows = rows.withColumn("hash_cell", F.pmod(F.shiftright("shuffle", 20), F.lit(cells)))
+    rows = rows.withColumn("shuffle", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"))
+    # the hash's leading bits, sign included: in the order of the hash itself
+    rows = rows.withColumn("hash_cell", F.floor(F.shiftright("shuffle", 32) / F.lit((1 << 32) // cells)))
     tie = ["shuffle", "doc_id", "text_crc32", "size"]
     ranked = _ranked(rows, ["source"], "hash_cell", tie, "rank")
     ranked = ranked.withColumn("fraction", (F.col("rank") + 0.5) / F.col("rank_total"))
@@ -69,7 +73,9 @@ def report(docs: DataFrame, shards: int = SHARDS, **options) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, shards: int = SHARDS, **options) -> None:
-    """The documents as Parquet, one folder a shard, rows in slot order within its files."""
+    """The documents as Parquet, one folder a shard, rows in slot order within its files. Columns of docs named shard or
+    slot give way to these."""
+    docs = docs.drop("shard", "slot")
     placed = interleave(docs, shards, **options).select(
         F.col("doc_id").alias("_loom_doc"), F.col("source").alias("_loom_source"), F.col("text_crc32").alias("_loom_crc"), "shard", "slot"
     )
