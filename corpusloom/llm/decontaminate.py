@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,20 +22,20 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """Distinct windows of a block of benchmark items, their words numbered from 2 (0: end of a shard, 1: separator)."""
+    """Distinct windows of a block of benchmark items, by length, and the items that own them."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
-        self.ids: dict[bytes, int] = {}
+        ids: dict[bytes, int] = {}
         owners: dict[tuple, set] = {}
         for item, text in items:
-            words = [self.ids.setdefault(w, len(self.ids) + 2) for w in words_of(text)]
+            words = [ids.setdefault(w, len(ids)) for w in words_of(text)]
             for at in range(max(1, len(words) - window + 1) if words else 0):
                 owners.setdefault(tuple(words[at : at + window]), set()).add(item)
+        self.words = list(ids)
         self.by_length: dict[int, tuple[np.ndarray, list]] = {}
         for n in sorted({len(w) for w in owners}):
             chosen = [w for w in owners if len(w) == n]
             self.by_length[n] = np.array(chosen, dtype=np.int64), [sorted(owners[w]) for w in chosen]
-        self.shortest = min(self.by_length, default=0)
 
 
 class FMIndex:
@@ -64,7 +62,7 @@ class FMIndex:
         for level in self.levels:
             self.base = self._down(level, all_symbols, self.base)
         sampled = order % sample == 0
-        self.bwt, self.sampled, self.at = bwt, sampled, np.cumsum(sampled) - 1
+        self.bwt, self.sampled, self.at = bwt.astype(np.int32), sampled, np.cumsum(sampled) - 1
         self.positions = order[sampled]
 
     @staticmethod
@@ -106,11 +104,19 @@ class FMIndex:
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Order of the suffixes, by doubling the compared prefix; suffixes that are told apart drop out."""
     n = len(text)
-    order = np.argsort(text, kind="stable")
+    bits = max(1, int(text.max()).bit_length()) if n else 1
+    width = max(1, 62 // bits)  # as many symbols as fit into one key are compared at once
+    width = min(width, 4)
+    key = np.zeros(n, np.int64)
+    for k in range(width):
+        key <<= bits
+        key[: max(0, n - k)] |= text[k:]
+    order = np.argsort(key, kind="stable")
     rank = np.empty(n, np.int64)
-    fresh = np.concatenate([[True], text[order][1:] != text[order][:-1]])
+    lead = key[order]
+    # a suffix shorter than `width` ends with the only 0, so no other has its key
+    fresh = np.concatenate([[True], lead[1:] != lead[:-1]])[:n]
     rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    width = 1
     while True:
         lead = rank[order]
         tied = np.concatenate([[False], lead[1:] == lead[:-1]])
@@ -129,81 +135,159 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         width *= 2
 
 
-def search_shard(texts: list[str | None], phrases: Phrases) -> tuple[np.ndarray, list, list]:
-    """For each text of a shard: its word count, its hit word spans (merged, flat start and end), its items."""
-    ids, lengths = [], np.zeros(len(texts), np.int64)
-    get = phrases.ids.get
-    for i, text in enumerate(texts):
-        words = words_of(text)
-        lengths[i] = len(words)
-        ids.append(np.fromiter(map(get, words, repeat(1)), np.int64, len(words)))
-    spans, items = [[] for _ in texts], [set() for _ in texts]
-    if not phrases.by_length or not lengths.any():
-        return lengths, spans, items
-    # words that no phrase has can't be inside a hit: stretches of phrase words too short for any window go, and one
-    # separator stands between the others
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)])
-    flat = np.ones(starts[-1] + 1, np.int64)
-    for i, part in enumerate(ids):
-        flat[starts[i] : starts[i] + len(part)] = part
-    known = np.concatenate([[False], flat > 1, [False]])
-    edges = np.flatnonzero(known[1:] != known[:-1])
-    begin, end = edges[::2], edges[1::2]
-    long = end - begin >= phrases.shortest
-    begin, end = begin[long], end[long]
-    if not len(begin):
-        return lengths, spans, items
-    size = end - begin + 1
-    source = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    text = flat[source]  # flat[end] is a separator
-    text[-1] = 0
-    index = FMIndex(text, len(phrases.ids) + 1)
-    hits_from, hits_to = [], []
-    for n, (patterns, owners) in phrases.by_length.items():
-        low, high = index.search(patterns)
-        found = np.flatnonzero(low < high)
-        if not len(found):
-            continue
-        count = high[found] - low[found]
-        rows = np.repeat(low[found] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        which = np.repeat(found, count)
-        at = source[index.locate(rows)]
-        doc = np.searchsorted(starts, at, side="right") - 1
-        hits_from.append(at)
-        hits_to.append(at + n)
-        for pair in np.unique(np.stack([doc, which], axis=1), axis=0):
-            items[pair[0]].update(owners[pair[1]])
-    if hits_from:
-        a, b = np.concatenate(hits_from), np.concatenate(hits_to)
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], np.maximum.accumulate(b[order])
-        new = np.concatenate([[True], a[1:] > b[:-1]])
-        first, last = a[new], b[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(b) - 1]])]
-        doc = np.searchsorted(starts, first, side="right") - 1
-        for i, s, e in zip(doc, first - starts[doc], last - starts[doc], strict=True):
-            spans[i] += [int(s), int(e)]
-    return lengths, spans, items
-
-
-def _shards(batch: pa.RecordBatch, limit: int):
-    """Slices of a batch with about `limit` bytes of text."""
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-    cut = (np.cumsum(sizes, dtype=np.int64) // limit) if len(sizes) else sizes
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(cut)) + 1, [len(sizes)]])
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield batch.slice(a, b - a)
-
-
-NAMES = ["doc_id", "text_key", "n_words", "spans", "items"]
-
-
-def _hits(batches, items, window: int, shard_bytes: int):
+class Shard:
+    """Stretches of documents' words with an FM-index over all of them: every word of the training text is a symbol."""
+
+    def __init__(self, stretches: list[tuple[int, int, list[bytes]]]):
+        """stretches: (row, number of its first word, words)."""
+        flat = [w for _, _, words in stretches for w in words]
+        vocabulary = dict.fromkeys(flat)
+        for number, word in enumerate(vocabulary):
+            vocabulary[word] = number + 2  # 0 ends the text, 1 parts stretches
+        self.vocabulary = vocabulary
+        lengths = np.array([len(words) for _, _, words in stretches], np.int64)
+        self.row = np.array([r for r, _, _ in stretches], np.int64)
+        self.first = np.array([f for _, f, _ in stretches], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(lengths + 1)])
+        text = np.ones(self.starts[-1] + 1, np.int64)
+        places = np.ones(len(text), bool)
+        places[self.starts[1:] - 1] = places[-1] = False
+        text[places] = np.fromiter(map(vocabulary.__getitem__, flat), np.int64, len(flat))
+        text[-1] = 0
+        self.index = FMIndex(text, len(vocabulary) + 1)
+
+    def find(self, phrases: Phrases):
+        """Every occurrence of every phrase: yields (row, first word, phrase length, number among those of its length)."""
+        known = np.fromiter((self.vocabulary.get(w, -1) for w in phrases.words), np.int64, len(phrases.words))
+        for n, (patterns, _) in phrases.by_length.items():
+            symbols = known[patterns]
+            there = np.flatnonzero((symbols >= 0).all(axis=1))
+            if not len(there):
+                continue
+            low, high = self.index.search(symbols[there])
+            found = np.flatnonzero(low < high)
+            if not len(found):
+                continue
+            count = high[found] - low[found]
+            rows = np.repeat(low[found] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            at = self.index.locate(rows)
+            stretch = np.searchsorted(self.starts, at, side="right") - 1
+            yield self.row[stretch], self.first[stretch] + at - self.starts[stretch], n, np.repeat(there[found], count)
+
+
+def stretches(text: str | None, row: int, window: int, limit: int):
+    """The words of a text in stretches of about `limit` bytes that overlap by window - 1 words: no window is cut."""
+    raw = (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES)
+    at, first, tail = 0, 0, []
+    while at < len(raw):
+        end = raw.find(b" ", at + limit) if at + limit < len(raw) else len(raw)
+        end = len(raw) if end < 0 else end
+        words = tail + raw[at:end].split()
+        yield row, first, words, end - at
+        tail = words[-(window - 1) :] if window > 1 else []
+        first, at = first + len(words) - len(tail), end
+
+
+def shards(texts: list[str | None], window: int, limit: int):
+    """Shards of about `limit` bytes of text, and the number of words of each text so far (complete after the last)."""
+    held, size, lengths = [], 0, np.zeros(len(texts), np.int64)
+    for row, text in enumerate(texts):
+        for _, first, words, taken in stretches(text, row, window, limit):
+            lengths[row] = first + len(words)
+            if words:
+                held.append((row, first, words))
+            size += taken
+            if size >= limit:
+                if held:
+                    yield Shard(held), lengths
+                held, size = [], 0
+    yield (Shard(held) if held else None), lengths
+
+
+def merged(pairs: np.ndarray) -> list[int]:
+    """Spans (start, end) in any order as disjoint ones, flat."""
+    if not len(pairs):
+        return []
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    ends = np.maximum.accumulate(pairs[:, 1])
+    new = np.concatenate([[True], pairs[1:, 0] > ends[:-1]])
+    last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(ends) - 1]])
+    return np.stack([pairs[new, 0], ends[last]], axis=1).ravel().tolist()
+
+
+def hits(found, phrases: Phrases, n_rows: int) -> tuple[list, list]:
+    """For each row its merged spans and its items, from what Shard.find gave."""
+    spans, items = [[] for _ in range(n_rows)], [set() for _ in range(n_rows)]
+    parts = {}
+    for row, first, n, which in found:
+        parts.setdefault(n, []).append((row, first, which))
+    rows, starts, ends = [], [], []
+    for n, many in parts.items():
+        row, first, which = (np.concatenate(x) for x in zip(*many, strict=True))
+        rows.append(row)
+        starts.append(first)
+        ends.append(first + n)
+        owners = phrases.by_length[n][1]
+        for r, w in np.unique(np.stack([row, which], axis=1), axis=0).tolist():
+            items[r].update(owners[w])
+    if rows:
+        row, pairs = np.concatenate(rows), np.stack([np.concatenate(starts), np.concatenate(ends)], axis=1)
+        order = np.argsort(row, kind="stable")
+        row, pairs = row[order], pairs[order]
+        hit, at = np.unique(row, return_index=True)
+        for r, own in zip(hit.tolist(), np.split(pairs, at[1:]), strict=True):
+            spans[r] = merged(own)
+    return spans, [sorted(x) for x in items]
+
+
+NAMES = ["n_words", "spans", "items"]
+HITS = "n_words long, spans array<long>, items array<long>"
+LONGS = pa.list_(pa.int64())
+
+
+def _searched(batches, items, window: int, shard_bytes: int):
+    """Batches with n_words, spans and items of each row."""
     phrases = Phrases(items, window)
     for batch in batches:
-        for part in _shards(batch, shard_bytes):
-            lengths, spans, found = search_shard(part.column("text").to_pylist(), phrases)
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (spans, [sorted(x) for x in found])]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(lengths), *lists], NAMES)
+        texts, found, lengths = batch.column("text").to_pylist(), [], np.zeros(0, np.int64)
+        for shard, lengths in shards(texts, window, shard_bytes):
+            if shard is not None:
+                found += shard.find(phrases)
+        yield batch, [pa.array(lengths), *(pa.array(x, LONGS) for x in hits(found, phrases, len(texts)))]
+
+
+def _indexed(batches, window: int, shard_bytes: int):
+    """Rows of two kinds: a document (row number, id, key, words), and a shard (its index, with row numbers of its own)."""
+    import pickle
+
+    from pyspark import TaskContext
+
+    base = TaskContext.get().partitionId() << 40
+    names = ["row", "doc_id", "text_key", "n_words", "shard"]
+    for batch in batches:
+        n = batch.num_rows
+        for shard, lengths in shards(batch.column("text").to_pylist(), window, shard_bytes):
+            if shard is not None:
+                shard.row = shard.row + base
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.array([pickle.dumps(shard)], pa.binary())], names)
+        numbers = pa.array(np.arange(base, base + n))
+        yield pa.RecordBatch.from_arrays([numbers, batch.column("doc_id"), batch.column("text_key"), pa.array(lengths), pa.nulls(n, pa.binary())], names)
+        base += n
+
+
+def _search_indexes(batches, items, window: int):
+    """Spans and items of the rows of each shard that have any."""
+    import pickle
+
+    phrases = Phrases(items, window)
+    for batch in batches:
+        for blob in batch.column("shard"):
+            shard = pickle.loads(blob.as_py())
+            numbers, shard.row = np.unique(shard.row, return_inverse=True)
+            spans, owners = hits(shard.find(phrases), phrases, len(numbers))
+            some = [k for k, s in enumerate(spans) if s]
+            arrays = [pa.array(numbers[some]), pa.array([spans[k] for k in some], LONGS), pa.array([owners[k] for k in some], LONGS)]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "spans", "items"])
 
 
 def blocks(benchmark: DataFrame, block_chars: int) -> list[DataFrame]:
@@ -214,54 +298,56 @@ def blocks(benchmark: DataFrame, block_chars: int) -> list[DataFrame]:
     return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) if n > 1 else items for i in range(n)]
 
 
+def _items(block: DataFrame) -> list[tuple[int, str]]:
+    return [(r[0], r[1]) for r in block.collect()]  # one block: bounded by block_chars
+
+
 def _merge(batches):
     for batch in batches:
-        spans = []
-        for lists in batch.column("all_spans").to_pylist():
-            merged: list[int] = []
-            for a, b in sorted(pair for x in lists for pair in zip(x[::2], x[1::2], strict=True)):
-                if merged and a <= merged[-1]:
-                    merged[-1] = max(merged[-1], b)
-                else:
-                    merged += [a, b]
-            spans.append(merged)
-        items = [sorted({i for x in lists for i in x}) for lists in batch.column("all_items").to_pylist()]
-        lists = [pa.array(x, pa.list_(pa.int64())) for x in (spans, items)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in NAMES[:3]), *lists], NAMES)
+        spans = [merged(np.array([x for one in lists for x in one], np.int64).reshape(-1, 2)) for lists in batch.column("spans").to_pylist()]
+        items = [sorted({i for one in lists for i in one}) for lists in batch.column("items").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(spans, LONGS), pa.array(items, LONGS)], ["row", "spans", "items"])
 
 
-SCHEMA = "doc_id long, text_key long, n_words long, spans array<long>, items array<long>"
+SCHEMA = f"doc_id long, text_key long, {HITS}"
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 8_000_000, block_chars: int = 8_000_000) -> DataFrame:
     """doc_id, text_key, n_words, spans (start and end word of each hit stretch, flat) and items of every row of docs.
 
-    Each stretch of about shard_bytes bytes in a task is a training shard with an FM-index of its own; every
-    window of `window` benchmark words (an item of fewer words: all of them) is searched backwards in it, occurrences
-    are located and merged into spans. Documents never shuffle. The benchmark goes to the tasks in blocks of about
-    block_chars characters, a pass over the documents for each, so its size has no bound.
-    Null text has no words and no hits; a null item_id or text of the benchmark is no item. Repeated rows give repeated
-    rows, repeated items count once; an empty benchmark hits nothing. Other columns are ignored.
+    About shard_bytes bytes of text in a task are a training shard with an FM-index over all its words. Every window of
+    `window` benchmark words (an item of fewer words: all of them) is searched backwards in it, occurrences are located
+    by sampled positions and merged into spans. Documents never shuffle. The benchmark goes to the tasks in blocks of
+    about block_chars characters. Where there are several, the indexes are written once and each block is searched in
+    all of them, so the documents are read and indexed once however large the benchmark is.
+    A text longer than a shard is cut into stretches that overlap by window - 1 words, so no window is lost.
+    Null and blank texts have no words and no hits; a null item_id or text of the benchmark is no item. Repeated rows
+    give repeated rows, repeated items count once; an empty benchmark hits nothing, an empty table gives no rows. Other
+    columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", common.text_key().alias("text_key"))
-    found = []
-    for block in blocks(benchmark, block_chars):
-        items = [(r[0], r[1]) for r in block.collect()]  # one block: bounded by block_chars
-        found.append(rows.mapInArrow(lambda it, items=items: _hits(it, items, window, shard_bytes), SCHEMA))
-    if len(found) == 1:
-        return found[0]
-    union = found[0]
-    for other in found[1:]:
-        union = union.unionByName(other)
-    # rows that agree on doc_id and text are copies: each block has all of them, so their number is count / blocks
-    merged = union.groupBy("doc_id", "text_key").agg(
-        F.first("n_words").alias("n_words"),
-        F.collect_list("spans").alias("all_spans"),
-        F.collect_list("items").alias("all_items"),
-        (F.count(F.lit(1)) / len(found)).cast("int").alias("times"),
-    )
-    merged = merged.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return merged.mapInArrow(_merge, SCHEMA)
+    parts = blocks(benchmark, block_chars)
+    if len(parts) == 1:
+        items = _items(parts[0])
+
+        def rows_of(batches):
+            for batch, made in _searched(batches, items, window, shard_bytes):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *made], ["doc_id", "text_key", *NAMES])
+
+        return rows.mapInArrow(rows_of, SCHEMA)
+    kinds = "row long, doc_id long, text_key long, n_words long, shard binary"
+    built = common.stage(rows.mapInArrow(lambda it: _indexed(it, window, shard_bytes), kinds), "training-shards")
+    indexes, found = built.where("shard is not null").select("shard"), None
+    for part in parts:
+        items = _items(part)
+        one = indexes.mapInArrow(lambda it, items=items: _search_indexes(it, items, window), "row long, spans array<long>, items array<long>")
+        one = common.stage(one, "shard-hits")
+        found = one if found is None else found.unionByName(one)
+    lists = found.groupBy("row").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))  # one a block and stretch
+    hit = lists.mapInArrow(_merge, "row long, spans array<long>, items array<long>")
+    none = F.array().cast("array<long>")
+    joined = built.where("shard is null").drop("shard").join(hit, "row", "left")
+    return joined.select("doc_id", "text_key", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", none).alias("items"))
 
 
 def digest(items: list[int]) -> str:
@@ -301,16 +387,34 @@ def cut_words(text: str, spans, word_bytes: bytes = WORD_BYTES) -> str:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 8_000_000, block_chars: int = 8_000_000) -> DataFrame:
     """docs with hit spans removed from text and n_chars (where docs has it) counted anew; other columns are kept.
 
-    A null text stays null; a text without hits stays as it is.
+    With one benchmark block this is one pass in which no document moves. A null text stays null; a text without hits
+    stays as it is; repeated rows are cut each; an empty table gives no rows.
     """
+    parts = blocks(benchmark, block_chars)
+    if len(parts) == 1:
+        items, schema = _items(parts[0]), docs.schema
+
+        def cut(batches):
+            for batch, (_, spans, _) in _searched(batches, items, window, shard_bytes):
+                pairs = zip(batch.column("text").to_pylist(), spans.to_pylist(), strict=True)
+                named = {f.name: batch.column(f.name) for f in schema}
+                named["text"] = pa.array([cut_words(t, s) if s else t for t, s in pairs], pa.string())
+                yield pa.RecordBatch.from_pydict(named)
+
+        return counted(docs.mapInArrow(cut, schema))
     found = find(docs, benchmark, window, shard_bytes, block_chars).where("size(spans) > 0")
     spans = found.groupBy("doc_id", "text_key").agg(F.first("spans").alias("_loom_spans"))
     spans = spans.withColumnsRenamed({"doc_id": "_loom_doc", "text_key": "_loom_text"})
     rows = docs.withColumn("_loom_key", common.text_key())
-    rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_loom_doc")) & (F.col("_loom_key") == F.col("_loom_text")), "left")
+    rows = rows.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_loom_doc")) & (F.col("_loom_key") == F.col("_loom_text")), "left")
     return cut_spans(rows.drop("_loom_doc", "_loom_key", "_loom_text"), docs.schema)
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """docs with n_chars, where it has that column, counted from text."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def cut_spans(rows: DataFrame, schema, word_bytes: bytes = WORD_BYTES, spans_of=lambda s: s) -> DataFrame:
     """rows (a table's columns and _loom_spans) as that table, the spans cut out of text and n_chars counted anew."""
 
@@ -322,5 +426,4 @@ def cut_spans(rows: DataFrame, schema, word_bytes: bytes = WORD_BYTES, spans_of=
             named["text"] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_pydict(named)
 
-    out = rows.mapInArrow(cut, schema)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in schema.names else out
+    return counted(rows.mapInArrow(cut, schema))
