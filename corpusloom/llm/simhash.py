@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
@@ -14,9 +14,9 @@ from . import common
 
 #: Fixed values of the fingerprint: shingle width in words, hash seed, largest number of differing bits that links.
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: The 64 bits are 32 segments of two bits in GROUPS groups; two fingerprints within RADIUS agree on the popcounts
-#: of at least GROUPS - RADIUS whole groups.
-GROUPS = 5
+#: The 64 bits are 32 segments of two bits in GROUPS groups. Two fingerprints within RADIUS differ in RADIUS groups at
+#: most: on the popcounts of all segments of the others they agree, and the popcounts of these few are near.
+GROUPS = 4
 LOW_BITS = 0x5555555555555555
 
 
@@ -59,46 +59,54 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def neighbours(dimensions: int, radius: int) -> list[tuple[int, ...]]:
+    """One of each pair of opposite non-zero steps with a Manhattan length of at most radius."""
+    steps = [s for s in product(range(-radius, radius + 1), repeat=dimensions) if 0 < sum(map(abs, s)) <= radius]
+    return [s for s in steps if s > tuple(-x for x in s)]
+
+
 def cells(fps: DataFrame, groups: int = GROUPS, radius: int = RADIUS) -> DataFrame:
-    """Each fingerprint with every grid cell it falls in: (choice of groups, their popcounts)."""
+    """The grid range-join's two sides, dealt by cell: key, guest, fp.
+
+    For each choice of groups that may differ, a cell is the segment popcounts of the others and a place in the grid of
+    the chosen groups' popcounts. A fingerprint is at home in its own cell and a guest in the neighbouring ones, up to a
+    Manhattan distance of radius on one side: of each pair within it, one is at home where the other is a guest.
+    """
     # popcount of every two-bit segment, in place: 1 where the bits differ, 2 where both are set
     first, second = F.col("fp").bitwiseAND(F.lit(LOW_BITS)), F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(LOW_BITS))
     counts = first.bitwiseXOR(second).bitwiseOR(F.shiftleft(first.bitwiseAND(second), 1))
-    keys = [
-        F.struct(F.lit(i).alias("choice"), F.col("c").bitwiseAND(F.lit(_signed(sum(chosen)))).alias("cell"))
-        for i, chosen in enumerate(combinations(group_masks(groups), groups - radius))
-    ]
-    return fps.withColumn("c", counts).select("fp", F.explode(F.array(*keys)).alias("k")).select("k.choice", "k.cell", "fp")
-
-
-def _pairs_of(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within radius among one cell's fingerprints, as a spanning forest."""
-    order = np.argsort(np.bitwise_count(fp), kind="stable")
-    fp, weight = fp[order], np.bitwise_count(fp[order]).astype(np.int64)
-    n, left, right = len(fp), [], []
-    ends = np.searchsorted(weight, weight + radius, side="right")  # |popcount difference| is a lower bound too
-    for a in range(0, n, 256):
-        b = min(n, a + 256)
-        end = ends[b - 1]
-        i, j = np.nonzero(np.bitwise_count(fp[a:b, None] ^ fp[None, a:end]) <= radius)
-        keep = i < j
-        if keep.any():
-            left.append(i[keep] + a)
-            right.append(j[keep] + a)
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    label = common.forest(np.concatenate(left), np.concatenate(right), n)
-    child = np.flatnonzero(label != np.arange(n))
-    return order[child], order[label[child]]
-
-
-def _cell_links(batches, radius: int, hot: int):
-    """Rows come sorted by (choice, cell). Links inside each cell; members of cells above `hot` are passed on marked."""
-
-    def out(u, v, is_hot):
-        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64), "hot": np.full(len(u), is_hot)})
-
-    def links(fp, starts, ends):
+    masks, keys = group_masks(groups), []
+    rows = fps.select("fp", counts.alias("c"), *(F.bit_count(F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias(f"g{i}") for i, m in enumerate(masks)))
+    for number, free in enumerate(combinations(range(groups), radius)):
+        same = F.col("c").bitwiseAND(F.lit(_signed(sum(m for i, m in enumerate(masks) if i not in free))))
+        for step in [(0,) * radius, *neighbours(radius, radius)]:
+            place = [F.col(f"g{i}") + F.lit(d) for i, d in zip(free, step, strict=True)]
+            # a number for the cell; where two cells share one, the exact check parts them
+            keys.append(F.struct(F.xxhash64(F.lit(number), same, *place).alias("key"), F.lit(any(step)).alias("guest")))
+    return rows.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.key", "k.guest", "fp")
+
+
+def _pairs_of(home: np.ndarray, guests: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a cell within radius, home with home and home with guests, as a spanning forest of fingerprints."""
+    both = np.concatenate([home, guests])
+    left, right = [], []
+    for a in range(0, len(home), 256):
+        for b in range(a, len(both), 1 << 16):
+            i, j = np.nonzero(np.bitwise_count(home[a : a + 256, None] ^ both[None, b : b + (1 << 16)]) <= radius)
+            i, j = i + a, j + b
+            left.append(i[i < j])
+            right.append(j[i < j])
+    nodes, at = np.unique(both, return_inverse=True)
+    i, j = (at[np.concatenate(x)] if x else np.empty(0, np.int64) for x in (left, right))
+    label = common.forest(i, j, len(nodes))
+    child = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[child], nodes[label[child]]
+
+
+def _cell_links(batches, radius: int):
+    """Rows come sorted by key, those at home first. Links inside each cell, verified exactly."""
+
+    def links(fp, guest, starts, ends):
         u, v = [], []
         size = ends - starts
         small = (size > 1) & (size <= 48)
@@ -106,76 +114,52 @@ def _cell_links(batches, radius: int, hot: int):
             s, e = starts[small & (size > shift)], ends[small & (size > shift)]
             n = e - s - shift
             at = np.repeat(s - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            near = at[np.bitwise_count(fp[at] ^ fp[at + shift]) <= radius]
+            near = at[~guest[at] & (np.bitwise_count(fp[at] ^ fp[at + shift]) <= radius)]
             u.append(fp[near])
             v.append(fp[near + shift])
         for s, e in zip(starts[size > 48], ends[size > 48], strict=True):
-            i, j = _pairs_of(fp[s:e], radius)
-            u.append(fp[s:e][i])
-            v.append(fp[s:e][j])
+            own = guest[s:e]
+            i, j = _pairs_of(fp[s:e][~own], fp[s:e][own], radius)
+            u.append(i)
+            v.append(j)
         if u and sum(map(len, u)):
-            yield out(np.concatenate(u), np.concatenate(v), False)
+            yield pd.DataFrame({"u": np.concatenate(u).view(np.int64), "v": np.concatenate(v).view(np.int64)})
 
-    held, overflow = None, None  # rows of the last cell so far; the key of a cell found to be hot
+    held: list = []  # the last cell so far
     for pdf in batches:
         if not len(pdf):
             continue
-        if held is not None:
-            pdf = pd.concat([held, pdf], ignore_index=True)
-        choice, cell = pdf["choice"].to_numpy(), pdf["cell"].to_numpy()
-        fp = pdf["fp"].to_numpy().view(np.uint64)
-        starts = np.concatenate([[0], np.flatnonzero((choice[1:] != choice[:-1]) | (cell[1:] != cell[:-1])) + 1])
-        ends = np.concatenate([starts[1:], [len(pdf)]])
-        if overflow is not None and overflow == (choice[0], cell[0]):
-            yield out(fp[: ends[0]], fp[: ends[0]], True)
-            if len(starts) == 1:
-                held = None
-                continue
-            starts, ends = starts[1:], ends[1:]
-        overflow = None
-        for s, e in zip(starts[ends - starts > hot], ends[ends - starts > hot], strict=True):
-            yield out(fp[s:e], fp[s:e], True)
-        last = starts[-1]
-        if ends[-1] - last > hot:
-            overflow, held = (choice[-1], cell[-1]), None
-        else:
-            held = pdf.iloc[last:]
-        done = (ends - starts <= hot) & (starts != last)
-        yield from links(fp, starts[done], ends[done])
-    if held is not None and len(held):
-        yield from links(held["fp"].to_numpy().view(np.uint64), np.array([0]), np.array([len(held)]))
-
-
-def _hot_links(hot: DataFrame, radius: int) -> DataFrame:
-    """Links among fingerprints of hot cells: clear every choice of `radius` bits; what agrees then is linked, and a
-    star to the smallest member connects it. Linear in the rows, no pairs."""
-    masks = [_signed(~sum(1 << b for b in bits) & ((1 << 64) - 1)) for bits in combinations(range(64), radius)]
-    keyed = hot.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("i", "m")).select(
-        "fp", "i", F.col("fp").bitwiseAND(F.col("m")).alias("x")
-    )
-    low = keyed.groupBy("i", "x").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return keyed.join(low, ["i", "x"]).where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
-
-
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, groups: int = GROUPS, hot_cell: int = 4096) -> DataFrame:
+        key = pdf["key"].to_numpy()
+        if held and held[-1][0][0] == key[0] and key[0] == key[-1]:
+            held.append((key, pdf["fp"].to_numpy().view(np.uint64), pdf["guest"].to_numpy()))
+            continue
+        held.append((key, pdf["fp"].to_numpy().view(np.uint64), pdf["guest"].to_numpy()))
+        key, fp, guest = (np.concatenate(x) for x in zip(*held, strict=True))
+        starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+        ends = np.concatenate([starts[1:], [len(key)]])
+        yield from links(fp, guest, starts[:-1], ends[:-1])
+        held = [tuple(x[starts[-1] :] for x in (key, fp, guest))]
+    if held:
+        key, fp, guest = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield from links(fp, guest, np.array([0]), np.array([len(key)]))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, groups: int = GROUPS) -> DataFrame:
     """doc_id, text_key, fp (signed 64 bits) and component_id of every row of docs (doc_id, text; others are ignored).
 
     Fingerprints link at `radius` or fewer differing bits. Equal fingerprints are one group before anything is
-    compared, so exact copies, however many, cost one row. Segment popcounts put each group into grid cells: a change
-    of one bit moves one popcount by one, so the Manhattan distance between popcount vectors never exceeds the number
-    of differing bits, and groups of segments at distance 0 must be shared. Members of a cell are verified exactly.
-    Cells with more than `hot_cell` fingerprints take an exact way without pairs.
-    Null and blank texts have fingerprint 0 and link like any other; a null doc_id keeps its row and links, but names no
-    component (a component of such rows only is null). Repeated rows give repeated rows; an empty table gives none.
+    compared, so exact copies, however many, cost one row. Segment popcounts embed each group as a point: a change of
+    one bit moves one popcount by one, so the Manhattan distance between two points never exceeds the number of
+    differing bits. A grid range-join under that distance finds the candidates, which are then verified exactly. A task
+    holds one cell's fingerprints at a time (8 bytes each, all different) and passes on links that span its components.
+    Null and blank texts have fingerprint 0 and link like any other; very long texts are hashed a stretch at a time. A
+    null doc_id keeps its row and links, but names no component (a component of such rows only is null). Repeated rows
+    give repeated rows; an empty table gives none. Of equal distances none is dropped.
     """
     fps = common.stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", common.text_key().alias("text_key")).mapInArrow(_fingerprints, "doc_id long, text_key long, fp long"), "simhash")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    keyed = cells(distinct.select("fp"), groups, radius).repartition("choice", "cell").sortWithinPartitions("choice", "cell", "fp")
-    found = common.stage(keyed.mapInPandas(lambda it: _cell_links(it, radius, hot_cell), "u long, v long, hot boolean"), "simhash-links")
-    links = found.where("not hot").select("u", "v")
-    hot = found.where("hot").select(F.col("u").alias("fp")).distinct()
-    if not hot.isEmpty():
-        links = links.unionByName(_hot_links(hot, radius))
+    keyed = cells(distinct.select("fp"), groups, radius).repartition("key").sortWithinPartitions("key", "guest", "fp")
+    links = keyed.mapInPandas(lambda it: _cell_links(it, radius), "u long, v long")
     comps = common.components(links, "simhash-components")
     # fingerprints are the nodes: an id that repeats with other texts joins nothing
     labelled = distinct.join(comps, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp"))
