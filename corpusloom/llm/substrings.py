@@ -15,6 +15,11 @@ from .decontaminate import cut_spans
 
 #: Words of a window, and words of the m-mers of which a window's smallest hash is its minimiser.
 WINDOW, MMER = 35, 5
+#: Bytes of text for each bucket, and buckets at least. Windows that a bucket sorts at a time.
+BUCKET_BYTES, LEAST_BUCKETS, PASS_WINDOWS = 8_000_000, 96, 4_000_000
+#: Rows from which frequent m-mers are told, the share of them from which an m-mer is frequent, m-mers told at most.
+#: Frequent ones come last in the order of m-mers. The order deals windows to buckets and never changes a result.
+SAMPLE, FREQUENT, TOLD = 4_000, 0.002, 50_000
 #: Bytes that part words: space and 0x09 to 0x0D.
 WORD_BYTES = bytes(32 if b == 32 or 9 <= b <= 13 else 97 for b in range(256))
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -35,14 +40,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def minimisers(words: list[bytes], window: int, mmer: int) -> np.ndarray:
-    """For each window the smallest hash of its m-mers."""
+def mmers(words: list[bytes], mmer: int) -> np.ndarray:
+    """Hash of each run of mmer words; none where there are fewer words."""
     from xxhash import xxh64_intdigest
 
     hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
-    grams = np.zeros(len(words) - mmer + 1, np.uint64)
-    for i in range(mmer):
+    grams = np.zeros(max(0, len(words) - mmer + 1), np.uint64)
+    for i in range(mmer if len(grams) else 0):
         grams = mixed(grams + hashes[i : len(words) - mmer + 1 + i])
+    return grams
+
+
+def minimisers(words: list[bytes], window: int, mmer: int, late: np.ndarray | None = None) -> np.ndarray:
+    """For each window the first of its m-mers in an order common to all texts: by hash, those marked in `late` last."""
+    grams = mmers(words, mmer)
+    if late is not None:
+        grams = (grams >> np.uint64(1)) | (late[grams & np.uint64(len(late) - 1)] << np.uint64(63))
     low, width, span = grams, 1, window - mmer + 1
     while width * 2 <= span:
         low = np.minimum(low[:-width], low[width:])
@@ -53,8 +66,8 @@ def minimisers(words: list[bytes], window: int, mmer: int) -> np.ndarray:
 class _Blocks:
     """Super-k-mers of a stretch of documents, by bucket; equal strings go once."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.size = buckets, 0
+    def __init__(self, buckets: int, late: np.ndarray | None):
+        self.buckets, self.late, self.size = buckets, late, 0
         self.docs: list[tuple[int, int]] = []
         self.seen: dict[bytes, list] = {}
         self.known: list[tuple] = []  # (bucket, doc, first, last word) of strings that a task has met twice
@@ -63,7 +76,7 @@ class _Blocks:
         words = words_of(text)
         if len(words) < window:
             return
-        low = minimisers(words, window, mmer)
+        low = minimisers(words, window, mmer, self.late)
         doc = len(self.docs)
         self.docs.append((doc_id, key))
         joined = b" ".join(words)
@@ -106,8 +119,8 @@ class _Blocks:
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], [f.split()[0] for f in BLOCK.split(", ")])
 
 
-def _split(batches, buckets: int, window: int, mmer: int, block_bytes: int):
-    blocks = _Blocks(buckets)
+def _split(batches, buckets: int, window: int, mmer: int, block_bytes: int, late: np.ndarray | None):
+    blocks = _Blocks(buckets, late)
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text")), strict=True):
             blocks.add(*row, window, mmer)
@@ -117,29 +130,67 @@ def _split(batches, buckets: int, window: int, mmer: int, block_bytes: int):
         yield from blocks.flush()
 
 
-def repeated(ids: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
-    """For strings of word ids, laid end to end, the starts of windows that start anywhere else among them too."""
+def _keys(ids: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of all windows of strings of word ids, laid end to end."""
     total = len(ids)
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     n = lengths - window + 1
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     starts = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
     odd = 0x5851F42D4C957F2D
     power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(total, odd, np.uint64)]), dtype=np.uint64)
     back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(total, pow(odd, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
-    keys = []
-    for seed in (1, 2):  # two independent 64-bit sums: 128 bits tell windows apart
-        value = mixed(ids.astype(np.uint64) * np.uint64(2) + np.uint64(seed << 40))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(value * power[:-1], dtype=np.uint64)])
-        keys.append(mixed((sums[starts + window] - sums[starts]) * back[starts]))
-    order = np.argsort(keys[0])
-    a, b = keys[0][order], keys[1][order]
-    same = a[1:] == a[:-1]
-    if (same & (b[1:] != b[:-1])).any():
-        order = np.lexsort((keys[1], keys[0]))
-        a, b = keys[0][order], keys[1][order]
-        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    return np.sort(starts[order[twice]])
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(ids.astype(np.uint64)) * power[:-1], dtype=np.uint64)])
+    return starts, mixed((sums[starts + window] - sums[starts]) * back[starts])
+
+
+def _same(ids: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
+    """Whether the windows that start at a[k] and b[k] are the same words."""
+    out = np.ones(len(a), bool)
+    for i in range(window):
+        out &= ids[a + i] == ids[b + i]
+    return out
+
+
+def repeated(ids: np.ndarray, lengths: np.ndarray, window: int, limit: int = PASS_WINDOWS) -> np.ndarray:
+    """For strings of word ids, laid end to end, the starts of windows that start anywhere else among them too.
+
+    Windows are sorted by a hash, and those that tie are compared word by word. At most about `limit` windows are sorted
+    at a time: a larger table is gone through once for each stretch of the hash's range.
+    """
+    ends = np.cumsum(lengths)
+    total = int((lengths - window + 1).sum())
+    passes = -(-total // limit) if total else 1
+    out = []
+    for part in range(passes):
+        low, high = (part << 64) // passes, ((part + 1) << 64) // passes - 1
+        starts, keys, at = [], [], 0
+        while at < len(lengths):  # strings that hold a million words at a time
+            begin = int(ends[at] - lengths[at])
+            to = max(at + 1, int(np.searchsorted(ends, begin + 1_000_000, side="right")))
+            s, k = _keys(ids[begin : int(ends[to - 1])], lengths[at:to], window)
+            if passes > 1:
+                mine = (k >= np.uint64(low)) & (k <= np.uint64(high))
+                s, k = s[mine], k[mine]
+            starts.append(s + begin)
+            keys.append(k)
+            at = to
+        if not starts:
+            continue
+        starts, keys = np.concatenate(starts), np.concatenate(keys)
+        order = np.argsort(keys)
+        keys, starts = keys[order], starts[order]
+        tie = np.flatnonzero(keys[1:] == keys[:-1])
+        true = _same(ids, starts[tie], starts[tie + 1], window)
+        twice = np.zeros(len(keys), bool)
+        if true.all():
+            twice[tie] = twice[tie + 1] = True
+        else:  # a hash that different windows share: tell its windows apart by their words
+            tied = np.unique(np.concatenate([tie, tie + 1]))
+            words = ids[starts[tied][:, None] + np.arange(window)]
+            _, which, count = np.unique(words, axis=0, return_inverse=True, return_counts=True)
+            twice[tied] = count[which.ravel()] > 1
+        out.append(starts[twice])
+    return np.sort(np.concatenate(out)) if out else np.empty(0, np.int64)
 
 
 def _count(key, table: pa.Table, window: int) -> pa.Table:
@@ -173,7 +224,7 @@ def _count(key, table: pa.Table, window: int) -> pa.Table:
                         if w not in ids:
                             ids[w] = next(numbers)
                     numbered = [get(w) for w in words]
-                parts.append(np.array(numbered, np.int64))
+                parts.append(np.array(numbered, np.int32))
             lengths.append(np.array(sizes, np.int64))
             docs.append(named)
             base += len(named)
@@ -197,18 +248,37 @@ def _count(key, table: pa.Table, window: int) -> pa.Table:
     return pa.table({"doc_id": pa.array(docs[used, 0]), "text_key": pa.array(docs[used, 1]), "spans": pa.array(packed, pa.binary())})
 
 
+def _frequent(rows: DataFrame, mmer: int, total: int) -> np.ndarray:
+    """A table of marks: m-mers that many of a bounded sample of rows have (and a few that share a place with them)."""
+
+    def own(batches):
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(mmers(words_of(text), mmer)).view(np.int64))], ["m"])
+
+    share = max(1, total // SAMPLE)
+    seen = rows.where(F.pmod("text_key", F.lit(share)) == 0).select("text").mapInArrow(own, "m long").groupBy("m").count()
+    told = seen.where(F.col("count") >= max(3, int(FREQUENT * total / share))).orderBy(F.desc("count"), "m").limit(TOLD).collect()
+    late = np.zeros(1 << 22, np.uint64)
+    late[np.array([r[0] for r in told], np.int64).view(np.uint64) & np.uint64(len(late) - 1)] = 1
+    return late
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, mmer: int = MMER, buckets: int | None = None, block_bytes: int = 24_000_000) -> DataFrame:
     """doc_id, text_key, spans (int32 pairs of words, one binary a bucket) of documents with repeated windows.
 
-    Windows in a row that share their smallest m-mer hash travel as one string; the hash chooses the bucket, so equal
+    Windows in a row that share their first m-mer travel as one string; the m-mer's hash chooses the bucket, so equal
     windows meet there. A task sends equal strings once, and answers for their copies itself: a group of copies reaches
-    a bucket at most once a task and block, however large it is. `buckets` defaults to 8 for each shuffle partition.
+    a bucket at most once a task and block, however large it is. m-mers that many texts share come last, so a line that
+    is in a third of all texts draws no windows but those that lie inside it, and these are few. `buckets` follows from
+    the bytes of the texts; a bucket beyond PASS_WINDOWS is counted in several passes over its word numbers.
     """
-    spark = docs.sparkSession
-    buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a null id is written as the least long; its rows are joined by text_key alone
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), common.text_key().alias("text_key"), "text")
-    blocks = rows.mapInArrow(lambda it: _split(it, buckets, window, mmer, block_bytes), BLOCK)
+    total, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    buckets = buckets or max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
+    late = _frequent(rows, mmer, total)
+    blocks = rows.mapInArrow(lambda it: _split(it, buckets, window, mmer, block_bytes, late), BLOCK)
     return blocks.groupBy("bucket").applyInArrow(lambda key, t: _count(key, t, window), SPANS)
 
 
@@ -251,9 +321,10 @@ def _report(batches):
 def report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs: words under a window that starts anywhere else too are removed.
 
-    Words are runs of bytes other than space and 0x09 to 0x0D. Null text has no words; texts shorter than a window lose
-    nothing. Repeated rows are copies of each other. Rows with a null doc_id are kept. An empty table gives no rows;
-    other columns are ignored.
+    Words are runs of bytes other than space and 0x09 to 0x0D. Null, empty and blank texts have no words; texts shorter
+    than a window lose nothing. A very long text is held whole, with some 100 bytes a word, in the task that reads it.
+    Repeated rows are copies of each other. Rows with a null doc_id are kept. An empty table gives no rows; other columns
+    are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return with_spans(rows, **options).mapInArrow(_report, "doc_id long, n_words long, n_removed long, kept_sha256 string")
