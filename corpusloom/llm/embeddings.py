@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from . import common
 from .substrings import mixed
 
-#: Cosine that links, rows of a tile, dimensions after which the bound is tested, tiles in a unit of work.
-COSINE, TILE, CUTS, UNIT = 0.95, 2048, (16, 32, 48), 8
-#: Bands of the first principal coordinate at most; beyond BANDS * TILE vectors a band has several tiles.
-BANDS = 1024
+#: Cosine that links, dimensions after which the bound is tested, tiles that a home tile meets in one task.
+COSINE, CUTS, UNIT = 0.95, (16, 32, 48), 4
+#: Leading principal coordinates by which tiles are cut and pruned, and leaves of that cut at most.
+AXES, LEAVES = 3, 2048
+#: Bytes of a tile's vectors at most, fewest rows of a tile, and tiles wished for in a small table (for parallel work).
+TILE_BYTES, TILE_ROWS, TILES = 16_000_000, 2048, 12
+#: Rows from which the cut is learned. It only shapes tiles: every vector is compared whatever it is.
+SAMPLE = 50_000
 #: The bound is computed in single precision; this much is allowed for.
 SLACK = 1e-4
 
@@ -25,6 +29,14 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows at length one. Scaled by a power of two near the largest component first (which is exact), so that no square
+    over- or underflows."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    x = np.ldexp(x, -exponent)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def usable(embedding: str = "embedding"):
     """Vectors that can link: not null, no null or non-finite component, not zero."""
     x = F.col(embedding)
@@ -33,25 +45,31 @@ def usable(embedding: str = "embedding"):
 
 
 def _moments(batches):
-    """Sum of outer products of unit vectors, by dimension count; one row a task and dimension count."""
-    sums: dict[int, np.ndarray] = {}
+    """Sum of outer products of unit vectors; one row a task and row of the matrix."""
+    total = None
     for batch in batches:
         if batch.num_rows:
-            x = _matrix(batch.column("embedding"))
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            sums[x.shape[1]] = sums.get(x.shape[1], 0) + x.T @ x
-    for dim, total in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array(np.arange(dim * dim)[None].tolist(), pa.list_(pa.int32())), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["dim", "at", "value"])
+            x = _unit_rows(_matrix(batch.column("embedding")))
+            total = x.T @ x if total is None else total + x.T @ x
+    if total is not None:
+        for i in range(0, len(total), 256):
+            part = total[i : i + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part))), pa.array([r.tobytes() for r in part], pa.binary())], ["i", "sums"])
+
+
+def _added(key, table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.float64) for x in table.column("sums").to_pylist())
+    return pa.table({"i": pa.array([key[0].as_py()], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
 def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
-    """Principal axes, largest first, of all unit vectors: the sums are made in the tasks and added up by entry."""
-    parts = vectors.mapInArrow(_moments, "dim int, at array<int>, value array<double>").select("dim", F.arrays_zip("at", "value").alias("z"))
-    cells = parts.select("dim", F.inline("z")).groupBy("at").agg(F.sum("value").alias("value")).collect()  # dim * dim rows
-    total = np.zeros(dim * dim)
-    for r in cells:
-        total[r["at"]] = r["value"]
-    _, axes = np.linalg.eigh(total.reshape(dim, dim))
+    """Principal axes, largest first, of all unit vectors: sums are made in the tasks and added up by matrix row. The
+    driver gets `dim` rows of `dim` doubles."""
+    rows = vectors.mapInArrow(_moments, "i long, sums binary").groupBy("i").applyInArrow(lambda key, t: _added(key, t), "i long, sums binary").collect()
+    total = np.zeros((dim, dim))
+    for r in rows:
+        total[r["i"]] = np.frombuffer(r["sums"], np.float64)
+    _, axes = np.linalg.eigh(total)
     return np.ascontiguousarray(axes[:, ::-1])
 
 
@@ -59,85 +77,99 @@ class Tile:
     """Vectors of a tile: as given (for exact cosines), and rotated with suffix norms (for bounds)."""
 
     def __init__(self, rep, copies, raw: np.ndarray, axes: np.ndarray, cuts):
-        self.rep, self.copies = rep, copies
-        self.unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-        turned = self.unit @ axes
+        unit = _unit_rows(raw)
+        turned = unit @ axes
+        order = np.lexsort((rep, turned[:, 0]))
+        self.rep, self.copies, self.unit, turned = rep[order], copies[order], unit[order], turned[order]
+        self.first = turned[:, 0].copy()
         self.turned = turned.astype(np.float32)
         tail = np.sqrt(np.cumsum((turned**2)[:, ::-1], axis=1))[:, ::-1].astype(np.float32)
         # leading dimensions and the norm of the rest: the product of two such rows bounds the cosine from above
         self.lead = [np.concatenate([self.turned[:, :c], tail[:, c : c + 1]], axis=1) for c in cuts if c < raw.shape[1]]
 
 
-def compare(a: Tile, b: Tile, same: bool, cosine: float):
-    """Links of two tiles (of a with itself: i < j): yields index arrays (i, j), block by block."""
+def compare(a: Tile, b: Tile, same: bool, cosine: float, reach: float):
+    """Links of two tiles (of a with itself: i < j): yields index arrays (i, j), block by block. Rows of a tile are in the
+    order of their first coordinate, so a block meets only the stretch of the other tile within reach."""
     for s in range(0, len(a.rep), 256):
         block = slice(s, s + 256)
-        if a.lead:
-            i, j = np.nonzero(a.lead[0][block] @ b.lead[0].T >= cosine - SLACK)
-        else:
-            i, j = (x.ravel() for x in np.indices((len(a.unit[block]), len(b.unit))))
-        i = i + s
-        if same:
-            i, j = i[i < j], j[i < j]
-        dense = len(i) > len(a.unit[block]) * len(b.unit) // 32
-        for mine, other in zip(a.lead[1:], b.lead[1:], strict=True) if not dense else ():
-            near = np.einsum("nd,nd->n", mine[i], other[j]) >= cosine - SLACK
-            i, j = i[near], j[near]
-        if not len(i):
-            continue
-        if dense:  # many survive: one exact product of the rows and columns left
-            rows, cols = np.unique(i), np.unique(j)
-            exact = (a.unit[rows] @ b.unit[cols].T)[np.searchsorted(rows, i), np.searchsorted(cols, j)]
-        else:
-            exact = np.einsum("nd,nd->n", a.unit[i], b.unit[j])
-        keep = exact >= cosine
-        if keep.any():
-            yield i[keep], j[keep]
-
-
-def _unit(key, table: pa.Table, axes: np.ndarray, cosine: float, cuts) -> pa.Table:
+        low = np.searchsorted(b.first, a.first[s] - reach)
+        high = np.searchsorted(b.first, a.first[block][-1] + reach, side="right")
+        for t in range(max(low, s) if same else low, high, 4096):
+            other = slice(t, min(t + 4096, high))
+            if a.lead:
+                i, j = np.nonzero(a.lead[0][block] @ b.lead[0][other].T >= cosine - SLACK)
+            else:
+                i, j = (x.ravel() for x in np.indices((len(a.unit[block]), len(b.unit[other]))))
+            i, j = i + s, j + t
+            if same:
+                i, j = i[i < j], j[i < j]
+            dense = len(i) > len(a.unit[block]) * len(b.unit[other]) // 32
+            for mine, theirs in zip(a.lead[1:], b.lead[1:], strict=True) if not dense else ():
+                near = np.einsum("nd,nd->n", mine[i], theirs[j]) >= cosine - SLACK
+                i, j = i[near], j[near]
+            if not len(i):
+                continue
+            if dense:  # many survive: one exact product of the rows and columns left
+                rows, cols = np.unique(i), np.unique(j)
+                exact = (a.unit[rows] @ b.unit[cols].T)[np.searchsorted(rows, i), np.searchsorted(cols, j)]
+            else:
+                exact = np.einsum("nd,nd->n", a.unit[i], b.unit[j])
+            keep = exact >= cosine
+            if keep.any():
+                yield i[keep], j[keep]
+
+
+def _unit(key, table: pa.Table, axes: np.ndarray, cosine: float, reach: float, cuts) -> pa.Table:
     """A home tile against up to UNIT tiles: link counts of every vector, and links that span its components."""
-    tiles: dict[int, Tile] = {}
     tile_of = table.column("tile").to_numpy()
     raw = _matrix(table.column("embedding").combine_chunks())
     rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
-    for t in np.unique(tile_of):
+    home_id = key[0].as_py()
+
+    def tile(t):
         at = np.flatnonzero(tile_of == t)
-        at = at[np.argsort(rep[at], kind="stable")]
-        tiles[int(t)] = Tile(rep[at], copies[at], raw[at], axes, cuts)
-    home_id, first = key[0].as_py(), key[1].as_py()
-    home, us, vs, counts = tiles[home_id], [], [], {}
-    for other_id in sorted(t for t in tiles if first * UNIT <= t < (first + 1) * UNIT and t >= home_id):
-        other, same = tiles[other_id], other_id == home_id
-        n = [np.zeros(len(home.rep), np.int64), np.zeros(len(other.rep), np.int64)]
-        for i, j in compare(home, other, same, cosine):
-            n[0] += np.bincount(i, weights=other.copies[j], minlength=len(home.rep)).astype(np.int64)
-            n[1] += np.bincount(j, weights=home.copies[i], minlength=len(other.rep)).astype(np.int64)
-            nodes, at = np.unique(np.concatenate([home.rep[i], other.rep[j]]), return_inverse=True)
-            label = common.forest(at[: len(i)], at[len(i) :], len(nodes))
-            child = np.flatnonzero(label != np.arange(len(nodes)))
-            us.append(nodes[child])
-            vs.append(nodes[label[child]])
-        for tile, total in ((home, n[0]), (other, n[1])):
-            hit = np.flatnonzero(total)
-            for r, c in zip(tile.rep[hit].tolist(), total[hit].tolist(), strict=True):
-                counts[r] = counts.get(r, 0) + c
-    u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs))
-    who = np.fromiter(counts, np.int64, len(counts))
-    number = np.fromiter(counts.values(), np.int64, len(counts))
+        return Tile(rep[at], copies[at], raw[at], axes, cuts)
+
+    us, vs, who, number = [], [], [], []
+    if (tile_of == home_id).any():  # a home without vectors has nothing to meet
+        home = tile(home_id)
+        own = np.zeros(len(home.rep), np.int64)
+        guests = table.column("guest").to_numpy(zero_copy_only=False)
+        for other_id in np.unique(tile_of[guests]).tolist():
+            same = other_id == home_id
+            other = home if same else tile(other_id)
+            total = own if same else np.zeros(len(other.rep), np.int64)
+            for i, j in compare(home, other, same, cosine, reach):
+                own += np.bincount(i, weights=other.copies[j], minlength=len(own)).astype(np.int64)
+                total += np.bincount(j, weights=home.copies[i], minlength=len(total)).astype(np.int64)
+                nodes, at = np.unique(np.concatenate([home.rep[i], other.rep[j]]), return_inverse=True)
+                label = common.forest(at[: len(i)], at[len(i) :], len(nodes))
+                child = np.flatnonzero(label != np.arange(len(nodes)))
+                us.append(nodes[child])
+                vs.append(nodes[label[child]])
+            if not same:
+                who.append(other.rep[total > 0])
+                number.append(total[total > 0])
+        who.append(home.rep[own > 0])
+        number.append(own[own > 0])
+    u, v, who, number = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs, who, number))
     return pa.table({"u": np.concatenate([u, who]), "v": np.concatenate([v, who]), "n": np.concatenate([np.zeros(len(u), np.int64), number])})
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tile: int = TILE, cuts=CUTS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tile: int | None = None, cuts=CUTS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding).
 
-    Equal vectors are one group before anything is compared. Groups are ordered by their first principal coordinate
-    and cut into tiles; tiles whose ranges of that coordinate are further apart than the largest distance that links
-    don't meet. Inside a pair of tiles the leading dimensions are multiplied first; the product of the rest is bounded
-    by the suffix norms, and a pair goes on only while the bound reaches the threshold. What is left is decided by the
-    exact cosine in double precision. Tasks return counts and spanning links, never all pairs.
-    A home tile meets the others in units of at most UNIT tiles, so a task holds (UNIT + 1) tiles whatever the input.
-    The work is quadratic in vectors whose first coordinates are close; the method has no way around that.
+    Equal vectors are one group before anything is compared. Groups are cut into tiles by their AXES leading principal
+    coordinates; tiles whose boxes of those coordinates are further apart than the largest distance that links don't
+    meet. Inside a pair of tiles the leading dimensions are multiplied first; the product of the rest is bounded by the
+    suffix norms, and a pair goes on only while the bound reaches the threshold. What is left is decided by the exact
+    cosine in double precision; a cosine of exactly the threshold links. Tasks return counts and spanning links, never
+    all pairs. Components may be tiny or huge: vectors are scaled by their largest before anything is squared.
+    A home tile meets the others in units of at most UNIT tiles of at most TILE_BYTES (or `tile` rows), so a task holds
+    UNIT + 1 tiles whatever the input. A vector travels once for each tile near its own: with tiles of 16 MB that is
+    little beside the products, but both are quadratic in vectors that the leading coordinates can't tell apart; the
+    method has no way around that.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Vectors of another
     length than the commonest one are compared among themselves. Repeated rows count as vectors of their own; a row
@@ -165,54 +197,122 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tile: int = TILE
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _placed(batches, axis: np.ndarray, borders: np.ndarray, plan: dict | None):
-    """Adds the first principal coordinate's band; with a plan, the tile and the range of home tiles instead."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x = _matrix(batch.column("embedding"))
-        lead = (x @ axis) / np.linalg.norm(x, axis=1)
-        band = np.searchsorted(borders, lead, side="right")
-        if plan is None:
-            yield pa.RecordBatch.from_arrays([pa.array(lead), pa.array(band.astype(np.int32))], ["lead", "band"])
-            continue
-        spread = mixed(batch.column("rep").to_numpy().view(np.uint64)) % plan["parts"][band].astype(np.uint64)
-        made = [plan["start"][band] + spread.astype(np.int64), plan["first"][band], plan["last"][band]]
-        columns = [*(batch.column(c) for c in ("rep", "copies", "embedding")), *(pa.array(m.astype(np.int32)) for m in made)]
-        yield pa.RecordBatch.from_arrays(columns, ["rep", "copies", "embedding", "tile", "first", "last"])
-
-
-def _linked(group: DataFrame, dim: int, cosine: float, tile: int, cuts) -> DataFrame:
+class Cut:
+    """A tree of splits of the leading coordinates, learned from a sample. Leaves are numbered from 0."""
+
+    def __init__(self, sample: np.ndarray, leaves: int):
+        self.splits: list[tuple[int, float, int, int]] = []  # axis, border, what is below, what is not (~leaf or node)
+        self.leaves = 0
+        self.root = self._grow(sample, leaves)
+
+    def _grow(self, rows: np.ndarray, leaves: int) -> int:
+        spread = rows.max(axis=0) - rows.min(axis=0) if leaves > 1 and len(rows) > 1 else np.zeros(1)
+        if not spread.max() > 0:
+            self.leaves += 1
+            return ~(self.leaves - 1)
+        axis = int(spread.argmax())
+        border = float(np.quantile(rows[:, axis], (leaves // 2) / leaves))
+        below = rows[:, axis] < border
+        if not below.any():  # many ties at the least value
+            border = float(rows[rows[:, axis] > rows[:, axis].min(), axis].min())
+            below = rows[:, axis] < border
+        at = len(self.splits)
+        self.splits.append((axis, border, 0, 0))
+        left, right = self._grow(rows[below], leaves // 2), self._grow(rows[~below], leaves - leaves // 2)
+        self.splits[at] = (axis, border, left, right)
+        return at
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        node = np.full(len(x), self.root)
+        while len(live := np.flatnonzero(node >= 0)):
+            for split in np.unique(node[live]).tolist():
+                axis, border, left, right = self.splits[split]
+                at = live[node[live] == split]
+                node[at] = np.where(x[at, axis] < border, left, right)
+        return ~node
+
+
+def _leads(batch, axes: np.ndarray) -> np.ndarray:
+    return _unit_rows(_matrix(batch.column("embedding"))) @ axes
+
+
+def _linked(group: DataFrame, dim: int, cosine: float, tile: int | None, cuts) -> DataFrame:
     """Links (u, v, n = 0) that span components, and counts (u, u, n > 0), of groups with vectors of one length.
 
-    What the driver holds is bounded: dim * dim sums, and a count for each of at most BANDS bands.
+    What the driver holds is bounded: dim * dim sums, SAMPLE rows of AXES numbers, a box for each of at most LEAVES leaves.
     """
     axes = rotation(group.select("embedding"), dim)
-    axis = np.ascontiguousarray(axes[:, 0])
+    lead = np.ascontiguousarray(axes[:, :AXES])
+    width = lead.shape[1]
     reach = float(np.sqrt(2 - 2 * cosine)) + 1e-6  # the largest distance of unit vectors that link
-    rows = group.where(F.size("embedding") == dim).select("rep", "copies", "embedding")
+    rows = group.select("rep", "copies", "embedding")
     n = rows.count()
-    bands = min(BANDS, max(1, -(-n // tile)))
-    lead = "lead double, band int"
-    leads = rows.mapInArrow(lambda it: _placed(it, axis, np.empty(0), None), lead)
-    cuts_at = leads.approxQuantile("lead", [k / bands for k in range(1, bands)], 1 / (10 * bands)) if bands > 1 else []
-    borders = np.unique(np.array(cuts_at, dtype=np.float64))
-    size = np.zeros(len(borders) + 1, np.int64)
-    for band, count in rows.mapInArrow(lambda it: _placed(it, axis, borders, None), lead).groupBy("band").count().collect():
-        size[band] = count
-    # a band that is large, by equal coordinates or by a large input, is cut into tiles by hash
-    parts = np.maximum(1, -(-size // (2 * tile)))
-    start = np.concatenate([[0], np.cumsum(parts)[:-1]])
-    low = np.concatenate([[-np.inf], borders])
-    high = np.concatenate([borders, [np.inf]])
-    last_band = np.searchsorted(low, high + reach, side="right") - 1  # bands that begin within reach of a band's end
-    first_band = np.searchsorted(last_band, np.arange(len(size)), side="left")
-    plan = {"parts": parts, "start": start, "first": start[first_band], "last": start[last_band] + parts[last_band] - 1}
+    tile = tile or int(min(max(-(-n // TILES), TILE_ROWS), max(TILE_BYTES // (8 * dim), 256)))
+    names = [f"c{k}" for k in range(width)]
+
+    def coordinates(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = _leads(batch, lead)
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), *(pa.array(x[:, k]) for k in range(width))], ["rep", *names])
+
+    placed = rows.mapInArrow(coordinates, ", ".join(["rep long", *(f"{c} double" for c in names)]))
+    wanted = min(LEAVES, -(-n // tile))
+    sample = np.zeros((1, width))
+    if wanted > 1:
+        sample = np.array(placed.orderBy(F.xxhash64("rep"), "rep").select(*names).limit(SAMPLE).collect(), dtype=np.float64)
+    cut = Cut(sample, wanted)
+
+    def leaves(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = _leads(batch, lead)
+                yield pa.RecordBatch.from_arrays([pa.array(cut.leaf(x)), *(pa.array(x[:, k]) for k in range(width))], ["leaf", *names])
+
+    boxed = rows.mapInArrow(leaves, ", ".join(["leaf long", *(f"{c} double" for c in names)])).groupBy("leaf")
+    boxed = boxed.agg(F.count(F.lit(1)).alias("n"), F.array(*map(F.min, names)).alias("low"), F.array(*map(F.max, names)).alias("high"))
+    size, low, high = np.zeros(cut.leaves, np.int64), np.full((cut.leaves, width), np.inf), np.full((cut.leaves, width), -np.inf)
+    for r in boxed.collect():
+        size[r["leaf"]], low[r["leaf"]], high[r["leaf"]] = r["n"], r["low"], r["high"]
+    # a leaf that is large, by equal coordinates or by a large input, is cut into tiles by hash
+    parts = np.where(size > 0, np.maximum(1, -(-size // (2 * tile))), 0)
+    start = np.concatenate([[0], np.cumsum(parts)])
+    meets = np.zeros((cut.leaves, cut.leaves), bool)  # leaves within reach of each other
+    for k in np.flatnonzero(size):
+        gap = np.maximum(np.maximum(low[size > 0] - high[k], low[k] - high[size > 0]), 0)
+        meets[k, size > 0] = (gap**2).sum(axis=1) <= reach**2
+
+    def journeys(t: int) -> np.ndarray:
+        """Where tile t goes: as a guest to every home tile near it and not behind it, as host to its units. Each as one
+        number: home, unit, guest."""
+        leaf = int(np.searchsorted(start, t, side="right") - 1)
+        all_near = np.concatenate([np.arange(start[m], start[m + 1]) for m in np.flatnonzero(meets[leaf])])
+        homes = all_near[all_near <= t]
+        host = np.setdiff1d(all_near[all_near > t] // UNIT, [t // UNIT])
+        return np.concatenate([(homes << 32) | (t // UNIT << 1) | 1, (t << 32) | (host << 1)])
+
+    def tiles(batches):
+        routes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            leaf = cut.leaf(_leads(batch, lead))
+            spread = mixed(batch.column("rep").to_numpy().view(np.uint64)) % np.maximum(parts[leaf], 1).astype(np.uint64)
+            own = start[leaf] + spread.astype(np.int64)
+            for t in np.unique(own).tolist():
+                if t not in routes:
+                    routes[t] = journeys(t)
+            each = [routes[t] for t in own.tolist()]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
+            codes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(each)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "copies", "embedding")), pa.array(own), codes], ["rep", "copies", "embedding", "tile", "codes"])
+
     kind = rows.schema["embedding"].dataType.simpleString()
-    tiled = rows.mapInArrow(lambda it: _placed(it, axis, borders, plan), f"rep long, copies long, embedding {kind}, tile int, first int, last int")
-    # a tile goes to every home tile before it within reach, in units of UNIT tiles; a home goes to its own units
-    unit = F.floor(F.col("tile") / UNIT).cast("int")
-    away = tiled.select("rep", "copies", "embedding", "tile", F.explode(F.sequence("first", "tile")).alias("home"), unit.alias("unit"))
-    units = F.when(F.floor(F.col("last") / UNIT) > unit, F.sequence(unit + 1, F.floor(F.col("last") / UNIT).cast("int")))
-    own = tiled.select("rep", "copies", "embedding", "tile", F.col("tile").alias("home"), F.explode(units).alias("unit"))
-    return away.unionByName(own).groupBy("home", "unit").applyInArrow(lambda key, t: _unit(key, t, axes, cosine, cuts), LINKS)
+    sent = rows.mapInArrow(tiles, f"rep long, copies long, embedding {kind}, tile long, codes array<long>")
+    sent = sent.select("rep", "copies", "embedding", "tile", F.explode("codes").alias("code")).select(
+        "rep", "copies", "embedding", "tile",
+        F.shiftright("code", 32).alias("home"),
+        F.shiftright(F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)), 1).alias("unit"),
+        (F.col("code").bitwiseAND(F.lit(1)) == 1).alias("guest"),
+    )
+    return sent.groupBy("home", "unit").applyInArrow(lambda key, t: _unit(key, t, axes, cosine, reach, cuts), LINKS)
