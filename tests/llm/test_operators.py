@@ -108,11 +108,23 @@ def test_substrings_remove(spark, docs, rows):
     assert {r["doc_id"]: r["text"] for r in substrings.remove(pair).collect()} == {1: "keep  this,\n\nand  that", 2: ""}
 
 
-def test_repeated_windows_periodic():
+def test_repeated_windows_periodic(monkeypatch):
     ids = np.array([1, 2] * 5 + [9, 8, 7, 6])
-    got = substrings.repeated(ids, np.array([14]), 4)
     want = [k for k in range(11) if sum((ids[k : k + 4] == ids[j : j + 4]).all() for j in range(11)) > 1]
-    assert got.tolist() == want
+    for limit in (4_000_000, 3, 1):
+        assert substrings.repeated(ids, np.array([14]), 4, limit).tolist() == want
+    # a hash that tells nothing apart: the words decide
+    monkeypatch.setattr(substrings, "mixed", lambda x: np.zeros(len(x), np.uint64))
+    assert substrings.repeated(ids, np.array([14]), 4).tolist() == want
+
+
+def test_frequent_lines_draw_no_windows():
+    """A line of 20 words between other words: with its m-mers last, no window outside it takes one of them."""
+    line = [b"line%d" % i for i in range(20)]
+    late = np.zeros(1 << 22, np.uint64)
+    late[substrings.mmers(line, 5) & np.uint64((1 << 22) - 1)] = 1
+    words = [b"a%d" % i for i in range(60)] + line + [b"b%d" % i for i in range(60)]
+    assert not (substrings.minimisers(words, 35, 5, late) >> np.uint64(63)).any()
 
 
 def test_decontamination(spark, docs, rows, nothing):
@@ -152,8 +164,8 @@ def test_simhash(spark, docs, rows, nothing):
         if rows[n][0] is not None:
             low[p] = min(low.get(p, 1 << 60), rows[n][0])
     want = bag((rows[n][0], fps[n], low.get(parts[n])) for n in parts)
-    for hot in (4096, 1):  # the way of hot cells gives the same components
-        got = simhash.near_duplicates(docs, hot_cell=hot).select("doc_id", "fp", "component_id").collect()
+    for groups in (4, 5):
+        got = simhash.near_duplicates(docs, groups=groups).select("doc_id", "fp", "component_id").collect()
         assert bag((r[0], r[1] % (1 << 64), r[2]) for r in got) == want
     assert simhash.near_duplicates(nothing).count() == 0
     kept = simhash.keep_first(docs)
@@ -174,12 +186,26 @@ def test_simhash_clusters(spark):
     fps = {i: f for i, f in enumerate(sorted(fps))}
     want = brute.components_of(fps)
     table = spark.createDataFrame([(f,) for f in fps.values()], "fp long")
-    keyed = simhash.cells(table).repartition("choice", "cell").sortWithinPartitions("choice", "cell", "fp")
     number = {f: i for i, f in fps.items()}  # numbered in their order
-    links = keyed.mapInPandas(lambda it: simhash._cell_links(it, 2, 5000), "u long, v long, hot boolean").select("u", "v")
-    for found in (links, simhash._hot_links(table, 2)):
-        comp = {number[r["node"]]: number[r["component"]] for r in common.components(found).collect()}
+    for groups, batch in ((4, 10_000), (3, 7)):  # cells that hold much, in one batch and over many
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        keyed = simhash.cells(table, groups).repartition("key").sortWithinPartitions("key", "guest", "fp")
+        links = keyed.mapInPandas(lambda it: simhash._cell_links(it, 2), "u long, v long")
+        comp = {number[r["node"]]: number[r["component"]] for r in common.components(links).collect()}
         assert {i: comp.get(i, i) for i in fps} == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+
+
+def test_simhash_grid_meets_every_pair_within_reach(spark):
+    """Each pair within the radius shares a cell in which one of the two is at home; cells bound the Manhattan distance."""
+    made = [(a := int(RNG.integers(0, 1 << 62)), a ^ (1 << int(RNG.integers(0, 62))) ^ (1 << int(RNG.integers(0, 62)))) for _ in range(60)]
+    rows = simhash.cells(spark.createDataFrame([(f,) for p in made for f in p], "fp long").distinct()).collect()
+    where = {}
+    for r in rows:
+        where.setdefault(r["fp"], set()).add((r["key"], r["guest"]))
+    for a, b in made:
+        homes = [{k for k, g in where[f] if not g} for f in (a, b)]
+        assert homes[0] & {k for k, _ in where[b]} or homes[1] & {k for k, _ in where[a]}
 
 
 def test_components_chain(spark):
@@ -210,8 +236,26 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_scale_and_at_the_threshold(spark):
+    """Doubles whose squares over- or underflow, a cosine of exactly 0.95, and many ties in the leading coordinates."""
+    out, step = [], 0
+    for scale in (1.0, 2.0**-700, 2.0**700, 2.0**-1060, 8.0):
+        for v in ([20.0, 0, 0, 0, 0], [19.0, 6, 1, 1, 1], [0, 1.0, 0, 0, 0], [0, 9.0, 2.0, 0, 0], [0, 0, 0, 1.0, 1.0], [0, 0, 0, 1.0, -1.0]):
+            out.append((step, [x * scale for x in v], v))
+            step += 1
+    for k in range(60):
+        v = [0.0, 0.0, 1.0, 0.0, 1e-3 * (k % 7)]
+        out.append((1000 + k, v, v))
+    table = spark.createDataFrame([(i, list(map(float, v))) for i, v, _ in out], "vec_id long, embedding array<double>").repartition(3)
+    scaled = [(i, v) for i, _, v in out]
+    want = bag((i, n, c, i == c) for (i, _), (n, c) in zip(scaled, brute.cosines(scaled), strict=True))
+    for options in ({}, {"tile": 5}, {"tile": 11, "cuts": (1, 2, 3)}):
+        assert bag(embeddings.near_duplicates(table, **options).collect()) == want
+    assert dict(zip([i for i, _ in scaled], [x[1] for x in brute.cosines(scaled)], strict=True))[1] == 0  # 19/20 links
+
+
 def test_sharding(docs, rows, nothing):
-    got = sharding.report(docs, cells=5).collect()
+    got = sharding.report(docs, cells=8).collect()
     assert bag((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == bag((r[0], len((r[1] or "").encode()) + 1, brute.crc(r[1])) for r in rows)
     counts = Counter(r["shard"] for r in got)
     assert set(counts) == set(range(16)) and max(counts.values()) - min(counts.values()) <= 1
@@ -226,9 +270,44 @@ def test_sharding(docs, rows, nothing):
 
 
 def test_sharding_write(spark, docs, rows, tmp_path):
-    sharding.write(docs.select("doc_id", "text", "source", "lang"), str(tmp_path / "out"), cells=5)
+    """Columns that clash with shard and slot give way; every row comes back."""
+    clashing = docs.select("doc_id", "text", "source", "lang", "shard", F.lit("x").alias("slot"))
+    sharding.write(clashing, str(tmp_path / "out"), cells=8)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert bag((r["doc_id"], r["text"]) for r in back.collect()) == bag((r[0], r[1]) for r in rows)
+    placed = bag((r["doc_id"], r["shard"], r["slot"]) for r in sharding.report(docs).collect())
+    assert bag((r["doc_id"], r["shard"], r["slot"]) for r in back.collect()) == placed
+
+
+def ranked(rows, shards=16):
+    """Brute force: rows (doc_id, source, size, crc, hash) to (doc_id, size, crc, shard, slot)."""
+    by, out = {}, []
+    for r in rows:
+        by.setdefault(r[1], []).append(r)
+    for source, own in by.items():
+        own.sort(key=lambda r: (r[4], r[0] is not None, r[0] or 0, r[3], r[2]))
+        out += [((k + 0.5) / len(own), source is not None, source or "", r[4], k, r) for k, r in enumerate(own)]
+    out.sort(key=lambda x: x[:5])
+    n = len(out)
+    shard = [k * shards // n for k in range(n)]
+    return [(x[5][0], x[5][2], x[5][3], s, k - shard.index(s)) for k, (x, s) in enumerate(zip(out, shard, strict=True))]
+
+
+def hashed(docs):
+    size, crc = F.octet_length(F.coalesce("text", F.lit(""))) + 1, F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return docs.select("doc_id", "source", size.cast("long").alias("size"), crc.alias("crc")).withColumn("h", F.xxhash64(F.lit(42), "doc_id", "crc", "size")).collect()
+
+
+def test_sharding_is_the_ranking_whatever_the_session(spark, docs):
+    want = bag(ranked(list(map(tuple, hashed(docs)))))
+    try:
+        for partitions in (3, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            for cells in (1, 8, 4096):
+                got = sharding.report(docs.repartition(partitions), cells=cells).select("doc_id", "size", "text_crc32", "shard", "slot")
+                assert bag(got.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
 def test_licences(spark, docs, rows, nothing):
@@ -244,7 +323,7 @@ def test_licences(spark, docs, rows, nothing):
         6: "we use this in the public and it is free",
     }
     found = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    assert found == {1: "bsd", 2: "mit", 3: "gpl", 4: "cc", 5: "", 6: ""}
+    assert found == {1: "bsd", 2: "mit", 3: "gpl", 4: "cc", 5: "", 6: ""}, found
     assert licenses.scan(nothing).count() == 0
 
 

@@ -12,6 +12,7 @@ import corpus_pipeline
 from corpusloom.llm import common, registry
 
 from . import brute
+from .test_operators import hashed, ranked
 
 
 @pytest.fixture(scope="module")
@@ -59,6 +60,8 @@ def test_sharding_query(spark, sf, texts):
     assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {d: (len((t or "").encode()) + 1, brute.crc(t)) for d, t in texts.items()}
     counts = Counter(r["shard"] for r in got)
     assert max(counts.values()) - min(counts.values()) <= 1 and {r["law"] for r in got} == {"rows"}
+    want = ranked(list(map(tuple, hashed(common.table(spark, sf, "documents")))))
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got) == Counter(want)
 
 
 def test_warc_query_matches_its_oracle(spark, sf):
