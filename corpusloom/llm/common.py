@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,13 +22,15 @@ def text_key(text: str = "text") -> F.Column:
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs without near duplicates, where found has doc_id, text_key, component_id of every row: of each component the
-    row with the smallest doc_id, and of its texts the one with the smallest key; rows with a null doc_id stay."""
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_key").alias("_loom_key"))
-    kept = kept.withColumnRenamed("doc_id", "_loom_keep")
-    named = docs.where("doc_id is not null").join(
-        kept, (F.col("doc_id") == F.col("_loom_keep")) & (text_key() == F.col("_loom_key")), "left_semi"
-    )
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    row with the smallest doc_id, and of its texts the one with the smallest key, once; rows with a null doc_id stay.
+    Documents move once."""
+    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_key").alias("_loom_text"))
+    kept = kept.withColumnRenamed("doc_id", "_loom_doc")
+    rows = docs.where("doc_id is not null").withColumn("_loom_id", F.col("doc_id").cast("long")).withColumn("_loom_key", text_key())
+    rows = rows.join(kept, (F.col("_loom_id") == F.col("_loom_doc")) & (F.col("_loom_key") == F.col("_loom_text")), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("_loom_id", "_loom_key").orderBy(F.lit(0)))
+    rows = rows.withColumn("_loom_turn", turn).where("_loom_turn = 1").drop("_loom_id", "_loom_key", "_loom_turn")
+    return rows.unionByName(docs.where("doc_id is null"))
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, jaccard
 
 #: Fixed values of the fingerprint: shingle width in words, hash seed, largest number of differing bits that links.
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -175,3 +175,14 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     from copies and stay. All columns of docs are kept.
     """
     return common.keep_first(docs, near_duplicates(docs, **options))
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """docs without near copies of whole texts: one document of each group of texts whose five-word shingles have a Jaccard
+    similarity of 0.8 or more, by the same rule as keep_first.
+
+    Fingerprints of the shingles propose the first links; the sets themselves decide every link and find the rest, which
+    are out of a fingerprint's reach (see jaccard). Null, empty and blank texts are copies of each other; rows with a null
+    doc_id stay; repeated rows, and texts that share a doc_id, leave one; an empty table gives none; other columns are kept.
+    """
+    return common.keep_first(docs, jaccard.near_duplicates(docs))

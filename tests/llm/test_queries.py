@@ -84,7 +84,7 @@ def test_pipeline(spark, sf, texts, items):
     assert kept.columns == columns and rows == {d: t for d, t in texts.items() if quality[d] == 1} and rows
 
     deduped = common.stage(stages["simhash_dedup"](spark, kept, sf), "test-pipeline")
-    comp = brute.components_of({d: brute.fingerprint(t) for d, t in rows.items()})
+    comp = brute.jaccard_components(rows)
     left = {r["doc_id"]: r["text"] for r in deduped.collect()}
     assert deduped.columns == columns and left == {d: rows[d] for d in set(comp.values())}
 
