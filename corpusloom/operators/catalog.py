@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +52,11 @@ def empty(spark: SparkSession, name: str) -> DataFrame:
 
 
 class Catalog:
-    """Tables as Parquet snapshots under a folder: a save writes a new snapshot, then moves the pointer to it.
+    """Tables as Parquet snapshots under a folder. A save writes the next snapshot, then one act makes it
+    the current one: a marker file of its number, which holds a note that is thus saved with the rows or not at all.
 
-    Readers keep the snapshot that they opened; nothing overwrites files that are read.
+    Readers keep the snapshot that they opened; nothing overwrites files that are read. A save that dies leaves a
+    snapshot without a marker, which no reader sees and the next save steps over.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -62,26 +66,50 @@ class Catalog:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.path}/{name}/current"
+    def _numbers(self, name: str) -> tuple[list[int], list[int]]:
+        """Numbers of snapshots that are complete, and of all."""
+        fs, p = self._fs(f"{self.path}/{name}")
+        names = [str(f.getPath().getName()) for f in fs.listStatus(p)] if fs.exists(p) else []
+        numbers = lambda end: sorted(int(n[1 : len(n) - len(end)]) for n in names if n[:1] == "v" and n.endswith(end) and n[1 : len(n) - len(end)].isdigit())
+        return numbers(".done"), numbers("")
 
     def exists(self, name: str) -> bool:
-        fs, p = self._fs(self._pointer(name))
-        return fs.exists(p)
+        return self.version(name) > 0
 
     def version(self, name: str) -> int:
-        return self.spark.read.text(self._pointer(name)).selectExpr("cast(value as int)").first()[0] if self.exists(name) else 0
+        return max(self._numbers(name)[0], default=0)
+
+    def note(self, name: str) -> dict:
+        """What was noted with the current snapshot."""
+        n = self.version(name)
+        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.path}/{name}/v{n}.done").first()[0]) if n else {}
 
     def load(self, name: str) -> DataFrame:
-        if not self.exists(name):
-            return empty(self.spark, name)
-        return self.spark.read.parquet(f"{self.path}/{name}/v{self.version(name)}")
+        n = self.version(name)
+        return self.spark.read.parquet(f"{self.path}/{name}/v{n}") if n else empty(self.spark, name)
 
-    def save(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> None:
-        n = self.version(name) + 1
+    def save(self, name: str, df: DataFrame, partition_by: list[str] | None = None, note: dict | None = None) -> None:
+        """df as the next snapshot; note (kept from the current one where it is None) goes with it."""
+        note = self.note(name) if note is None else note
+        n = max(self._numbers(name)[1], default=0) + 1
         writer = df.write.mode("errorifexists")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/{name}/v{n}")
-        self.spark.range(1).selectExpr(f"'{n}' as value").coalesce(1).write.mode("overwrite").text(self._pointer(name))
+        fs, draft = self._fs(f"{self.path}/{name}/v{n}.draft")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps(note).encode()))
+        out.close()
+        if not fs.rename(draft, self._fs(f"{self.path}/{name}/v{n}.done")[1]):
+            raise OSError(f"snapshot {n} of {name} could not be made the current one")
+
+    def vacuum(self, name: str, keep: int = 2) -> None:
+        """Delete all but the latest `keep` snapshots; readers of older ones must be done."""
+        done, every = self._numbers(name)
+        kept = set(done[-keep:])
+        for n in every:
+            if n not in kept and n < max(done, default=0):
+                for path in (f"v{n}.done", f"v{n}"):
+                    fs, p = self._fs(f"{self.path}/{name}/{path}")
+                    fs.delete(p, True)
 
 
 def violations(name: str, df: DataFrame) -> DataFrame:

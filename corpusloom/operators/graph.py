@@ -8,52 +8,73 @@ from pyspark.sql import functions as F
 from ..staging import stage
 
 
-def normalise(target: Column) -> Column:
-    """Alias, leading ./ and ../, and .md off."""
-    out = F.trim(F.regexp_replace(target, r"\|.*$", ""))
-    return F.regexp_replace(F.regexp_replace(out, r"^(?:\./)?(?:\.\./)*", ""), r"\.md$", "")
+def fold_ascii(text: Column) -> Column:
+    """A-Z in lower case, other letters as they are."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def candidate_keys(documents: DataFrame) -> DataFrame:
-    """key, project_id, document_id: every string by which a document can be linked: its source id, title, path and
-    each whole-part suffix of its path, with and without .md. Suffixes become keys, so resolution is an equi-join."""
-    parts = F.split("file_path", "/")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-    names = F.concat(F.array("source_doc_id", "title"), F.coalesce(suffixes, F.array().cast("array<string>")))
-    keys = F.array_distinct(F.array_compact(F.concat(names, F.transform(names, lambda x: F.regexp_replace(x, r"\.md$", "")))))
-    return documents.select(F.explode(keys).alias("key"), "project_id", F.col("id").alias("document_id"))
+def target(raw: Column) -> Column:
+    """A raw link without its alias."""
+    return F.trim(F.split_part(raw, F.lit("|"), F.lit(1)))
+
+
+def normalise(raw: Column) -> Column:
+    """Alias, leading ./ and then ../, and .md off."""
+    out = F.regexp_replace(F.regexp_replace(target(raw), r"^(?:\./)+", ""), r"^(?:\.\./)+", "")
+    return F.regexp_replace(out, r"\.md$", "")
+
+
+def candidate_keys(documents: DataFrame, lengths: list[int]) -> DataFrame:
+    """kind, key, project_id, document_id: the strings by which a document is found. Kind `name`: its source id and title;
+    kind `end`: the ends of its path of the given lengths. With these, resolution is an equi-join."""
+    path = fold_ascii(F.col("file_path"))
+    sizes = F.array(*map(F.lit, lengths)).cast("array<int>")
+    ends = F.transform(F.filter(sizes, lambda n: n <= F.length(path)), lambda n: F.struct(F.lit("end").alias("kind"), F.right(path, n).alias("key")))
+    names = F.transform(F.array_compact(F.array("source_doc_id", "title")), lambda x: F.struct(F.lit("name").alias("kind"), fold_ascii(x).alias("key")))
+    keys = F.array_distinct(F.concat(names, F.coalesce(ends, F.array().cast("array<struct<kind:string,key:string>>"))))
+    return documents.select(F.inline(keys), "project_id", F.col("id").alias("document_id"))
 
 
 def resolve(links: DataFrame, documents: DataFrame, aliases: DataFrame, projects: DataFrame | None = None, scheme: str = "doc") -> DataFrame:
     """source_id, target_raw, target_id, resolution of links (source_id, target_raw).
 
-    In order: an internal URI by its project's source id and document id; the source's own project by any candidate
-    key; any project; an alias. The smallest document id wins within a step. What nothing resolves has a null target
-    and resolution `unresolved`, and is tried again whenever this runs.
+    In order: an internal URI by its project's source id and document id; the source's own project; any project; an
+    alias. In a project a target names a document by source id or title, or by any end of its path, with or without
+    `.md`; A-Z match in any case. The smallest document id wins within a step. What nothing resolves, an empty target
+    among it, has a null target and resolution `unresolved`, and is tried again whenever this runs.
+
+    Equal targets of a project are resolved once. Documents that share a key are reduced to the smallest id of each
+    project, and of all, before anything is joined: a target meets two rows a key, however many files are called README.
     """
     docs = documents.select(F.col("id").alias("_id"), F.col("project_id").alias("_project"))
-    rows = links.join(docs, F.col("source_id") == F.col("_id"), "left").drop("_id").withColumn("norm", normalise(F.col("target_raw")))
-    keys = candidate_keys(documents)
-    wanted = rows.select("source_id", "target_raw", "_project", F.explode(F.array_distinct(F.array("target_raw", "norm"))).alias("key"))
-    named = wanted.join(keys, "key").select(
-        "source_id", "target_raw", F.when(F.col("project_id") == F.col("_project"), 2).otherwise(3).alias("step"), "document_id"
-    )
+    rows = links.join(docs, F.col("source_id") == F.col("_id"), "left").drop("_id")
+    asked = rows.select("_project", "target_raw").distinct().withColumns({"t": target(F.col("target_raw")), "n": normalise(F.col("target_raw"))})
+
+    def want(kind: str, x: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), fold_ascii(x).alias("key"))
+
+    forms = F.array(want("name", F.col("t")), want("name", F.col("n")), want("end", F.col("t")), want("end", F.col("n")), want("end", F.concat("n", F.lit(".md"))))
+    bare = (F.col("t") != "") & (F.col("n") != "")
+    wanted = asked.where(bare).select("_project", "target_raw", F.inline(F.array_distinct(forms)))
+    lengths = [r[0] for r in wanted.where("kind = 'end'").select(F.length("key")).distinct().collect()]  # no more than the longest path has
+    keys = candidate_keys(documents, sorted(lengths))
+    own = keys.groupBy("kind", "key", "project_id").agg(F.min("document_id").alias("document_id"))
+    every = own.groupBy("kind", "key").agg(F.min("document_id").alias("document_id"))
+    here = wanted.join(own, ["kind", "key"]).where("project_id = _project").select("_project", "target_raw", F.lit(2).alias("step"), "document_id")
+    found = here.unionByName(wanted.join(every, ["kind", "key"]).select("_project", "target_raw", F.lit(3).alias("step"), "document_id"))
     known = aliases.groupBy(F.col("alias").alias("key")).agg(F.min("document_id").alias("document_id"))
-    aliased = wanted.join(known, "key").select("source_id", "target_raw", F.lit(4).alias("step"), "document_id")
-    found = named.unionByName(aliased)
+    aliased = asked.where(bare).select("_project", "target_raw", F.explode(F.array_distinct(F.array("t", "n"))).alias("key")).join(known, "key")
+    found = found.unionByName(aliased.select("_project", "target_raw", F.lit(4).alias("step"), "document_id"))
     if projects is not None:
-        uri = rows.where(F.startswith("target_raw", F.lit(f"{scheme}://"))).select(
-            "source_id",
-            "target_raw",
-            F.regexp_extract("target_raw", rf"^{scheme}://([^/]+)/(.+)$", 1).alias("_sp"),
-            F.regexp_extract("target_raw", rf"^{scheme}://([^/]+)/(.+)$", 2).alias("_sd"),
-        )
+        uri = rf"{scheme}://([^/\s]+(?: [^/\s]+)*)/([^\s\]\).,]+)"
+        parts = asked.select("_project", "target_raw", *(F.regexp_extract("target_raw", uri, i).alias(f"_s{i}") for i in (1, 2))).where("_s1 <> ''")
         owned = documents.join(projects.select(F.col("id").alias("project_id"), "source_project_id"), "project_id")
-        exact = uri.join(owned, (F.col("_sp") == F.col("source_project_id")) & (F.col("_sd") == F.col("source_doc_id")))
-        found = found.unionByName(exact.select("source_id", "target_raw", F.lit(1).alias("step"), F.col("id").alias("document_id")))
-    best = found.groupBy("source_id", "target_raw").agg(F.min(F.struct("step", "document_id")).alias("b"))
+        owned = owned.groupBy("source_project_id", "source_doc_id").agg(F.min("id").alias("document_id"))
+        exact = parts.join(owned, (F.col("_s1") == F.col("source_project_id")) & (F.col("_s2") == F.col("source_doc_id")))
+        found = found.unionByName(exact.select("_project", "target_raw", F.lit(1).alias("step"), "document_id"))
+    best = found.groupBy("_project", "target_raw").agg(F.min(F.struct("step", "document_id")).alias("b")).withColumnsRenamed({"_project": "_p", "target_raw": "_t"})
     names = F.element_at(F.array(*map(F.lit, ("uri", "project", "global", "alias"))), F.col("b.step"))
-    out = links.alias("l").join(best.alias("r"), ["source_id", "target_raw"], "left")
+    out = rows.join(best, F.col("_project").eqNullSafe(F.col("_p")) & (F.col("target_raw") == F.col("_t")), "left")
     return out.select("source_id", "target_raw", F.col("b.document_id").alias("target_id"), F.when(F.col("b").isNull(), "unresolved").otherwise(names).alias("resolution"))
 
 

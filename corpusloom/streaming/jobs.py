@@ -36,19 +36,18 @@ def merge_pairs(table: DataFrame, new: DataFrame) -> DataFrame:
 def stream_session_pairs(accesses: DataFrame, catalog, checkpoint: str, gap: str = GAP, lateness: str = LATENESS, **trigger):
     """Stream: closed sessions are merged into the catalog's document_co_refs. Accesses later than `lateness` are dropped.
 
-    State is one set of ids an open session. The batch number is stored with the table, so a batch that runs again
-    after a failure isn't counted twice.
+    State is one set of ids an open session. The number of the last batch of each checkpoint is noted with the snapshot
+    that holds its pairs, in one act, so a batch that runs again after a failure isn't counted twice.
     """
     grouped = accesses.withWatermark("ts", lateness).groupBy("session_id", F.session_window("ts", gap)).agg(F.collect_set("document_id").alias("documents"), F.max("ts").alias("seen"))
 
     def merge(batch: DataFrame, number: int) -> None:
-        done = catalog.load("system_config").where(F.col("key") == f"co_refs:{checkpoint}").agg(F.max(F.col("value").cast("long"))).first()[0]
-        if done is not None and number <= done:
+        note = catalog.note("document_co_refs")
+        if number <= note.get(checkpoint, -1):
+            batch.write.format("noop").mode("overwrite").save()  # its pairs are there, but the stream's state is still to be committed
             return
         pairs = _counted(_pairs(batch.where(F.size("documents") > 1)))
-        catalog.save("document_co_refs", merge_pairs(catalog.load("document_co_refs"), pairs))
-        mark = batch.sparkSession.createDataFrame([(f"co_refs:{checkpoint}", str(number), number)], "key string, value string, updated_at long")
-        catalog.save("system_config", catalog.load("system_config").where(F.col("key") != f"co_refs:{checkpoint}").unionByName(mark))
+        catalog.save("document_co_refs", merge_pairs(catalog.load("document_co_refs"), pairs), note=note | {checkpoint: number})
 
     return grouped.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(**(trigger or {"availableNow": True})).start()
 

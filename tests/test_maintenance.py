@@ -47,6 +47,18 @@ def test_catalog_snapshots(spark, tmp_path):
     assert opened.count() == 1 and store.load("document_tags").count() == 2 and store.version("document_tags") == 2
 
 
+def test_catalog_survives_a_save_that_dies(spark, tmp_path):
+    """A snapshot without its marker isn't seen, and the next save steps over it; the note goes with the rows."""
+    store, one = catalog.Catalog(spark, str(tmp_path / "c")), spark.createDataFrame([(1, "x")], catalog.SCHEMAS["document_tags"])
+    store.save("document_tags", one, note={"batch": 4})
+    one.write.parquet(f"{store.path}/document_tags/v2")  # died before the marker
+    assert store.version("document_tags") == 1 and store.load("document_tags").count() == 1
+    store.save("document_tags", one.unionByName(one))
+    assert store.version("document_tags") == 3 and store.load("document_tags").count() == 2 and store.note("document_tags") == {"batch": 4}
+    store.vacuum("document_tags", keep=1)
+    assert sorted(p.name for p in (tmp_path / "c" / "document_tags").iterdir() if not p.name.startswith(".")) == ["v3", "v3.done"]
+
+
 def test_children_aliases_and_violations(spark):
     old = spark.createDataFrame([(1, "x"), (2, "y")], "document_id long, tag string")
     new = spark.createDataFrame([(1, "n"), (1, "n")], "document_id long, tag string")
@@ -82,13 +94,14 @@ def test_audit_appends(spark):
 
 
 def test_links_resolve_in_order(spark, docs):
-    links = spark.createDataFrame([(1, "Beta"), (1, "Alpha"), (1, "../sub/b.md|shown"), (3, "b"), (2, "nick"), (1, "nothing"), (1, "doc://ext/c")], "source_id long, target_raw string")
+    links = spark.createDataFrame([(1, "Beta"), (1, "Alpha"), (1, "../sub/b.md|shown"), (3, "b"), (2, "nick"), (1, "nothing"), (1, "doc://ext/c"), (1, "ES/SUB/B"), (1, "iki/c"), (1, ""), (9, "beta")], "source_id long, target_raw string")
     aliases = spark.createDataFrame([(4, "nick"), (3, "nick")], "document_id long, alias string")
     projects = spark.createDataFrame([(1, "own"), (2, "ext")], "id long, source_project_id string")
     got = {(r["source_id"], r["target_raw"]): (r["target_id"], r["resolution"]) for r in graph.resolve(links, docs, aliases, projects).collect()}
     assert got == {
         (1, "Beta"): (2, "project"), (1, "Alpha"): (1, "project"), (1, "../sub/b.md|shown"): (2, "project"), (3, "b"): (4, "project"),
         (2, "nick"): (3, "alias"), (1, "nothing"): (None, "unresolved"), (1, "doc://ext/c"): (3, "uri"),
+        (1, "ES/SUB/B"): (2, "project"), (1, "iki/c"): (3, "global"), (1, ""): (None, "unresolved"), (9, "beta"): (2, "global"),
     }
 
 
@@ -215,7 +228,7 @@ def test_markdown_tree(spark, tmp_path):
 
 def test_write_back(spark, tmp_path):
     rows = spark.createDataFrame([("f", "T", "one", "2024"), ("f", "T", "two", "2024"), ("../up", "T", "bad", "2024")], "folder string, title string, content string, created string")
-    assert readers.write_documents(rows, str(tmp_path)) == 1
+    assert [r["error"] for r in readers.write_documents(rows, str(tmp_path)).collect() if r["error"]] == ["folder isn't a valid path"]
     back = readers.parse_markdown(readers.markdown_listing(spark, str(tmp_path))).collect()
     assert len(back) == 2 and {r["title"] for r in back} == {"T"}
 
@@ -274,6 +287,36 @@ def test_session_pairs_batch_and_stream(spark, tmp_path):
     assert [(r[0], r[1], r[2]) for r in store.load("document_co_refs").collect()] == [(10, 20, 2)]
 
 
+def test_stream_counts_a_batch_once_when_it_dies(spark, tmp_path, monkeypatch):
+    """The stream dies just before and just after the act that saves a batch; run again, each pair counts once."""
+    schema = "session_id string, document_id long, ts timestamp"
+    source, store = str(tmp_path / "in"), catalog.Catalog(spark, str(tmp_path / "c"))
+    spark.createDataFrame(access(("s1", 1, 0), ("s1", 2, 9), ("late", 3, 90_000)), schema).write.parquet(source)
+    save = catalog.Catalog.save
+
+    def run():
+        stream = jobs.stream_session_pairs(spark.readStream.schema(schema).parquet(source), store, str(tmp_path / "k"))
+        try:
+            stream.awaitTermination(120)
+        except Exception:
+            return False
+        return True
+
+    def before(self, *a, **b):
+        raise OSError("gone")
+
+    def after(self, *a, **b):
+        save(self, *a, **b)
+        raise OSError("gone")
+
+    for fault in (before, after):
+        monkeypatch.setattr(catalog.Catalog, "save", fault)
+        assert not run()
+        monkeypatch.setattr(catalog.Catalog, "save", save)
+    assert run()
+    assert [tuple(r)[:3] for r in store.load("document_co_refs").collect()] == [(1, 2, 1)]
+
+
 def test_views_and_debounce(spark):
     views = spark.createDataFrame(access(("", 1, 0), ("", 1, 9), ("", 2, 3)), "x string, document_id long, ts timestamp")
     assert by(jobs.view_counts(views), "document_id", "count") == {1: 2, 2: 1}

@@ -1,10 +1,28 @@
-"""Write-back of many documents with one title."""
+"""Write-back of many documents: names are settled before anything is written."""
 
 from corpusloom.sources import documents
 
+COLUMNS = "folder string, title string, content string, created string"
+
+
+def texts(path):
+    return sorted(p.read_text().rstrip().rsplit("\n", 1)[-1] for p in path.rglob("*.md"))
+
 
 def test_no_document_of_a_title_is_lost(spark, tmp_path):
-    rows = spark.createDataFrame([("f", "T", f"text {i}", "2024") for i in range(14)], "folder string, title string, content string, created string")
-    assert documents.write_documents(rows, str(tmp_path)) == 0
-    found = [p.read_text() for p in (tmp_path / "f").iterdir()]
-    assert len(found) == 14 and all(any(t.rstrip().endswith(f"text {i}") for t in found) for i in range(14))
+    rows = spark.createDataFrame([("f", "T", f"text {i}", "2024") for i in range(14)], COLUMNS).repartition(4)
+    made = documents.write_documents(rows, str(tmp_path)).collect()
+    assert len({r["path"] for r in made}) == 14 and all(r["error"] is None for r in made)
+    assert texts(tmp_path / "f") == sorted(f"text {i}" for i in range(14))
+    # more of that title later: no file is written over
+    more = spark.createDataFrame([("f", "T", f"later {i}", "2024") for i in range(3)] + [("f", "T 2", "own", "2024")] * 2, COLUMNS)
+    assert len({r["path"] for r in documents.write_documents(more, str(tmp_path)).collect()}) == 5
+    assert texts(tmp_path / "f") == sorted([f"text {i}" for i in range(14)] + [f"later {i}" for i in range(3)] + ["own", "own"])
+    assert not list(tmp_path.rglob("*.draft"))
+
+
+def test_rows_that_cannot_be_written_are_reported(spark, tmp_path):
+    rows = spark.createDataFrame([(None, "A", None, None), ("../up", "B", "x", "2024"), ("f", "  ", "x", "2024"), ("f", None, "x", "2024")], COLUMNS)
+    made = {r["title"]: (r["path"], r["error"]) for r in documents.write_documents(rows, str(tmp_path / "new")).collect()}
+    assert made["A"] == ("A.md", None) and made["B"][1] == "folder isn't a valid path" and made[None][1] == made["  "][1] == "no title"
+    assert len(list((tmp_path / "new").rglob("*.md"))) == 1
