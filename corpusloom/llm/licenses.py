@@ -212,6 +212,7 @@ def scan(docs: DataFrame, rarest: int = RAREST, agree: float = AGREE) -> DataFra
         .agg(F.collect_set("label").alias("found"), F.max(F.col("lined_up") / F.col("expected")).alias("share"))
         .withColumnRenamed("text_key", "_key")
     )
+    found = common.stage(found, "licence-labels")  # so that a text with many copies can be split when it is joined
     joined = rows.join(found, F.col("text_key") == F.col("_key"), "left")
     labels = F.array_sort(F.array_union("base_labels", F.coalesce("found", F.array().cast("array<string>"))))
     n_base = F.size("base").cast("long")
