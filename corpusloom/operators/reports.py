@@ -142,12 +142,26 @@ def search_quality(hits: DataFrame, expected: DataFrame, at: int = 5) -> DataFra
     )
 
 
+def reciprocal_ranks(hits: DataFrame, expected: DataFrame) -> DataFrame:
+    """query_id, reciprocal_rank of its first expected document (0 where no hit is one), hits: of each query with expected
+    documents."""
+    want = expected.select("query_id", "document_id").distinct()
+    best = hits.join(want, ["query_id", "document_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("_best"))
+    found = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+    rows = want.select("query_id").distinct().join(best, "query_id", "left").join(found, "query_id", "left")
+    return rows.select("query_id", F.coalesce(1 / F.col("_best"), F.lit(0.0)).alias("reciprocal_rank"), F.coalesce("_n", F.lit(0)).alias("hits"))
+
+
 def enriched_hits(hits: DataFrame, documents: DataFrame, projects: DataFrame, freshness: DataFrame, tags: DataFrame, instances: DataFrame) -> DataFrame:
-    """Hits with title, project, url, tags, freshness and the cache lifetime of their plugin."""
+    """Hits with title, display path, project, url, tags, freshness and the cache lifetime of their plugin. The path is
+    without the project's root where projects has one."""
+    from ..functions.text import display_path
     from .freshness import with_freshness
 
-    docs = documents.select(F.col("id").alias("document_id"), "project_id", "source_doc_id", "title", "url", "metadata_json")
-    rows = hits.join(docs, "document_id").join(projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id")
+    docs = documents.select(F.col("id").alias("document_id"), "project_id", "source_doc_id", "title", "url", "metadata_json", "file_path")
+    root = F.coalesce(F.col("path"), F.lit("")) if "path" in projects.columns else F.lit("")
+    rows = hits.join(docs, "document_id").join(projects.select(F.col("id").alias("project_id"), F.col("name").alias("project"), root.alias("_root")), "project_id")
+    rows = rows.withColumn("display_path", display_path(F.col("file_path"), F.col("_root"), F.col("project"))).drop("_root", "file_path")
     rows = with_freshness(rows, freshness).join(document_tags(tags), "document_id", "left")
     ttl = instances.groupBy("project_id").agg(F.max("cache_ttl_minutes").alias("cache_ttl_minutes"))
     return rows.join(ttl, "project_id", "left").withColumn("title", F.coalesce(F.nullif("title", F.lit("")), "source_doc_id"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import uuid
+import warnings
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..staging import stage_dir
 
 #: BM25 constants and weights of content, heading and title; idf floor; fusion constant; vector distance kept.
 K1, B, WEIGHTS, IDF_FLOOR, RRF_K, MAX_DISTANCE = 1.2, 0.75, {"content": 1.0, "heading_path": 3.0, "title": 10.0}, 1e-6, 60, 1.0
@@ -61,59 +64,117 @@ def phrases(text: str) -> list[tuple[list[str], bool]]:
     return [(t, prefix) for t, prefix in found if t]
 
 
-def phrase_table(spark: SparkSession, queries: list[SearchQuery]) -> DataFrame:
-    """query_id, phrase_id, idx, term, is_prefix (of the phrase's last token), length."""
-    rows = [
+PHRASE = "query_id long, phrase_id int, idx int, term string, is_prefix boolean, length int"
+
+
+def phrase_rows(queries: list[SearchQuery]) -> list[tuple]:
+    return [
         (q.query_id, n, i, term, prefix and i == len(tokens) - 1, len(tokens))
         for q in queries
         for n, (tokens, prefix) in enumerate(phrases(q.text))
         for i, term in enumerate(tokens)
     ]
-    return spark.createDataFrame(rows, "query_id long, phrase_id int, idx int, term string, is_prefix boolean, length int")
+
+
+def phrase_table(spark: SparkSession, queries: list[SearchQuery]) -> DataFrame:
+    """query_id, phrase_id, idx, term, is_prefix (of the phrase's last token), length."""
+    return spark.createDataFrame(phrase_rows(queries), PHRASE)
 
 
 def postings(chunks: DataFrame, columns=("content", "heading_path", "title")) -> DataFrame:
-    """chunk_id, col, pos, term of every token of chunks (id and text columns). Built once, it is the inverted index."""
+    """term, chunk_id, col, positions: a row for each term of each column of chunks (id and text columns)."""
     parts = [chunks.select(F.col("id").alias("chunk_id"), F.lit(c).alias("col"), F.posexplode(X.tokens(F.col(c))).alias("pos", "term")) for c in columns if c in chunks.columns]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return out.groupBy("term", "chunk_id", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def doc_lengths(index: DataFrame) -> DataFrame:
     """chunk_id and tokens over all columns."""
-    return index.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("length"))
+    return index.groupBy("chunk_id").agg(F.sum(F.size("positions")).alias("length"))
 
 
-def matches(index: DataFrame, phrase_rows: DataFrame) -> DataFrame:
-    """query_id, phrase_id, chunk_id, col, start of every place where a phrase stands.
+class Index:
+    """An inverted index: postings, chunk lengths, and the corpus statistics that BM25 needs.
 
-    Only postings of the queries' terms are read: prefixes are first resolved over the distinct terms, then all joins
-    are on equal terms against the small query side.
+    As files, postings are sorted by term over files and row groups, so a search reads those of its terms and prefixes
+    only; the statistics are one row, made once.
     """
-    exact = phrase_rows.where("not is_prefix").select("query_id", "phrase_id", "idx", "length", F.col("term").alias("want"))
-    prefixes = phrase_rows.where("is_prefix")
-    terms = index.select("term").distinct()
-    spread = prefixes.join(terms.withColumnRenamed("term", "want"), F.startswith(F.col("want"), F.col("term"))).select("query_id", "phrase_id", "idx", "length", "want")
-    wanted = exact.unionByName(spread).distinct()
-    hits = index.join(wanted, F.col("term") == F.col("want")).select("query_id", "phrase_id", "chunk_id", "col", (F.col("pos") - F.col("idx")).alias("start"), "idx", "length")
-    grouped = hits.groupBy("query_id", "phrase_id", "chunk_id", "col", "start", "length").agg(F.count_distinct("idx").alias("n"))
+
+    def __init__(self, postings: DataFrame, lengths: DataFrame, total: int, mean: float):
+        self.postings, self.lengths, self.total, self.mean = postings, lengths, total, mean
+
+    @staticmethod
+    def write(chunks: DataFrame, path: str, columns=("content", "heading_path", "title")) -> None:
+        """The index job: tokenises chunks once and writes the index to path (which must be new)."""
+        made = postings(chunks, columns).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id", "col")
+        made.write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+        spark = chunks.sparkSession
+        doc_lengths(spark.read.parquet(f"{path}/postings").select("chunk_id", "positions")).write.parquet(f"{path}/lengths")
+        stats = spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("total"), F.avg("length").alias("mean"))
+        stats.write.parquet(f"{path}/stats")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Index:
+        total, mean = spark.read.parquet(f"{path}/stats").select("total", "mean").first()
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), total, mean or 1.0)
+
+    @classmethod
+    def build(cls, chunks: DataFrame, columns=("content", "heading_path", "title")) -> Index:
+        """Written to a new folder among the staged tables, and opened."""
+        path = f"{stage_dir(chunks.sparkSession)}/index-{uuid.uuid4().hex}"
+        cls.write(chunks, path, columns)
+        return cls.open(chunks.sparkSession, path)
+
+    def of(self, asked: list[tuple]) -> DataFrame:
+        """Postings of the asked phrases' terms and prefixes, as a filter that reaches the scan."""
+        exact, prefixes = ({r[3] for r in asked if r[4] is p} for p in (False, True))
+        if len(exact) + len(prefixes) > 2000:
+            return self.postings  # the join with the phrases does it
+        keep = F.col("term").isin(sorted(exact))
+        for p in sorted(prefixes):
+            keep = keep | F.startswith(F.col("term"), F.lit(p))
+        return self.postings.where(keep)
+
+
+def _hits(index: DataFrame, phrase_rows: DataFrame) -> DataFrame:
+    """Postings with each phrase token that they match, by equality or as the beginning of the term."""
+    rows = index.select("term", "chunk_id", "col", "positions")
+    wanted = phrase_rows.withColumnRenamed("term", "want")
+    exact = rows.join(wanted.where("not is_prefix"), F.col("term") == F.col("want"))
+    heads = F.array_distinct(F.array(*(F.left("term", F.lit(n)) for n in (1, 2, 3))))  # a prefix has three characters at most
+    begins = rows.withColumn("_head", F.explode(heads)).join(wanted.where("is_prefix"), F.col("_head") == F.col("want")).drop("_head")
+    return exact.unionByName(begins)
+
+
+def matches(index: DataFrame, phrase_rows: DataFrame) -> DataFrame:
+    """query_id, phrase_id, chunk_id, col, start of every place where a phrase stands: equi-joins on terms alone."""
+    hits = _hits(index, phrase_rows).select("query_id", "phrase_id", "chunk_id", "col", "idx", "length", F.explode("positions").alias("pos"))
+    grouped = hits.groupBy("query_id", "phrase_id", "chunk_id", "col", (F.col("pos") - F.col("idx")).alias("start"), "length").agg(F.count_distinct("idx").alias("n"))
     return grouped.where("n = length").select("query_id", "phrase_id", "chunk_id", "col", "start")
 
 
-def bm25(index: DataFrame, lengths: DataFrame, phrase_rows: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score: weighted phrase frequencies, idf floored at 1e-6, summed over the query's phrases."""
-    total, mean = lengths.agg(F.count(F.lit(1)), F.avg("length")).first()
+def bm25(index: Index, asked: DataFrame | list[tuple]) -> DataFrame:
+    """query_id, chunk_id, score: weighted phrase frequencies, idf floored at 1e-6, summed over the query's phrases.
+
+    asked: phrase rows, as a list (some searches: the scan reads their terms only) or as a table (many searches).
+    """
+    rows, phrases_ = index.postings, asked
+    if isinstance(asked, list):
+        rows, phrases_ = index.of(asked), F.broadcast(index.postings.sparkSession.createDataFrame(asked, PHRASE))  # the callers' own queries
     weight = F.lit(0.0)
     for name, w in WEIGHTS.items():
         weight = F.when(F.col("col") == name, w).otherwise(weight)
-    freq = matches(index, phrase_rows).groupBy("query_id", "phrase_id", "chunk_id").agg(F.sum(weight).alias("freq"))
+    # a single token's frequency is its number of positions; only longer phrases are laid side by side
+    single = _hits(rows, phrases_.where("length = 1")).select("query_id", "phrase_id", "chunk_id", (weight * F.size("positions")).alias("w"))
+    several = matches(rows, phrases_.where("length > 1")).select("query_id", "phrase_id", "chunk_id", weight.alias("w"))
+    freq = single.unionByName(several).groupBy("query_id", "phrase_id", "chunk_id").agg(F.sum("w").alias("freq"))
     df = freq.groupBy("query_id", "phrase_id").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.log((F.lit(float(index.total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
-    scored = freq.join(df, ["query_id", "phrase_id"]).join(lengths, "chunk_id")
-    part = idf * F.col("freq") * (K1 + 1) / (F.col("freq") + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
+    scored = freq.join(df, ["query_id", "phrase_id"]).join(index.lengths, "chunk_id")
+    part = idf * F.col("freq") * (K1 + 1) / (F.col("freq") + K1 * (1 - B + B * F.col("length") / F.lit(float(index.mean))))
     return scored.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
@@ -179,7 +240,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, max_distance: float | No
         if not rows:
             continue
         ids = np.array([r[0] for r in rows])
-        q = np.array([r[1] for r in rows], dtype=np.float32)
+        q = np.array([r[1] for r in rows], dtype=np.float64)
         made = vectors.select("chunk_id", "embedding").mapInPandas(lambda it, q=q, ids=ids: _nearest(it, q, ids, k), "query_id long, chunk_id long, distance double")
         out = made if out is None else out.unionByName(made)
     if out is None:
@@ -195,27 +256,70 @@ def vector_score(distance: Column) -> Column:
     return 1.0 / (RRF_K + distance)
 
 
+#: Queries and vectors in one matrix product of a task.
+KNN_QUERIES, KNN_ROWS = 256, 4096
+
+
 def _nearest(batches, q: np.ndarray, ids: np.ndarray, k: int):
+    exact = np.float32 if q.shape[1] <= 1024 else np.float64  # sums of products of int8 are exact in these
+    q = q.astype(exact)
     own = (q.astype(np.int64) ** 2).sum(1)
-    best = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(ids)
+    best = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)) for _ in range(0, len(ids), KNN_QUERIES)]
     for pdf in batches:
-        if not len(pdf):
-            continue
-        x = np.stack(pdf["embedding"].to_numpy()).astype(np.float32)
-        chunk = pdf["chunk_id"].to_numpy()
-        # products of int8 vectors are exact in single precision up to 1024 dimensions
-        square = own[:, None] + (x.astype(np.int64) ** 2).sum(1)[None, :] - 2 * np.rint(q @ x.T).astype(np.int64)
-        for i in range(len(ids)):
-            d, c = np.concatenate([best[i][0], square[i]]), np.concatenate([best[i][1], chunk])
-            keep = np.lexsort((c, d))[:k]
-            best[i] = d[keep], c[keep]
-    yield pd.DataFrame(
-        {
-            "query_id": np.repeat(ids, [len(b[0]) for b in best]),
-            "chunk_id": np.concatenate([b[1] for b in best]) if best else [],
-            "distance": np.sqrt(np.concatenate([b[0] for b in best]).astype(np.float64)) if best else [],
-        }
-    )
+        for at in range(0, len(pdf), KNN_ROWS):
+            part = pdf.iloc[at : at + KNN_ROWS]
+            x = np.stack(part["embedding"].to_numpy()).astype(exact)
+            chunk, norm = part["chunk_id"].to_numpy(), (x.astype(np.int64) ** 2).sum(1)
+            for b in range(len(best)):
+                block = slice(b * KNN_QUERIES, (b + 1) * KNN_QUERIES)
+                square = own[block, None] + norm[None, :] - 2 * np.rint(q[block] @ x.T).astype(np.int64)
+                # all that are no farther than the k-th, ties among them, then in order of distance and id
+                last = np.partition(square, k - 1, axis=1)[:, k - 1] if square.shape[1] > k else square.max(axis=1)
+                row, column = np.nonzero(square <= last[:, None])
+                row, d, c = (np.concatenate(y) for y in zip(best[b], (row, square[row, column], chunk[column]), strict=True))
+                order = np.lexsort((c, d, row))
+                row = row[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                order = order[place < k]
+                best[b] = row[place < k], d[order], c[order]
+    row = np.concatenate([r + b * KNN_QUERIES for b, (r, _, _) in enumerate(best)])
+    d, c = (np.concatenate([x[i] for x in best]) for i in (1, 2))
+    yield pd.DataFrame({"query_id": ids[row], "chunk_id": c, "distance": np.sqrt(d.astype(np.float64))})
+
+
+def cosine_neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_id, cosine, rank of the k vectors with the largest cosine to each query: a stated query set in
+    blocks against all vectors. Cosines are rounded to nine digits before they rank; zero vectors have cosine 0."""
+    wanted = queries.select("query_id", "vector")
+    blocks = max(1, -(-wanted.count() // 4096))
+    out = None
+    for b in range(blocks):
+        rows = (wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect()  # at most a block of queries
+        if rows:
+            ids, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
+            made = vectors.select("chunk_id", "embedding").mapInPandas(lambda it, q=q, ids=ids: _most_alike(it, q, ids, k), "query_id long, chunk_id long, cosine double")
+            out = made if out is None else out.unionByName(made)
+    if out is None:
+        out = vectors.sparkSession.createDataFrame([], "query_id long, chunk_id long, cosine double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "chunk_id")
+    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _most_alike(batches, q: np.ndarray, ids: np.ndarray, k: int):
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    q = unit(q)
+    for pdf in batches:
+        for at in range(0, len(pdf), KNN_ROWS):
+            part = pdf.iloc[at : at + KNN_ROWS]
+            x, chunk = unit(np.stack(part["embedding"].to_numpy()).astype(np.float64)), part["chunk_id"].to_numpy()
+            for b in range(0, len(ids), KNN_QUERIES):
+                sims = np.round(q[b : b + KNN_QUERIES] @ x.T, 9)
+                last = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] > k else sims.min(axis=1)
+                row, column = np.nonzero(sims >= last[:, None])  # the part's best, ties among them
+                order = np.lexsort((chunk[column], -sims[row, column], row))
+                row, column = row[order], column[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                yield pd.DataFrame({"query_id": ids[b + row[keep]], "chunk_id": chunk[column[keep]], "cosine": sims[row[keep], column[keep]]})
 
 
 def rrf(*ranked: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -237,10 +341,14 @@ def feedback_boost(hits: DataFrame, feedback: DataFrame) -> DataFrame:
 
 
 def record_feedback(feedback: DataFrame, rows: DataFrame, documents: DataFrame) -> DataFrame:
-    """Feedback appended where the score is in [-1, 1] and the document exists."""
-    ok = rows.where(~F.isnan("score") & F.col("score").between(-1, 1))
-    ok = ok.join(documents.select(F.col("id").alias("_doc")), F.col("document_id") == F.col("_doc"), "left_semi")
-    return feedback.unionByName(ok)
+    """Feedback with rows appended. Raises where a score is null, NaN or outside [-1, 1], or a document isn't known."""
+    known = documents.select(F.col("id").alias("_doc"))
+    bad = rows.where(F.col("score").isNull() | F.isnan("score") | ~F.col("score").between(-1, 1)).limit(1).count()
+    if bad:
+        raise ValueError("a feedback score must be between -1 and 1")
+    if rows.join(known, F.col("document_id") == F.col("_doc"), "left_anti").limit(1).count():
+        raise ValueError("feedback for a document that isn't known")
+    return feedback.unionByName(rows)
 
 
 def tiers(hits: DataFrame) -> DataFrame:
@@ -276,12 +384,11 @@ def explain(documents: DataFrame, query: str) -> DataFrame:
 
 
 class Corpus:
-    """Search façade over prepared tables: documents, projects, chunks, postings, lengths, vectors, tags, feedback."""
+    """Search façade over prepared tables: documents, projects, chunks, index, vectors, tags, feedback."""
 
-    def __init__(self, documents, projects, chunks, index=None, vectors=None, tags=None, feedback=None, embedder: str = "hashing"):
+    def __init__(self, documents, projects, chunks, index: Index | None = None, vectors=None, tags=None, feedback=None, embedder: str = "hashing"):
         self.documents, self.projects, self.chunks = documents, projects, chunks
-        self.index = index if index is not None else postings(chunks)
-        self.lengths = doc_lengths(self.index)
+        self.index = index or Index.build(chunks)
         self.vectors, self.tags, self.feedback, self.embedder = vectors, tags, feedback, embedder
 
     def _scoped(self, query: SearchQuery) -> DataFrame:
@@ -289,8 +396,15 @@ class Corpus:
         return self.chunks.join(docs.select(F.col("id").alias("_doc")), F.col("document_id") == F.col("_doc"), "left_semi").select(F.col("id").alias("chunk_id"))
 
     def fts(self, query: SearchQuery) -> DataFrame:
-        scored = bm25(self.index, self.lengths, phrase_table(self.documents.sparkSession, [query]))
-        return top(scored.join(self._scoped(query), "chunk_id", "left_semi"), query.limit, query.offset)
+        return self.fts_batch([query])
+
+    def fts_batch(self, queries: list[SearchQuery]) -> DataFrame:
+        """Several keyword searches in one job; they share the first one's scope."""
+        asked = phrase_rows(queries)
+        if not asked:
+            return self.documents.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
+        scored = bm25(self.index, asked).join(self._scoped(queries[0]), "chunk_id", "left_semi")
+        return top(scored.select("query_id", "chunk_id", "score"), queries[0].limit, queries[0].offset)
 
     def vector(self, query: SearchQuery, max_distance: float | None = MAX_DISTANCE) -> DataFrame:
         spark = self.documents.sparkSession
@@ -302,10 +416,22 @@ class Corpus:
             near = near.join(self._scoped(query), "chunk_id", "left_semi")
         else:
             near = knn(self.vectors.join(self._scoped(query), "chunk_id", "left_semi"), asked, k, max_distance)
-        return top(near.drop("rank"), query.limit, query.offset)
-
-    def search(self, query: SearchQuery) -> DataFrame:
-        """rank, document_id, chunk_id, title, heading_path, snippet, context, score of a page of hits."""
+        return top(near.select("query_id", "chunk_id", "score"), query.limit, query.offset)
+
+    def hybrid(self, query: SearchQuery, max_distance: float | None = MAX_DISTANCE) -> DataFrame:
+        """Keyword and vector ranks fused. Where there are no vectors, or the query can't be embedded, keyword ranks alone."""
+        wide = replace(query, limit=query.limit + query.offset, offset=0)
+        keyword, lists = self.fts(wide), []
+        if self.vectors is not None:
+            try:
+                lists = [self.vector(wide, max_distance)]
+            except Exception as error:  # an embedder may fail in any way; the search still answers
+                warnings.warn(f"vector side left out: {error}", stacklevel=2)
+        return top(rrf(keyword, *lists), query.limit, query.offset)
+
+    def search(self, query: SearchQuery, summaries: bool = False) -> DataFrame:
+        """rank, document_id, chunk_id, title, heading_path, snippet, context, score of a page of hits. With summaries a
+        document's summary, where it has one, takes the snippet's place."""
         spark = self.documents.sparkSession
         if not query.text.strip():
             if not query.tags and not query.project_ids:
@@ -314,14 +440,16 @@ class Corpus:
                 found = listing(in_scope(self.documents, self.projects, query, self.tags), self.chunks, query.limit, query.offset)
                 order = Window.partitionBy("query_id").orderBy(F.desc("updated_at"), "document_id")
                 hits = found.withColumn("query_id", F.lit(query.query_id).cast("long")).withColumn("rank", F.row_number().over(order)).select("query_id", "chunk_id", "score", "rank")
-        elif query.mode == "fts" or self.vectors is None:
+        elif query.mode == "fts":
             hits = self.fts(query)
         elif query.mode == "vector":
             hits = self.vector(query)
         else:
-            wide = SearchQuery(**{**query.__dict__, "limit": query.limit + query.offset, "offset": 0})
-            hits = top(rrf(self.fts(wide), self.vector(wide)), query.limit, query.offset)
+            hits = self.hybrid(query)
         page = hits.join(self.chunks.withColumnRenamed("id", "chunk_id"), "chunk_id").withColumn("snippet", X.highlight(F.col("content"), query.text))
+        if summaries and "summary" in self.documents.columns:
+            page = page.join(self.documents.select(F.col("id").alias("_doc"), F.col("summary").alias("_summary")), F.col("document_id") == F.col("_doc"), "left")
+            page = page.withColumn("snippet", F.coalesce(F.nullif("_summary", F.lit("")), "snippet")).drop("_doc", "_summary")
         if self.feedback is not None:
             page = feedback_boost(page, self.feedback)
         page = assemble_context(tiers(page))

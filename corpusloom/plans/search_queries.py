@@ -16,7 +16,7 @@ _FOLD = f"translate(lower(content), '{X.MARKED}', '{X.PLAIN}')"
 
 
 def _bm25_sql(rows: str, where: str = "TRUE", limit: int = 20) -> str:
-    """BM25 over content and title in plain SQL. rows: (query_id, phrase_id, idx, term, is_prefix, length) VALUES."""
+    """BM25 over content and title in plain SQL. rows: (query_id, phrase_id, idx, term, is_prefix, length), as VALUES or a SELECT."""
     column = lambda c, name: (
         f"SELECT id AS chunk_id, '{name}' AS col, unnest(l) AS term, generate_subscripts(l, 1) - 1 AS pos FROM "
         f"(SELECT id, regexp_extract_all(translate(lower({c}), '{X.MARKED}', '{X.PLAIN}'), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS l FROM docs)"
@@ -24,7 +24,7 @@ def _bm25_sql(rows: str, where: str = "TRUE", limit: int = 20) -> str:
     return f""", tok AS ({column('content', 'content')} UNION ALL {column('title', 'title')}),
 lens AS (SELECT chunk_id, count(*) AS d FROM tok GROUP BY 1),
 stats AS (SELECT count(*) AS n, avg(d) AS a FROM lens),
-ph(query_id, phrase_id, idx, term, is_prefix, length) AS (VALUES {rows}),
+ph(query_id, phrase_id, idx, term, is_prefix, length) AS ({rows if rows.startswith("SELECT") else "VALUES " + rows}),
 place AS (
   SELECT query_id, phrase_id, chunk_id, col, pos - idx AS start FROM ph JOIN tok ON tok.term = ph.term OR (is_prefix AND starts_with(tok.term, ph.term))
   GROUP BY query_id, phrase_id, chunk_id, col, start, length HAVING count(DISTINCT idx) = length
@@ -45,19 +45,21 @@ ranked AS (
 
 def _indexed(spark, sf_dir):
     docs = base.documents(spark, sf_dir)
-    index = search.postings(docs.select("id", "content", "title"), ("content", "title"))
-    return docs, stage(index, "postings")
+    return docs, search.Index.build(docs.select("id", "content", "title"), ("content", "title"))
+
+
+def _ranked(spark, sf_dir, docs, index, asked, limit=20, scope=None, tags=None):
+    """Top hits in a scope; scores rounded before they rank."""
+    scored = search.bm25(index, asked).withColumn("score", F.round("score", 9))
+    allowed = search.in_scope(docs, base.projects(spark, sf_dir), scope or search.SearchQuery(), tags).select(F.col("id").alias("_doc"))
+    hits = search.top(scored.join(allowed, F.col("chunk_id") == F.col("_doc"), "left_semi"), limit)
+    return hits.select("query_id", "rank", F.col("chunk_id").alias("document_id"), F.round("score", 6).alias("score"))
 
 
 def _fts(spark, sf_dir, queries, limit=20, scope=None):
     """Top hits of several searches in one job."""
     docs, index = _indexed(spark, sf_dir)
-    rows = search.phrase_table(spark, queries)
-    scored = search.bm25(index, search.doc_lengths(index), rows).withColumn("score", F.round("score", 9))
-    allowed = search.in_scope(docs, base.projects(spark, sf_dir), scope or search.SearchQuery()).select(F.col("id").alias("_doc"))
-    scored = scored.join(allowed, F.col("chunk_id") == F.col("_doc"), "left_semi")
-    hits = search.top(scored, limit)
-    return hits.select("query_id", "rank", F.col("chunk_id").alias("document_id"), F.round("score", 6).alias("score"))
+    return _ranked(spark, sf_dir, docs, index, search.phrase_rows(queries), limit, scope)
 
 
 @query(_bm25_sql("(1, 0, 0, 'apache', false, 2), (1, 0, 1, 'license', false, 2), (1, 1, 0, 'apache', false, 1), (1, 2, 0, 'license', false, 1), (2, 0, 0, 'pathetic', false, 2), (2, 0, 1, 'clown', false, 2), (2, 1, 0, 'pathetic', false, 1), (2, 2, 0, 'clown', false, 1)", "status = 'active'") + "SELECT * FROM ranked WHERE rank <= 20")
@@ -76,11 +78,7 @@ def fts_search_prefix(spark, sf_dir):
 def fts_search_phrase(spark, sf_dir):
     """A phrase alone: words side by side in one column."""
     docs, index = _indexed(spark, sf_dir)
-    rows = spark.createDataFrame([(1, 0, i, t, False, 3) for i, t in enumerate(("under", "the", "apache"))], "query_id long, phrase_id int, idx int, term string, is_prefix boolean, length int")
-    scored = search.bm25(index, search.doc_lengths(index), rows).withColumn("score", F.round("score", 9))
-    allowed = search.in_scope(docs, base.projects(spark, sf_dir), search.SearchQuery()).select(F.col("id").alias("_doc"))
-    hits = search.top(scored.join(allowed, F.col("chunk_id") == F.col("_doc"), "left_semi"), 20)
-    return hits.select("query_id", "rank", F.col("chunk_id").alias("document_id"), F.round("score", 6).alias("score"))
+    return _ranked(spark, sf_dir, docs, index, [(1, 0, i, t, False, 3) for i, t in enumerate(("under", "the", "apache"))])
 
 
 @query(_bm25_sql("(1, 0, 0, 'the', true, 1)", "projs.id IN (1, 2, 3) AND lang = 'en'") + "SELECT * FROM ranked WHERE rank <= 20")
@@ -88,10 +86,7 @@ def fts_project_filter(spark, sf_dir):
     """A search inside three projects and one tag."""
     docs, index = _indexed(spark, sf_dir)
     scope = search.SearchQuery(project_ids=[1, 2, 3], tags=["EN"])
-    allowed = search.in_scope(docs, base.projects(spark, sf_dir), scope, base.tags(spark, sf_dir)).select(F.col("id").alias("_doc"))
-    scored = search.bm25(index, search.doc_lengths(index), search.phrase_table(spark, [search.SearchQuery("the", 1)])).withColumn("score", F.round("score", 9))
-    hits = search.top(scored.join(allowed, F.col("chunk_id") == F.col("_doc"), "left_semi"), 20)
-    return hits.select("query_id", "rank", F.col("chunk_id").alias("document_id"), F.round("score", 6).alias("score"))
+    return _ranked(spark, sf_dir, docs, index, search.phrase_rows([search.SearchQuery("the", 1)]), 20, scope, base.tags(spark, sf_dir))
 
 
 @query("SELECT docs.id AS document_id, docs.id AS chunk_id, 1.0::DOUBLE AS score, updated_at FROM docs JOIN projs ON projs.id = project_id WHERE status = 'active' ORDER BY updated_at DESC, docs.id LIMIT 50")
@@ -265,14 +260,86 @@ def hits_by_project(spark, sf_dir):
     return reports.hits_by_project(docs.select(F.col("source").alias("project"), F.col("id").alias("rank"), F.col("id").alias("document_id")))
 
 
-@query()
+_WORDS = f"regexp_extract_all(translate(lower(text), '{X.MARKED}', '{X.PLAIN}'), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
+_FIRST = f"SELECT item_id, 0, i - 1, w[i], false, 4 FROM (SELECT item_id, {_WORDS}[1:4] AS w, unnest(range(1, 5)) AS i FROM benchmark WHERE len({_WORDS}) >= 4)"
+
+
+def _benchmark_phrases(spark, sf_dir, words):
+    """Each benchmark passage as one phrase of its first words (all where words is None)."""
+    items = base.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), X.tokens(F.col("text")).alias("t"))
+    if words:
+        items = items.where(F.size("t") >= words).withColumn("t", F.slice("t", 1, words))
+    return items.select("query_id", F.lit(0).alias("phrase_id"), F.posexplode("t").alias("idx", "term"), F.lit(False).alias("is_prefix"), F.size("t").alias("length"))
+
+
+@query(_bm25_sql(_FIRST) + f""",
+whole AS (SELECT item_id AS query_id, ' ' || array_to_string({_WORDS}, ' ') || ' ' AS p FROM benchmark WHERE len({_WORDS}) >= 4),
+held AS (SELECT id AS document_id, ' ' || array_to_string({_WORDS.replace('text', 'content')}, ' ') || ' ' AS c FROM docs),
+expect AS (SELECT query_id, document_id FROM whole JOIN held ON contains(c, p)),
+top10 AS (SELECT query_id, document_id, rank FROM ranked WHERE rank <= 10),
+per AS (SELECT query_id, min(rank) FILTER (document_id IN (SELECT e.document_id FROM expect e WHERE e.query_id = top10.query_id)) AS first, count(*) AS n FROM top10 GROUP BY 1)
+SELECT q.query_id, coalesce(1.0 / first, 0.0)::DOUBLE AS reciprocal_rank, coalesce(n, 0)::BIGINT AS hits FROM (SELECT DISTINCT query_id FROM expect) q LEFT JOIN per USING (query_id)""")
 def search_quality(spark, sf_dir):
-    """All benchmark passages searched by their first words, against the documents that hold the whole passage (rows only)."""
-    items = base.read(spark, sf_dir, "benchmark").select("item_id", "text").collect()  # the query set
-    _, index = _indexed(spark, sf_dir)
-    asked = [search.SearchQuery(" ".join(r["text"].split()[:4]), r["item_id"]) for r in items]
-    hits = search.top(search.bm25(index, search.doc_lengths(index), search.phrase_table(spark, asked)), 10)
-    whole = [(r["item_id"], 0, i, t, False, len(tokens)) for r in items for tokens, _ in search.phrases(r["text"])[:1] for i, t in enumerate(tokens)]
-    rows = spark.createDataFrame(whole, "query_id long, phrase_id int, idx int, term string, is_prefix boolean, length int")
-    expected = search.matches(index.where("col = 'content'"), rows).select("query_id", F.col("chunk_id").alias("document_id"))
-    return reports.search_quality(hits.select("query_id", F.col("chunk_id").alias("document_id"), "rank"), expected)
+    """All benchmark passages searched by their first four words: the reciprocal rank, among ten hits, of the first
+    document that holds the whole passage."""
+    docs, index = _indexed(spark, sf_dir)
+    hits = _ranked(spark, sf_dir, docs, index, _benchmark_phrases(spark, sf_dir, 4), 10, search.SearchQuery(project_ids=list(range(1, 1000))))
+    whole = _benchmark_phrases(spark, sf_dir, None).where("length >= 4")
+    expected = search.matches(index.postings.where("col = 'content'"), whole).select("query_id", F.col("chunk_id").alias("document_id")).distinct()
+    return reports.reciprocal_ranks(hits, expected)
+
+
+def _fiftieth(spark, sf_dir):
+    """A search for every document whose id is divisible by 50: its first word of six plain letters or more."""
+    docs = base.read(spark, sf_dir, "documents").where("doc_id % 50 = 0")
+    found = docs.select(F.col("doc_id").alias("query_id"), F.try_element_at(F.filter(X.tokens(F.col("text")), lambda t: F.rlike(t, F.lit("^[a-z]{6,}$"))), F.lit(1)).alias("term")).where("term is not null")
+    return found.select("query_id", F.lit(0).alias("phrase_id"), F.lit(0).alias("idx"), "term", F.lit(False).alias("is_prefix"), F.lit(1).alias("length"))
+
+
+_FIFTIETH = f"SELECT doc_id, 0, 0, list_filter({_WORDS}, lambda t: regexp_full_match(t, '[a-z]{{6,}}'))[1], false, 1 FROM documents WHERE doc_id % 50 = 0 AND len(list_filter({_WORDS}, lambda t: regexp_full_match(t, '[a-z]{{6,}}'))) > 0"
+
+
+@query(_bm25_sql(_FIFTIETH, "status = 'active'") + "SELECT * FROM ranked WHERE rank <= 10")
+def fts_batch(spark, sf_dir):
+    """Keyword searches of every fiftieth document's first long word, in one job."""
+    docs, index = _indexed(spark, sf_dir)
+    return _ranked(spark, sf_dir, docs, index, _fiftieth(spark, sf_dir), 10)
+
+
+@query(
+    _bm25_sql(_FIFTIETH, "status = 'active'")
+    + _KNN.format(where="chunk_id % 50 = 0").lstrip()
+    + """, vranked AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM knn JOIN docs ON docs.id = knn.chunk_id JOIN projs ON projs.id = docs.project_id WHERE status = 'active'),
+fused AS (SELECT query_id, chunk_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, document_id AS chunk_id, rank FROM ranked WHERE rank <= 10 UNION ALL SELECT query_id, chunk_id, rank FROM vranked WHERE rank <= 10) GROUP BY ALL)
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank, round(score, 9) AS score FROM fused"""
+)
+def hybrid_batch(spark, sf_dir):
+    """Hybrid searches of every fiftieth id: its first long word and its vector, fused."""
+    docs, index = _indexed(spark, sf_dir)
+    keyword = _ranked(spark, sf_dir, docs, index, _fiftieth(spark, sf_dir), 10).select("query_id", F.col("document_id").alias("chunk_id"), "rank")
+    active = search.in_scope(docs, base.projects(spark, sf_dir), search.SearchQuery()).select(F.col("id").alias("_doc"))
+    vectors = base.vectors(spark, sf_dir)
+    asked = vectors.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    near = search.knn(vectors.join(active, F.col("chunk_id") == F.col("_doc"), "left_semi"), asked, 10, None)
+    hits = search.top(search.rrf(keyword, near).withColumn("score", F.round("score", 12)), 20)
+    return hits.select("query_id", "chunk_id", "rank", F.round("score", 9).alias("score"))
+
+
+@query(_bm25_sql("(1, 0, 0, 'apache', false, 2), (1, 0, 1, 'license', false, 2), (1, 1, 0, 'apache', false, 1), (1, 2, 0, 'license', false, 1)", "status = 'active'")
++ "SELECT rank, document_id, round(score, 4) AS score, regexp_replace(content, '(?i)(apache|license)', '<b>\\1</b>', 'g') AS snippet FROM ranked JOIN docs ON docs.id = document_id WHERE rank <= 20")
+def corpus_search(spark, sf_dir):
+    """The façade's keyword search: ranked, with marked snippets."""
+    docs, index = _indexed(spark, sf_dir)
+    chunks = docs.select("id", F.col("id").alias("document_id"), "title", F.lit("h").alias("heading_path"), "content", F.lit(0).alias("chunk_index"))
+    corpus = search.Corpus(docs, base.projects(spark, sf_dir), chunks, index)
+    return corpus.search(search.SearchQuery("apache license", 1, mode="fts")).select("rank", "document_id", F.round("score", 4).alias("score"), "snippet")
+
+
+@query(""", q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), sims AS (SELECT query_id, vec_id AS chunk_id, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) AS s FROM embeddings, q)
+SELECT query_id, chunk_id, round(s, 6) AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS rank FROM sims QUALIFY rank <= 10""")
+def cosine_batch(spark, sf_dir):
+    """The ten vectors with the largest cosine to every fiftieth one, in blocks of queries."""
+    table = base.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = table.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    near = search.cosine_neighbours(table, asked, 10)
+    return near.select("query_id", "chunk_id", F.round("cosine", 6).alias("cosine"), "rank")
