@@ -292,6 +292,20 @@ def edit_section(text: str, heading: str, action: str, new: str = "", occurrence
     raise ValueError(f"unknown action {action!r}")
 
 
+def edit_section_column(text: Column, heading: str, action: str, new: str = "", occurrence: int = 0) -> Column:
+    """edit_section of each text; null where the section is missing."""
+    if action not in ("replace", "after", "delete"):
+        raise ValueError(f"unknown action {action!r}")
+
+    def edited(t: str) -> str | None:
+        try:
+            return edit_section(t, heading, action, new, occurrence)
+        except KeyError:
+            return None
+
+    return _arrow("string", edited)(text)
+
+
 class _ToMarkdown(HTMLParser):
     """Collects Markdown while it reads HTML."""
 
@@ -458,14 +472,22 @@ def markdown_to_html_column(text: Column) -> Column:
 
 def register(spark: SparkSession) -> None:
     """The functions under stable SQL names: doc_sections, doc_chunks, doc_summary, doc_frontmatter, doc_metadata, doc_section,
-    storage_markdown, markdown_html."""
+    doc_edit_section, storage_markdown, markdown_html."""
     rows = lambda t: [{"heading": h, "level": level, "content": t[a:b]} for h, level, a, b in sections(t or "")]
+
+    def edited(t, heading, action, new):
+        try:
+            return edit_section(t or "", heading, action, new or "")
+        except KeyError:
+            return None
+
     for name, f, kind in (
         ("doc_sections", rows, "array<struct<heading:string,level:int,content:string>>"),
         ("doc_chunks", chunks, CHUNK),
         ("doc_summary", lambda t: summary(t or ""), "string"),
         ("doc_frontmatter", lambda t: dict(frontmatter(t or "")[0] or []), "map<string,string>"),
         ("doc_metadata", lambda t: metadata(t or ""), "struct<title:string,created:string,tags:array<string>,aliases:array<string>>"),
+        ("doc_edit_section", edited, "string"),
         ("doc_section", lambda t, h: extract_section(t or "", h), "string"),
         ("storage_markdown", lambda t: storage_to_markdown(t or ""), "string"),
         ("markdown_html", lambda t: markdown_to_html(t or ""), "string"),

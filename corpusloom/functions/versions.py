@@ -64,3 +64,7 @@ def safe_base_url(url: str) -> bool:
         return ipaddress.ip_address(host).is_global
     except ValueError:
         return True
+
+
+def safe_base_url_column(url: Column) -> Column:
+    return F.udf(lambda u: u is not None and safe_base_url(u), "boolean", useArrow=True)(url)
