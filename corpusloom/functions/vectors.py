@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,21 @@ def register_embedder(name: str, dim: int, make: Callable[[], Embedder]) -> None
     _EMBEDDERS[name] = (dim, make)
 
 
+def register_hashing(dim: int) -> str:
+    """The hashing embedder at a dimension, registered under the name that is returned."""
+    name = f"hashing-{dim}"
+    register_embedder(name, dim, lambda: _hashing(dim))
+    return name
+
+
+def rebuild(chunks: DataFrame, embedder: str, dim: int | None = None, text: str = "content") -> DataFrame:
+    """chunk_id and int8 embedding of all chunks, made anew: for another embedder, or the hashing one at another dimension."""
+    name = register_hashing(dim) if embedder == "hashing" and dim else embedder
+    if dim and _EMBEDDERS[name][0] != dim:
+        raise ValueError(f"{name} has dimension {_EMBEDDERS[name][0]}, not {dim}")
+    return chunks.select(F.col("id").alias("chunk_id"), quantize_i8(embed(F.col(text), name)).alias("embedding"))
+
+
 def _hashing(dim: int) -> Embedder:
     import re
     import zlib

@@ -215,6 +215,11 @@ def cache_cleanup(cache: DataFrame, now: int) -> DataFrame:
     return cache_get(cache, now)
 
 
+def install_missing(table: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+    """table and those of the rows whose key no row of it has: default jobs, migrated rows."""
+    return table.unionByName(rows.join(table.select(*keys), list(keys), "left_anti").select(*table.columns))
+
+
 def put(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Key-value upsert: plugin_kv by (plugin_id, namespace, key), system_config by key."""
     return upsert(table, rows, keys)

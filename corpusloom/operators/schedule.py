@@ -67,6 +67,11 @@ def edit(jobs: DataFrame, job_id: int, now: int, **changes) -> DataFrame:
     return out.withColumn("next_run", F.when(F.col("id") == job_id, next_run(F.col("schedule_json"), F.lit(now).cast("long"))).otherwise(F.col("next_run")))
 
 
+def delete(jobs: DataFrame, job_id: int) -> DataFrame:
+    """Jobs without one; an immutable job stays."""
+    return jobs.where((F.col("id") != job_id) | F.col("immutable"))
+
+
 def prune_co_refs(co_refs: DataFrame, now: int, days: int = 30, least: int = 3) -> DataFrame:
     """Pairs seen at least `least` times or within `days` stay."""
     return co_refs.where((F.col("co_occurrence_count") >= least) | (F.col("last_accessed") >= now - days * 86400))

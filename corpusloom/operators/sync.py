@@ -61,6 +61,14 @@ def incremental_index(incoming: DataFrame, indexed: DataFrame, since: int | None
     return merged.join(deleted, ["project_id", "source_doc_id"], "left_anti").select(*indexed.columns) if deleted is not None else merged
 
 
+def apply_page(indexed: DataFrame, updates: DataFrame, deleted: DataFrame, next_cursor: str | None, now: int) -> tuple[DataFrame, str | None]:
+    """(documents after one page of a source, the cursor to store with them): updates are taken as they come, deletions
+    (project_id, source_doc_id) go. Saved with the cursor as its note, a snapshot is applied whole or not at all."""
+    seen = _as_documents(updates.withColumn("last_indexed", F.lit(now).cast("long")), indexed)
+    merged = catalog.upsert_documents(indexed, seen)
+    return merged.join(deleted, ["project_id", "source_doc_id"], "left_anti").select(*indexed.columns), next_cursor
+
+
 def deleted_ids(known: DataFrame, present: DataFrame, key: str = "source_doc_id") -> DataFrame:
     """Known ids that the source no longer has."""
     return known.select(key).distinct().join(present.select(key).distinct(), key, "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, maintenance_queries, search_queries, text_queries  # noqa: F401  (they register themselves)
+from . import graph_queries, maintenance_queries, search_queries, text_queries, upkeep_queries  # noqa: F401  (they register themselves)
 from .base import ORACLES, QUERIES
 
 
