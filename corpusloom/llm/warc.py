@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,7 +72,9 @@ def derive(records: DataFrame) -> DataFrame:
     content_type, content_length, block_digest, block. Both refer to their response's id, target and date, carry its
     HTTP headers and payload digest unchanged, and a digest of their own block. The metadata block has warc-fields: the
     title, the source's type and digest, and each link. Ids are made from the response's id, so repeated responses give
-    repeated records. A response with an empty payload has an empty conversion block. One map pass; nothing shuffles.
+    repeated records. A response with an empty payload has an empty conversion block; a null column of a response counts
+    as empty. Very long payloads are held whole, as one row. An empty table gives no rows; other columns, whatever their
+    names, are ignored. One map pass; nothing shuffles.
     """
     lines = lambda s: F.regexp_replace(s, r"[\r\n]+", " ")
     rows = records.withColumn("text", plain(F.col("payload")))
@@ -110,8 +110,10 @@ def report(pages: DataFrame) -> DataFrame:
     return derive(responses(pages))
 
 
-def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Derived records as WARC/1.1 files, one a task."""
+def write(records: DataFrame, path: str, compress: bool = True) -> int:
+    """Derived records as WARC/1.1 files, one a task, each record a gzip member of its own, as readers that seek expect.
+    path may be any that Arrow's file systems open from every executor; a task that runs again writes its file again,
+    under a name of its own first. Returns the number of records."""
     head = F.concat_ws(
         "\r\n", F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.col("record_type")), F.concat(F.lit("WARC-Record-ID: "), F.col("record_id")),
@@ -122,49 +124,100 @@ def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
         F.concat(F.lit("X-Source-Headers: "), F.replace(F.col("source_headers"), F.lit("\r\n"), F.lit(" | "))),
         F.concat(F.lit("Content-Type: "), F.col("content_type")), F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string")),
     )
-    text = F.concat(head, F.lit("\r\n\r\n"), F.col("block"))
-    records.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+    text = F.concat(head, F.lit("\r\n\r\n"), F.col("block"), F.lit("\r\n\r\n"))
+    root, end = path.rstrip("/"), ".warc.gz" if compress else ".warc"
+
+    def written(batches):
+        import gzip
+        import uuid
+
+        from pyarrow import fs as files
+        from pyspark import TaskContext
+
+        to, base = files.FileSystem.from_uri(root) if "://" in root else (files.LocalFileSystem(), root)
+        to.create_dir(base, recursive=True)
+        name, count = f"{base}/part-{TaskContext.get().partitionId():05d}{end}", 0
+        draft = f"{name}.{uuid.uuid4().hex}.draft"
+        with to.open_output_stream(draft, compression=None) as out:
+            for batch in batches:
+                for record in batch.column("value").to_pylist():
+                    raw = record.encode("utf-8", "surrogatepass")
+                    out.write(gzip.compress(raw, mtime=0) if compress else raw)
+                    count += 1
+        to.move(draft, name) if count else to.delete_file(draft)
+        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], ["n"])
+
+    return records.select(text.alias("value")).mapInArrow(written, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the .warc and .warc.gz files (or written part files) under path: file, warc_type, headers (names in
-    lower case), block. A file is one task's; records that are cut off at its end are left out."""
-
-    def records(batches):
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = list(_records(content))
-                for i in range(0, len(rows), 256):
-                    part = rows[i : i + 256]
-                    headers = pa.array([list(h.items()) for h, _ in part], pa.map_(pa.string(), pa.string()))
-                    kinds = pa.array([h.get("warc-type") for h, _ in part], pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), kinds, headers, pa.array([b for _, b in part], pa.binary())], ["file", "warc_type", "headers", "block"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(records, "file string, warc_type string, headers map<string,string>, block binary")
-
-
-def _records(content: bytes):
-    """(headers, block) of each record; members of a gzip file are read one after another."""
-    if content[:2] == b"\x1f\x8b":
-        parts = []
-        while content:
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(content) + member.flush())
-            content = member.unused_data
-        content = b"".join(parts)
-    at = 0
-    while (at := content.find(b"WARC/1.", at)) >= 0:
-        end = content.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        lines = content[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        size = int(headers.get("content-length", 0))
-        if end + 4 + size > len(content):
-            return
-        yield headers, content[end + 4 : end + 4 + size]
-        at = end + 4 + size
+    """Records of the .warc and .warc.gz files under path: file, warc_type, headers (names in lower case), block.
+
+    Spark streams the files record by record (uncompressed ones in splits), so a task holds one record, not a file.
+    What can't be read is a row of type `malformed` with the reason among its headers, and no block: a record whose
+    Content-Length is missing or no number, and one that its file ends in. A gzip file that breaks off gives the records
+    before that. A block that holds the words that begin a record is put together again, but for one that lies across
+    two splits.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").option("lineSep", MARK.decode()).option("ignoreCorruptFiles", "true").text(path)
+    parts = files.select(F.concat_ws("#", "_metadata.file_path", F.col("_metadata.file_block_start").cast("string")).alias("split"), F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("part"))
+    return parts.mapInArrow(_records, "file string, warc_type string, headers map<string,string>, block binary")
+
+
+#: What begins a record.
+MARK = b"WARC/1."
+
+
+def _parsed(raw: bytes, ended: bool):
+    """(headers, block) of a record without its mark, (headers, None) where it is malformed, or None where more must follow."""
+    end = raw.find(b"\r\n\r\n")
+    if end < 0:
+        return ({"warc-type": "malformed", "reason": "no end of the headers"}, None) if ended else None
+    lines = raw[:end].decode("utf-8", "replace").split("\r\n")[1:]
+    headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+    size = headers.get("content-length", "")
+    if not (size.isascii() and size.isdigit()):
+        return headers | {"warc-type": "malformed", "reason": "no valid Content-Length"}, None
+    block = raw[end + 4 : end + 4 + int(size)]
+    if len(block) < int(size):
+        return (headers | {"warc-type": "malformed", "reason": "cut off"}, None) if ended else None
+    return headers, block
+
+
+def _records(batches):
+    """Records from the stretches between marks, which come in the order of their file."""
+    names, at, held, size, need, rows = ["file", "warc_type", "headers", "block"], (None, None), None, 0, 0, []
+
+    def batch_of(rows):
+        files, found = zip(*rows, strict=True)
+        headers = pa.array([list(h.items()) for h, _ in found], pa.map_(pa.string(), pa.string()))
+        kinds = pa.array([h.get("warc-type") for h, _ in found], pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(files), kinds, headers, pa.array([b for _, b in found], pa.binary())], names)
+
+    for batch in batches:
+        for split, file, part in zip(*(batch.column(c).to_pylist() for c in ("split", "file", "part")), strict=True):
+            if split != at[0]:  # what stands before a split's first mark is no record, or the end of another split's
+                if held and (found := _parsed(MARK.join(held), True)):
+                    rows.append((at[1], found))
+                at, held = (split, file), None
+                if not part.startswith((b"0\r\n", b"1\r\n")):
+                    continue
+            if held is None:
+                held, size, need = [], 0, 0
+            held.append(part)
+            size += len(part) + len(MARK)
+            if size >= need and (found := _parsed(MARK.join(held), False)):
+                rows.append((file, found))
+                held = None
+            else:
+                need = max(need, 2 * size) if len(held) > 64 else 0  # a block with very many marks isn't joined for each
+            if len(rows) >= 256:
+                yield batch_of(rows)
+                rows = []
+    if held and (found := _parsed(MARK.join(held), True)):
+        rows.append((at[1], found))
+    if rows:
+        yield batch_of(rows)
 
 
 def as_responses(records: DataFrame) -> DataFrame:

@@ -403,7 +403,11 @@ def test_warc(spark, tmp_path):
     meta = next(r for r in rows if r["page_id"] == 1 and r["record_type"] == "metadata")
     assert meta["refers_to"] == text["refers_to"] != text["record_id"] and "title: A & B\r\n" in meta["block"] and meta["block"].endswith("outlink: /x")
     assert next(r for r in rows if r["page_id"] is None and r["record_type"] == "conversion")["block"] == "plain < 3 text"
-    warc.write(made, str(tmp_path / "w"))
+    assert warc.write(made, str(tmp_path / "w")) == 10
+    import gzip
+
+    for file in (tmp_path / "w").iterdir():  # each record is a member of its own
+        assert file.name.endswith(".warc.gz") and file.read_bytes().count(b"\x1f\x8b\x08") >= gzip.decompress(file.read_bytes()).count(b"WARC/1.1\r\n")
     back = warc.read(spark, str(tmp_path / "w")).collect()
     assert Counter((r["warc_type"], r["headers"]["warc-record-id"], bytes(r["block"]).decode()) for r in back) == Counter((r["record_type"], r["record_id"], r["block"]) for r in rows)
     assert warc.report(pages.limit(0)).count() == 0
@@ -418,6 +422,26 @@ def test_warc_responses(spark, tmp_path):
     assert next(r for r in rows if r["record_type"] == "conversion")["block"] == "hé"
 
 
+def test_warc_reads_what_it_can(spark, tmp_path):
+    """Malformed records are counted, not fatal; blocks that hold the mark of a record are whole; a broken gzip gives its beginning."""
+    import gzip
+
+    def record(block, size=None, kind="resource"):
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nContent-Length: {len(block) if size is None else size}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    tricky = b"see WARC/1.0\r\nand WARC/1.1 \xff\x00\r\n\r\nend"
+    (tmp_path / "a.warc").write_bytes(record(b"one") + record(b"x", "x") + record(tricky) + record(b"two", "-3") + record(b"three") + b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 99\r\n\r\ncut")
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(record(b"g%d" % i)) for i in range(3)))
+    broken = gzip.compress(record(b"first")) + gzip.compress(record(b"second" * 50_000))[:60]
+    (tmp_path / "c.warc.gz").write_bytes(broken)
+    (tmp_path / "d.warc").write_bytes(b"")
+    rows = warc.read(spark, str(tmp_path)).collect()
+    good = Counter(bytes(r["block"]) for r in rows if r["warc_type"] != "malformed")
+    assert good == Counter([b"one", tricky, b"three", b"g0", b"g1", b"g2"] + [b"first"] * (b"first" in good))
+    assert sum(r["warc_type"] == "malformed" and r["file"].endswith("a.warc") for r in rows) == 3
+    assert {r["headers"]["reason"] for r in rows if r["warc_type"] == "malformed" and r["file"].endswith("a.warc")} == {"no valid Content-Length", "cut off"}
+
+
 def test_forest():
     for seed in range(30):
         rng = np.random.default_rng(seed)
