@@ -90,7 +90,7 @@ def strip_html(text: Column) -> Column:
 
 def body_tags(text: Column) -> Column:
     """`#tag`s of the body: outside fences and inline code, starting with a letter; first occurrence kept."""
-    body = F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?(?:```|\z)", " "), r"`[^`\n]*`", " ")
+    body = F.regexp_replace(F.regexp_replace(text, r"(?s)(```|~~~).*?(?:\1|\z)", " "), r"`[^`\n]*`", " ")
     return F.array_distinct(F.regexp_extract_all(body, F.lit(r"(?:^|\s)#(\p{L}[\p{L}\p{N}_/-]*)"), F.lit(1)))
 
 

@@ -114,11 +114,11 @@ def reindex_targets(spark, sf_dir):
 
 
 def _accesses(spark, sf_dir):
-    events = base.read(spark, sf_dir, "events")
-    return events.select(F.col("user_id").cast("string").alias("session_id"), F.pmod("event_id", F.lit(97)).alias("document_id"), "ts")
+    events, n = base.read(spark, sf_dir, "events"), base.read(spark, sf_dir, "documents").count()
+    return events.select(F.col("user_id").cast("string").alias("session_id"), F.pmod("event_id", F.lit(n)).alias("document_id"), "ts")
 
 
-_PAIRS = """, acc AS (SELECT user_id::VARCHAR AS session_id, event_id % 97 AS document_id, ts FROM events),
+_PAIRS = """, acc AS (SELECT user_id::VARCHAR AS session_id, event_id % (SELECT count(*) FROM documents) AS document_id, ts FROM events),
 gap AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM acc),
 ses AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM gap),
 sets AS (SELECT session_id, n, max(ts) AS seen, list_distinct(list(document_id)) AS d FROM ses GROUP BY 1, 2),
@@ -139,7 +139,7 @@ def cooccurrence_prune(spark, sf_dir):
     return schedule.prune_co_refs(jobs.session_pairs(_accesses(spark, sf_dir), "6 hours"), 1_706_500_000, days=10)
 
 
-@query("SELECT event_id % 97 AS document_id, count(*) AS count, floor(epoch(max(ts)))::BIGINT AS last_viewed FROM events WHERE event_type = 'view' GROUP BY 1")
+@query("SELECT event_id % (SELECT count(*) FROM documents) AS document_id, count(*) AS count, floor(epoch(max(ts)))::BIGINT AS last_viewed FROM events WHERE event_type = 'view' GROUP BY 1")
 def view_counts(spark, sf_dir):
     """Views of each document."""
     return jobs.view_counts(_views(spark, sf_dir))
@@ -147,10 +147,10 @@ def view_counts(spark, sf_dir):
 
 def _views(spark, sf_dir):
     events = base.read(spark, sf_dir, "events").where("event_type = 'view'")
-    return events.select(F.pmod("event_id", F.lit(97)).alias("document_id"), "ts")
+    return events.select(F.pmod("event_id", F.lit(base.read(spark, sf_dir, "documents").count())).alias("document_id"), "ts")
 
 
-@query(", vc AS (SELECT event_id % 97 AS document_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) SELECT id, title, coalesce(n, 0) AS views FROM docs LEFT JOIN vc ON vc.document_id = docs.id ORDER BY views DESC, id LIMIT 20")
+@query(", vc AS (SELECT event_id % (SELECT count(*) FROM documents) AS document_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) SELECT id, title, coalesce(n, 0) AS views FROM docs LEFT JOIN vc ON vc.document_id = docs.id ORDER BY views DESC, id LIMIT 20")
 def top_documents(spark, sf_dir):
     """Most viewed documents."""
     return reports.top_viewed(base.documents(spark, sf_dir), jobs.view_counts(_views(spark, sf_dir)), 20)
@@ -259,17 +259,38 @@ def toc(spark, sf_dir):
 
 
 
-@query()
+_SENTENCES = "string_split(regexp_replace({0}, '([.?!])(\\s)', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
+
+
+@query(f""", plain AS (SELECT id, list_filter(list_transform({_SENTENCES.format("regexp_replace(content, '<[^>]+>', '', 'g')")}, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS s FROM docs),
+three AS (SELECT id, array_to_string(s[1:3], ' ') AS t FROM plain)
+SELECT id, trim(CASE WHEN length(t) > 500 THEN substr(t, 1, 500) || '...' ELSE t END) AS summary FROM three""")
 def summary_lead3(spark, sf_dir):
-    """Three-sentence summaries (rows only; tested against fixed values)."""
+    """Three-sentence summaries of all documents."""
     return base.documents(spark, sf_dir).select("id", M.summary_column(F.col("content")).alias("summary"))
 
 
-@query()
+_CHUNKS = f""", body AS (SELECT id, regexp_replace(regexp_replace(content, '(?s)<!--.*?(?:-->|\\z)', '', 'g'), '[ \\t]+', ' ', 'g') AS t FROM docs),
+span AS (SELECT id, t, length(t) - length(ltrim(t, ' ' || chr(10))) AS a, length(rtrim(t, ' ' || chr(10))) AS b FROM body),
+parts AS (SELECT id, {_SENTENCES.format("substr(t, a + 1, b - a)")} AS s, a FROM span WHERE b - a > 1000),
+sent AS (SELECT id, k, a + coalesce(list_sum(list_transform(s[1:k - 1], lambda x: length(x))), 0)::BIGINT AS sa, a + list_sum(list_transform(s[1:k], lambda x: length(x)))::BIGINT AS sb FROM (SELECT id, s, a, unnest(range(1, len(s) + 1)) AS k FROM parts)),
+walk(id, k, oa, ob, ea, eb) AS (SELECT id, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM parts UNION ALL
+  SELECT w.id, w.k + 1, CASE WHEN sb - sa > 1000 THEN NULL WHEN oa IS NULL THEN sa WHEN sb - oa > 1000 THEN greatest(oa, ob - 200) ELSE oa END, CASE WHEN sb - sa > 1000 THEN NULL ELSE sb END,
+    CASE WHEN sb - sa > 1000 OR sb - oa > 1000 THEN oa END, CASE WHEN sb - sa > 1000 OR sb - oa > 1000 THEN ob END
+  FROM walk w JOIN sent ON sent.id = w.id AND sent.k = w.k + 1),
+wide(id, k, pos, take, sb) AS (SELECT id, k, sa, least(1000, sb - sa), sb FROM sent WHERE sb - sa > 1000 UNION ALL
+  SELECT id, k, pos + take - least(200, take // 2), least(1000, sb - (pos + take - least(200, take // 2))), sb FROM wide WHERE pos + take - least(200, take // 2) < sb),
+cuts AS (SELECT id, k, 0 AS o, ea AS a, eb AS b FROM walk WHERE ea IS NOT NULL UNION ALL SELECT id, k, 1, pos, pos + take FROM wide
+  UNION ALL SELECT w.id, w.k + 1, 0, oa, ob FROM walk w JOIN (SELECT id, max(k) AS k FROM walk GROUP BY 1) m USING (id, k) WHERE oa IS NOT NULL
+  UNION ALL SELECT id, 1, 0, a, b FROM span WHERE b - a <= 1000 AND b > a)
+"""
+
+
+@query(_CHUNKS + "SELECT id AS document_id, (row_number() OVER (PARTITION BY id ORDER BY k, o, cuts.a) - 1)::INTEGER AS chunk_index, md5(trim(substr(t, cuts.a + 1, cuts.b - cuts.a), ' ' || chr(10))) AS content_md5, strlen(substr(t, 1, cuts.a))::BIGINT AS start_byte, strlen(substr(t, 1, cuts.b))::BIGINT AS end_byte FROM cuts JOIN span USING (id)")
 def chunk_documents(spark, sf_dir):
-    """Chunks of all documents (rows only; tested against properties)."""
+    """Chunks of all documents: whole sentences with an overlap, longer sentences in windows, byte offsets."""
     docs = base.documents(spark, sf_dir).select(F.col("id").alias("document_id"), "title", F.col("content").alias("text"))
-    return catalog.index_chunks(docs)
+    return catalog.index_chunks(docs).select("document_id", "chunk_index", F.md5(F.col("content").cast("binary")).alias("content_md5"), "start_byte", "end_byte")
 
 
 @query("SELECT id AS document_id, content FROM docs")

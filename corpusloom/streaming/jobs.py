@@ -19,10 +19,17 @@ def _pairs(sessions: DataFrame) -> DataFrame:
 def session_pairs(accesses: DataFrame, gap: str = GAP) -> DataFrame:
     """Batch: doc_a_id, doc_b_id, co_occurrence_count, last_accessed from accesses (session_id, document_id, ts).
 
-    A session ends after `gap` without an access; each pair of its distinct documents counts once.
+    A session ends after `gap` without an access; each pair of its distinct documents counts once. Pairs come from a join
+    of a session's documents with themselves, which splits where one session holds very many; no session is one row.
     """
-    grouped = accesses.groupBy("session_id", F.session_window("ts", gap)).agg(F.collect_set("document_id").alias("documents"), F.max("ts").alias("seen"))
-    return _counted(_pairs(grouped.where(F.size("documents") > 1)))
+    own = Window.partitionBy("session_id").orderBy("ts")
+    late = F.col("ts") >= F.lag("ts").over(own) + F.expr(f"INTERVAL {gap}")
+    numbered = accesses.withColumn("_late", F.coalesce(late, F.lit(False)).cast("int")).withColumn("_n", F.sum("_late").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = numbered.groupBy("session_id", "_n").agg(F.max("ts").alias("seen"))
+    docs = numbered.select("session_id", "_n", "document_id").distinct()
+    left, right = docs.withColumnRenamed("document_id", "doc_a_id"), docs.withColumnRenamed("document_id", "doc_b_id")
+    pairs = left.join(right, ["session_id", "_n"]).where("doc_a_id < doc_b_id").join(seen, ["session_id", "_n"])
+    return _counted(pairs.select("seen", "doc_a_id", "doc_b_id"))
 
 
 def _counted(pairs: DataFrame) -> DataFrame:
