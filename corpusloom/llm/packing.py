@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import heapq
 import zlib
 
 import numpy as np
@@ -48,23 +49,40 @@ class _Packer:
 
     def __init__(self, part: int, tiers, pool: int, step_tokens: int):
         self.tiers, self.pool, self.step_tokens = tuple(sorted(tiers)), pool, step_tokens
-        self.next_id, self.next_step, self.in_step = part << 40, part << 40, 0
+        self.next_id, self.next_step = part << 40, part << 40
         self.tails: list[tuple] = []
-        self.rows: list[tuple] = []
+        self.rows: list[list] = []
+        self.closed: list[tuple[int, int, int]] = []  # (tokens, first row, last row) of sequences without a step yet
 
     def close(self, pieces) -> None:
         """One sequence from (doc_id, start, ids, doc_tokens) pieces."""
         at, size = 0, sum(len(p[2]) for p in pieces)
         tier = next((t for t in self.tiers if t >= size), self.tiers[-1])
-        if self.in_step and self.in_step + size > self.step_tokens:
-            self.next_step, self.in_step = self.next_step + 1, 0
+        self.closed.append((size, len(self.rows), len(self.rows) + len(pieces)))
         for doc, start, ids, total in pieces:
             crc = zlib.crc32(np.asarray(ids, dtype="<u4").tobytes())
-            self.rows.append((doc, start, len(ids), crc, total, self.next_id, at, tier, self.next_step))
+            self.rows.append([doc, start, len(ids), crc, total, self.next_id, at, tier, None])
             at += len(ids)
-        self.in_step += size
         self.next_id += 1
 
+    def deal(self) -> None:
+        """Step groups for the sequences closed so far: longest first, each to the group whose attention costs least (the
+        squares of its sequences' lengths) and that has room. Lengths are powers of two, so room is never split."""
+        groups = [(0, 0, g) for g in range(-(-sum(c[0] for c in self.closed) // self.step_tokens))]  # (cost, tokens, group)
+        for size, a, b in sorted(self.closed, key=lambda c: (-c[0], c[1])):
+            full = []
+            while groups and groups[0][1] + size > self.step_tokens:
+                full.append(heapq.heappop(groups))
+            cost, tokens, group = heapq.heappop(groups) if groups else (0, 0, len(full))
+            for row in self.rows[a:b]:
+                row[8] = self.next_step + group
+            for g in full:
+                if g[1] < self.step_tokens:
+                    heapq.heappush(groups, g)
+            heapq.heappush(groups, (cost + size * size, tokens + size, group))
+        self.next_step += -(-sum(c[0] for c in self.closed) // self.step_tokens)
+        self.closed = []
+
     def add(self, doc, ids: np.ndarray) -> None:
         """Full windows of the longest tier at once; what is left is routed to a tier by its length."""
         top, total = self.tiers[-1], len(ids)
@@ -123,6 +141,7 @@ class _Packer:
             pieces = rest
 
     def flush(self) -> pa.RecordBatch:
+        self.deal()
         columns, self.rows = list(zip(*self.rows, strict=True)) or [()] * 9, []
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "tier" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
@@ -147,12 +166,14 @@ def pack(docs: DataFrame, tokenizer: str, tiers=TIERS, pool: int = 4096, step_to
     Documents are cut freely; each id is in one piece. Full windows of the longest tier come first; the rest of each
     document is routed to the smallest tier that holds it, opens a window there, and gaps are filled from shorter
     tiers. Each sequence fills its tier (a power of two), but for a task's last ones, which are smaller powers of two:
-    no padding anywhere. step_group numbers consecutive sequences with at most `step_tokens` tokens together, so that
-    steps weigh the same whatever tiers they mix.
+    no padding anywhere. step_group deals some thousands of sequences at a time into groups of at most `step_tokens`
+    tokens that mix all tiers: the groups of one deal hold nearly the same tokens and cost nearly the same attention.
     Packing is local to the tasks that read the documents: token ids never travel, a source or a group of copies weighs
     what its text weighs, and a task holds at most `pool` tails. sequence_id and step_group begin with the task's
     number, so a lost task gives the same rows again.
-    Null and empty texts are a document of one id (the end). A null doc_id is kept; repeated rows are packed each.
+    Null and empty texts are a document of one id (the end). A very long text is encoded whole in its task and cut into
+    full windows at once. Of tails of one length the order of arrival decides. A null doc_id is kept; repeated rows are
+    packed each.
     An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.spark_partition_id().cast("long").alias("part"), F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -78,6 +78,28 @@ def test_packing(docs, rows, nothing):
     for r in got:
         steps[r["step_group"]] += r["length"]
     assert max(steps.values()) <= 16 * 2048
+
+
+def test_packing_balances_steps():
+    """Groups of one deal hold nearly equal tokens and cost nearly equal attention, whatever order tiers come in."""
+    packer = packing._Packer(0, packing.TIERS, 64, 4 * 2048)
+    for n in [2048] * 30 + [1500, 700, 300, 120] * 60:
+        packer.add(0, np.ones(n, np.uint32))
+    packer.pack(last=True)
+    rows = packer.flush().to_pylist()
+    tokens, lengths = Counter(), Counter()
+    for r in rows:
+        tokens[r["step_group"]] += r["length"]
+        lengths[r["step_group"], r["sequence_id"]] += r["length"]
+    cost = Counter()
+    for (group, _), n in lengths.items():
+        cost[group] += n * n
+    assert sum(tokens.values()) == 2048 * 30 + (1500 + 700 + 300 + 120) * 60
+    assert len(tokens) == -(-sum(tokens.values()) // (4 * 2048)) and max(tokens.values()) <= 4 * 2048
+    assert min(tokens.values()) >= 0.5 * max(tokens.values()) and max(cost.values()) <= 1.6 * min(cost.values())
+
+
+def test_packing_of_nothing(nothing):
     assert packing.pack(nothing, tokenizer_path()).count() == 0
 
 
