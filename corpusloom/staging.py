@@ -32,3 +32,21 @@ def unstage(df: DataFrame) -> None:
         if folder.split(":")[-1].lstrip("/").startswith(root):
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession, older_than_hours: float = 24.0) -> int:
+    """Delete staged tables that were last written at least so many hours ago, and return how many. A result reads its
+    staged tables until it is written, so the age must be more than the longest job takes."""
+    import time
+
+    root = spark._jvm.org.apache.hadoop.fs.Path(stage_dir(spark))
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return 0
+    limit, gone = (time.time() - older_than_hours * 3600) * 1000, 0
+    for found in fs.listStatus(root):
+        # staged names end with a hyphen and 32 hexadecimal digits; nothing else in the folder is touched
+        name = str(found.getPath().getName()).rpartition("-")[2]
+        if len(name) == 32 and set(name) <= set("0123456789abcdef") and found.getModificationTime() <= limit:
+            gone += bool(fs.delete(found.getPath(), True))
+    return gone
