@@ -192,8 +192,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: in
 def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs (null ids: held_out is null).
 
-    Labels, lang, source and doc_id are no inputs of a score. Texts without a letter score as a text whose features are
-    all 0. Repeated rows are scored each; an empty table gives no rows.
+    Labels, lang, source and doc_id are no inputs of a score. Null and empty texts, and all without a letter, score as a
+    text whose features are all 0. A very long text is held whole in its task, in linear time. Repeated rows are scored
+    each; a score of exactly 0.5 is predicted toxic; an empty table gives no rows; other columns are ignored.
     """
     return fit(docs, labels, **options).score(docs).select(
         "doc_id",
