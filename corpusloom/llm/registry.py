@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, licenses, packing, quality, sharding, simhash, substrings, toxicity, warc
+from . import centroids, decontaminate, embeddings, importance, licenses, packing, pieces, quality, sharding, simhash, substrings, toxicity, warc
 from .common import table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +58,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("measured")
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op3_substrings, op4_toxicity, op5_decontamination, op6_embeddings, op7_warc, op8_sharding, op9_simhash, op10_licenses)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_substrings, op4_toxicity, op5_decontamination, op6_embeddings, op7_warc, op8_sharding, op9_simhash, op10_licenses, op11_pieces, op12_centroids, op13_importance)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": warc.ORACLE}
+    return {"op7_warc": warc.ORACLE, "op12_centroids": centroids.ORACLE, "op13_importance": importance.ORACLE}
