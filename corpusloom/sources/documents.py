@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markdown as M
 from ..functions import text as X
 from ..staging import stage
+from . import vault
 
 #: Columns of every reader: what a connector hands to indexing.
 DOCUMENT = "source_doc_id string, title string, content string, file_path string, url string, tags array<string>, aliases array<string>, links array<string>, metadata map<string,string>, created_at long, updated_at long"
@@ -117,56 +118,10 @@ def pages(table: DataFrame) -> DataFrame:
 def write_documents(documents: DataFrame, root: str) -> DataFrame:
     """Write-back of documents (folder, title, content, created): Markdown files with frontmatter under root.
 
-    Titles are made safe; equal names in a folder are numbered in the order of title and content, after the names that
-    root has already. Names are settled before anything is written, so a task that runs again writes the same file
-    again: under a name of its own first, then moved. root may be any path that Arrow's file systems open from every
-    executor. Null contents are empty. Returns path, title and error of each row: error is null where a file was
-    written, else says why the row was left out. The writing is done when this returns.
+    Titles are made safe; equal names in a folder are numbered in the order of content and title, after the names that
+    root has already, and no file is written over. One transaction, see `vault`. root may be any path that Spark and
+    Arrow's file systems open from every executor. Null contents are empty. Returns path, title and error of each row:
+    error is null where a file was written, else says why the row was left out. The writing is done when this returns.
     """
-    spark = documents.sparkSession
-    root = root.rstrip("/")
-    safe, folder = X.sanitise_title(F.col("title")), F.coalesce("folder", F.lit(""))
-    error = F.when(F.coalesce(F.length(safe), F.lit(0)) == 0, "no title").when((folder != "") & ~X.valid_path(folder), "folder isn't a valid path")
-    rows = documents.select("title", F.coalesce("content", F.lit("")).alias("content"), "created", safe.alias("_safe"), folder.alias("_folder"), error.alias("error"))
-    fs, p = (lambda q: (q.getFileSystem(spark._jsc.hadoopConfiguration()), q))(spark._jvm.org.apache.hadoop.fs.Path(root))
-    taken = spark.createDataFrame([], "_name string")
-    if fs.exists(p):
-        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(root).select("path")
-        base = str(fs.makeQualified(p).toUri().getPath()).rstrip("/")
-        taken = listed.select(F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?(?=/)", ""), "^" + X.quoted(base) + "/", "").alias("_name"))
-    # the number after the largest that the name has in root; a name without one counts as 0
-    used = taken.select(F.regexp_extract("_name", r"^(.*?)(?: (\d{1,9}))?\.md$", 1).alias("_stem"), F.regexp_extract("_name", r"^(.*?)(?: (\d{1,9}))?\.md$", 2).alias("_n"))
-    used = used.groupBy("_stem").agg((F.max(F.coalesce(F.expr("try_cast(_n as int)"), F.lit(0))) + 1).alias("_used"))
-    stem = F.concat(F.when(F.col("_folder") == "", "").otherwise(F.concat("_folder", F.lit("/"))), "_safe")
-    turn = Window.partitionBy("_own").orderBy(F.sha2("content", 256), F.xxhash64("created"), "title")
-    good = rows.where("error is null").withColumn("_own", stem)
-    good = good.withColumn("_turn", F.row_number().over(turn) - 1).join(used, F.col("_own") == F.col("_stem"), "left")
-    number = F.col("_turn") + F.coalesce("_used", F.lit(0))
-    good = good.withColumn("path", F.concat("_own", F.when(number > 0, F.concat(F.lit(" "), number.cast("string"))).otherwise(""), F.lit(".md")))
-    # a title that itself ends with a number may meet a numbered one: told apart by a hash
-    again = Window.partitionBy("path").orderBy("_own", F.sha2("content", 256))
-    apart = F.concat(F.regexp_replace("path", r"\.md$", ""), F.lit(" "), F.substring(F.sha2(F.concat_ws("\n", "_own", "content", "_turn"), 256), 1, 12), F.lit(".md"))
-    good = good.withColumn("path", F.when(F.row_number().over(again) > 1, apart).otherwise(F.col("path")))
-    body = X.build_frontmatter([("title", F.col("title")), ("created", F.col("created"))], F.col("content"))
-    good = stage(good.select("path", "title", body.alias("body")), "write-back")
-
-    def write(batches):
-        import uuid
-
-        import pyarrow as pa
-        from pyarrow import fs as files
-
-        to, base = files.FileSystem.from_uri(root) if "://" in root else (files.LocalFileSystem(), root)
-        for batch in batches:
-            for path, text in zip(batch.column("path").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                name = f"{base}/{path}"
-                to.create_dir(name.rsplit("/", 1)[0], recursive=True)
-                draft = f"{name}.{uuid.uuid4().hex}.draft"
-                with to.open_output_stream(draft) as out:
-                    out.write(text.encode("utf-8", "surrogatepass"))
-                to.move(draft, name)
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("title")], ["path", "title"])
-
-    done = stage(good.mapInArrow(write, "path string, title string"), "written").withColumn("error", F.lit(None).cast("string"))
-    left = rows.where("error is not null").select(F.lit(None).cast("string").alias("path"), "title", "error")
-    return done.unionByName(left)
+    rows = documents.select(F.lit("create").alias("action"), "folder", "title", "content", F.col("created").cast("string").alias("created"))
+    return vault.change_documents(rows, root).select("path", "title", "error")
