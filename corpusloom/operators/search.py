@@ -386,9 +386,11 @@ def explain(documents: DataFrame, query: str) -> DataFrame:
 class Corpus:
     """Search façade over prepared tables: documents, projects, chunks, index, vectors, tags, feedback."""
 
-    def __init__(self, documents, projects, chunks, index: Index | None = None, vectors=None, tags=None, feedback=None, embedder: str = "hashing"):
+    def __init__(self, documents, projects, chunks, index=None, vectors=None, tags=None, feedback=None, embedder: str = "hashing"):
+        from .blocks import BlockIndex
+
         self.documents, self.projects, self.chunks = documents, projects, chunks
-        self.index = index or Index.build(chunks)
+        self.index = index or BlockIndex.build(chunks)
         self.vectors, self.tags, self.feedback, self.embedder = vectors, tags, feedback, embedder
 
     def _scoped(self, query: SearchQuery) -> DataFrame:
@@ -399,12 +401,29 @@ class Corpus:
         return self.fts_batch([query])
 
     def fts_batch(self, queries: list[SearchQuery]) -> DataFrame:
-        """Several keyword searches in one job; they share the first one's scope."""
-        asked = phrase_rows(queries)
-        if not asked:
-            return self.documents.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
-        scored = bm25(self.index, asked).join(self._scoped(queries[0]), "chunk_id", "left_semi")
-        return top(scored.select("query_id", "chunk_id", "score"), queries[0].limit, queries[0].offset)
+        """Several keyword searches, each in its own scope and with its own page: a job for those that share both."""
+        spark, alike = self.documents.sparkSession, {}
+        for q in queries:
+            same = (q.limit, q.offset, *map(tuple, (q.project_ids, q.tags)), q.created_after, q.created_before, q.updated_after, q.updated_before, q.compat)
+            alike.setdefault(same, []).append(q)
+        out = spark.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
+        for some in alike.values():
+            found = self._keyword(some)
+            if found is not None:
+                out = found if len(alike) == 1 else out.unionByName(found)
+        return out
+
+    def _keyword(self, queries: list[SearchQuery]) -> DataFrame | None:
+        limit, offset = queries[0].limit, queries[0].offset
+        if isinstance(self.index, Index):
+            asked = phrase_rows(queries)
+            if not asked:
+                return None
+            scored = bm25(self.index, asked).join(self._scoped(queries[0]), "chunk_id", "left_semi")
+        else:
+            asked = [(q.query_id, found) for q in queries if (found := phrases(q.text))]
+            scored = self.index.search(asked, limit + offset, self._scoped(queries[0]))
+        return top(scored.select("query_id", "chunk_id", "score"), limit, offset)
 
     def vector(self, query: SearchQuery, max_distance: float | None = MAX_DISTANCE) -> DataFrame:
         spark = self.documents.sparkSession

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import reports, search
+from ..operators import blocks, reports, search
 from ..staging import stage
 from . import base
 from .base import query
@@ -343,3 +343,65 @@ def cosine_batch(spark, sf_dir):
     asked = table.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
     near = search.cosine_neighbours(table, asked, 10)
     return near.select("query_id", "chunk_id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+_LATER = {
+    "index_update": "SELECT id, project_id, CASE WHEN id % 50 = 0 THEN 'apache license the ' || content ELSE content END AS content, title FROM docs",
+    "index_delete": "SELECT id, project_id, content, title FROM docs WHERE id % 50 <> 0",
+}
+_TOPK = f"{_PHRASES}, (2, 0, 0, 'the', true, 1)"
+
+
+def _topk(docs, index, queries, projects, limit):
+    """The best hits of a block index in active projects."""
+    active = search.in_scope(docs, projects, search.SearchQuery()).select(F.col("id").alias("chunk_id"))
+    found = index.search([(q, search.phrases(text)) for q, text in queries], limit, active)
+    hits = search.top(found.withColumn("score", F.round("score", 9)), limit)
+    return hits.select("query_id", "rank", F.col("chunk_id").alias("document_id"), F.round("score", 6).alias("score"))
+
+
+_QUERIES = [(1, "apache license"), (2, "the")]
+
+
+@query(_bm25_sql(_TOPK, "status = 'active'") + "SELECT * FROM ranked WHERE rank <= 20")
+def fts_topk(spark, sf_dir):
+    """A rare and a common query over impact-ordered blocks: the best 20 without scoring all."""
+    docs = base.documents(spark, sf_dir)
+    return _topk(docs, blocks.BlockIndex.build(docs.select("id", "content", "title")), _QUERIES, base.projects(spark, sf_dir), 20)
+
+
+@query(_bm25_sql(_FIFTIETH, "status = 'active'") + "SELECT * FROM ranked WHERE rank <= 10")
+def fts_topk_batch(spark, sf_dir):
+    """Top ten of every fiftieth document's first long word over impact-ordered blocks, a thousand queries a job."""
+    docs = base.documents(spark, sf_dir)
+    index = blocks.BlockIndex.build(docs.select("id", "content", "title"))
+    asked = stage(_fiftieth(spark, sf_dir).select("query_id", "term"), "asked")
+    jobs = max(1, -(-asked.count() // 1000))
+    out = None
+    for job in range(jobs):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(jobs)) == job).collect()  # a job's own queries
+        part = _topk(docs, index, [(r["query_id"], r["term"]) for r in rows], base.projects(spark, sf_dir), 10)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _later(name: str) -> str:
+    return _bm25_sql(_TOPK, "status = 'active'").replace("FROM docs)", "FROM later)").replace(", tok AS", f", later AS ({_LATER[name]}), tok AS", 1) + "SELECT * FROM ranked WHERE rank <= 20"
+
+
+@query(_later("index_update"))
+def index_update(spark, sf_dir):
+    """Searches of an index into which new contents of every fiftieth document went as one more segment."""
+    docs = base.documents(spark, sf_dir)
+    index = blocks.BlockIndex.build(docs.select("id", "content", "title"))
+    changed = docs.where("id % 50 = 0").select("id", F.concat(F.lit("apache license the "), "content").alias("content"), "title")
+    return _topk(docs, index.update(changed), _QUERIES, base.projects(spark, sf_dir), 20)
+
+
+@query(_later("index_delete"))
+def index_delete(spark, sf_dir):
+    """Searches of an index out of which every fiftieth document was taken, compacted after it."""
+    docs = base.documents(spark, sf_dir)
+    index = blocks.BlockIndex.build(docs.select("id", "content", "title"))
+    index = index.update(removed=docs.where("id % 50 = 0").select("id")).compact(1 << 30)
+    return _topk(docs, index, _QUERIES, base.projects(spark, sf_dir), 20)
