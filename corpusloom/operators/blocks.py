@@ -24,8 +24,9 @@ from . import search
 
 #: Chunks of a block, parts of one unit of share that the dictionary counts apart, chunks of a cell of the forward file.
 BLOCK, STEPS, CELL = 128, 32, 16_384
-#: Keys that a filter names one by one; more are joined. Bounds are lowered by this share against rounding.
-NAMED, SLACK = 400, 1e-6
+#: Keys whose bounds a scan's filter spells out, and that it names; more are joined. Bounds are lowered by this share
+#: against rounding.
+FEW, NAMED, SLACK = 16, 4000, 1e-6
 
 TOKENS = ("content", "heading_path", "title")
 FORWARD = "seg int, chunk_id long, length long, " + ", ".join(f"{c} array<string>" for c in TOKENS) + ", cell int"
@@ -45,21 +46,17 @@ def idf(total: int, df: int) -> float:
     return found if found > 0 else search.IDF_FLOOR
 
 
-def _keys(tokens: Column, weight: float) -> Column:
-    """Every key of a token list with the column's weight, repeats included."""
-    n = F.size(tokens)
-    pairs = F.zip_with(F.slice(tokens, 1, F.greatest(n - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-
-    def starts(k: int) -> Column:
-        return F.transform(F.filter(tokens, lambda t: F.length(t) >= k), lambda t: F.concat(F.left(t, F.lit(k)), F.lit("*")))
-
-    return F.transform(F.concat(tokens, pairs, starts(1), starts(2), starts(3)), lambda k: F.struct(k.alias("key"), F.lit(weight).alias("w")))
-
-
 def key_rows(forward: DataFrame) -> DataFrame:
-    """seg, chunk_id, length, key, w: a row for each occurrence of a key."""
-    parts = F.concat(*(_keys(F.col(c), w) for c, w in search.WEIGHTS.items()))
-    return forward.select("seg", "chunk_id", "length", F.explode(parts).alias("_k")).select("seg", "chunk_id", "length", "_k.key", "_k.w")
+    """seg, chunk_id, length, key, w: a row for each occurrence of a key, with its column's weight."""
+    out = None
+    for c, weight in search.WEIGHTS.items():
+        follows = F.slice(F.col(c), 2, F.greatest(F.size(c) - 1, F.lit(0)))
+        rows = forward.select("seg", "chunk_id", "length", F.inline(F.arrays_zip(F.col(c).alias("a"), follows.alias("b"))).alias("a", "b"))
+        starts = [F.when(F.length("a") >= k, F.concat(F.left("a", F.lit(k)), F.lit("*"))) for k in (1, 2, 3)]
+        keys = F.explode(F.array(F.col("a"), F.concat("a", F.lit(" "), "b"), *starts))  # null where there is none
+        part = rows.select("seg", "chunk_id", "length", keys.alias("key")).where("key is not null").withColumn("w", F.lit(weight))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def occurrences(tokens: Column, words: Column, prefix: Column) -> Column:
@@ -71,7 +68,10 @@ def occurrences(tokens: Column, words: Column, prefix: Column) -> Column:
         found = F.get(tokens, i + n - 1)
         return (F.slice(tokens, i + 1, n - 1) == F.slice(words, F.lit(1), n - 1)) & F.when(prefix, F.startswith(found, last)).otherwise(found == last)
 
-    return F.when(F.size(tokens) >= n, F.size(F.filter(F.sequence(F.lit(0), F.size(tokens) - n), here))).otherwise(0)
+    # one word is counted without looking at places
+    one = F.when(prefix, F.size(F.filter(tokens, lambda t: F.startswith(t, last)))).otherwise(F.size(tokens) - F.size(F.array_remove(tokens, last)))
+    many = F.when((F.size(tokens) >= n) & F.array_contains(tokens, F.get(words, F.lit(0))), F.size(F.filter(F.sequence(F.lit(0), F.size(tokens) - n), here)))
+    return F.when(n == 1, one).otherwise(F.coalesce(many, F.lit(0)))
 
 
 def _cut(batches):
@@ -258,11 +258,13 @@ class BlockIndex:
         """Entries of the blocks that the cuts (key, query_id, phrase_id, rarity, least) leave: query_id, phrase_id, seg,
         chunk_id, worth. keys: the least share wanted of each key, put to the scan as a filter."""
         blocks = self._read("blocks", BLOCKS)
-        if len(keys) <= NAMED:
+        if len(keys) <= FEW:
             wanted = F.lit(False)
             for k, low in keys.items():
                 wanted = wanted | ((F.col("key") == k) & (F.col("top") >= low))
             blocks = blocks.where(wanted)
+        elif len(keys) <= NAMED:
+            blocks = blocks.where(F.col("key").isin(list(keys)))
         rows = blocks.join(F.broadcast(cuts.withColumnRenamed("key", "_key")), (F.col("key") == F.col("_key")) & (F.col("top") >= F.col("floor")))
         entry = F.explode(F.arrays_zip("chunks", "lengths", "freqs")).alias("e")
         rows = rows.select("query_id", "phrase_id", "seg", "rarity", "least", entry)
