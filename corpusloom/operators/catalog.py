@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..staging import stage
 
 #: Allowed values of enumerated columns.
 ENUMS = {
@@ -47,6 +49,10 @@ SCHEMAS = {
 }
 
 
+#: Column and key of a bucketed table's layout.
+BUCKETED = "_bucket"
+
+
 def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[name])
 
@@ -79,35 +85,89 @@ class Catalog:
     def version(self, name: str) -> int:
         return max(self._numbers(name)[0], default=0)
 
+    def _marker(self, name: str, n: int) -> dict:
+        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.path}/{name}/v{n}.done").first()[0]) if n else {}
+
     def note(self, name: str) -> dict:
         """What was noted with the current snapshot."""
-        n = self.version(name)
-        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.path}/{name}/v{n}.done").first()[0]) if n else {}
+        return {k: v for k, v in self._marker(name, self.version(name)).items() if k != BUCKETED}
 
     def load(self, name: str) -> DataFrame:
         n = self.version(name)
-        return self.spark.read.parquet(f"{self.path}/{name}/v{n}") if n else empty(self.spark, name)
+        if not n:
+            return empty(self.spark, name)
+        layout = self._marker(name, n).get(BUCKETED)
+        return self._buckets(name, layout, layout["at"]) if layout else self.spark.read.parquet(f"{self.path}/{name}/v{n}")
+
+    def _buckets(self, name: str, layout: dict, buckets) -> DataFrame:
+        """Rows of some buckets, from the snapshots that wrote them."""
+        schema = T.StructType.fromJson(layout["schema"])
+        paths = [f"{self.path}/{name}/v{layout['at'][b]}/{BUCKETED}={b}" for b in buckets if b in layout["at"]]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _begin(self, name: str) -> int:
+        return max(self._numbers(name)[1], default=0) + 1
+
+    def _finish(self, name: str, n: int, marker: dict) -> None:
+        """Makes snapshot n the current one."""
+        fs, draft = self._fs(f"{self.path}/{name}/v{n}.draft")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps(marker).encode()))
+        out.close()
+        if not fs.rename(draft, self._fs(f"{self.path}/{name}/v{n}.done")[1]):
+            raise OSError(f"snapshot {n} of {name} could not be made the current one")
 
     def save(self, name: str, df: DataFrame, partition_by: list[str] | None = None, note: dict | None = None) -> None:
         """df as the next snapshot; note (kept from the current one where it is None) goes with it."""
         note = self.note(name) if note is None else note
-        n = max(self._numbers(name)[1], default=0) + 1
+        n = self._begin(name)
         writer = df.write.mode("errorifexists")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/{name}/v{n}")
-        fs, draft = self._fs(f"{self.path}/{name}/v{n}.draft")
-        out = fs.create(draft, True)
-        out.write(bytearray(json.dumps(note).encode()))
-        out.close()
-        if not fs.rename(draft, self._fs(f"{self.path}/{name}/v{n}.done")[1]):
-            raise OSError(f"snapshot {n} of {name} could not be made the current one")
+        self._finish(name, n, note)
+
+    def merge(self, name: str, rows: DataFrame, keys: list[str], combine, buckets: int = 256, note: dict | None = None) -> list[int]:
+        """combine(old, rows) becomes the table's rows, and only the buckets that rows fall into are read and written.
+
+        A table is dealt into `buckets` by the hash of its keys (its first merge settles both, and deals what was there
+        before); a snapshot is a list of which earlier snapshot holds each bucket, so the others stay as they are.
+        combine gets the touched buckets' old rows and the new rows, must work key by key (an upsert, a sum, a
+        replacement of a document's children), and may drop rows: an empty bucket goes. Returns the numbers of the
+        buckets that were written. One marker makes it current, as with save, together with note.
+        """
+        marker, n = self._marker(name, self.version(name)), self._begin(name)
+        layout = marker.get(BUCKETED)
+        rows = stage(rows, f"merge-{name}")
+        if layout is not None and layout["keys"] != keys:
+            raise ValueError(f"{name} is dealt by {layout['keys']}")
+        known = layout or {"keys": keys, "n": buckets, "at": {}}
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(known["n"])).cast("int")
+        if layout is None:
+            touched, old = None, self.load(name) if self.exists(name) or name in SCHEMAS else self.spark.createDataFrame([], rows.schema)
+        else:
+            touched = {r[0] for r in rows.select(bucket).distinct().collect()}  # as many as buckets, at most
+            old = self._buckets(name, layout, sorted(map(str, touched)))
+        layout = known
+        out = combine(old, rows)
+        layout["schema"] = json.loads(out.schema.json())
+        width = layout["n"] if touched is None else max(1, len(touched))
+        dealt = out.withColumn(BUCKETED, bucket).repartition(min(width, layout["n"]), BUCKETED)
+        dealt.write.mode("errorifexists").partitionBy(BUCKETED).parquet(f"{self.path}/{name}/v{n}")
+        fs, p = self._fs(f"{self.path}/{name}/v{n}")
+        wrote = [str(f.getPath().getName()).partition("=")[2] for f in fs.listStatus(p) if str(f.getPath().getName()).startswith(f"{BUCKETED}=")]
+        kept = {} if touched is None else {b: v for b, v in layout["at"].items() if int(b) not in touched}
+        layout["at"] = kept | dict.fromkeys(wrote, n)
+        note = {k: v for k, v in marker.items() if k != BUCKETED} if note is None else note
+        self._finish(name, n, note | {BUCKETED: layout})
+        return sorted(map(int, wrote))
 
     def vacuum(self, name: str, keep: int = 2) -> None:
         """Delete all but the latest `keep` snapshots; readers of older ones must be done."""
         done, every = self._numbers(name)
         kept = set(done[-keep:])
+        read = {v for n in kept for v in self._marker(name, n).get(BUCKETED, {}).get("at", {}).values()}  # buckets that later snapshots left as they were
         for n in every:
             if n not in kept and n < max(done, default=0):
-                for path in (f"v{n}.done", f"v{n}"):
+                for path in (f"v{n}.done",) if n in read else (f"v{n}.done", f"v{n}"):
                     fs, p = self._fs(f"{self.path}/{name}/{path}")
                     fs.delete(p, True)
 
@@ -225,12 +285,20 @@ def put(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return upsert(table, rows, keys)
 
 
-def audit(log: DataFrame, events: DataFrame, now: int) -> DataFrame:
-    """Append events (event, project_id, and any payload columns) with a JSON payload."""
-    payload = F.to_json(F.struct(*(c for c in events.columns if c not in ("event", "project_id"))))
+def audit(log: DataFrame, events: DataFrame, now: int, order: str | None = None) -> DataFrame:
+    """Append events (event, project_id, and any payload columns) with a JSON payload, numbered on from the log without
+    gaps, in the order of one of the events' columns (a hash of their content where none is named)."""
+    names = [c for c in events.columns if c not in ("event", "project_id")]
     start = log.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    rows = events.select("event", "project_id", payload.alias("payload"))
-    rows = rows.select((F.lit(start) + 1 + F.monotonically_increasing_id()).alias("id"), "event", "project_id", "payload", F.lit(now).cast("long").alias("created_at"))
+    # dealt by ranges of the order: counts of ranges are summed up, rows are ranked inside one
+    place = F.xxhash64(F.to_json(F.struct(*events.columns))) if order is None else F.col(order)
+    rows = events.select("event", "project_id", F.to_json(F.struct(*names)).alias("payload"), place.alias("_place")).repartitionByRange("_place")
+    rows = stage(rows.withColumn("_cell", F.spark_partition_id()), "audit")
+    cells = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    cells = cells.select(F.col("_cell").alias("_at"), (F.sum("_n").over(Window.orderBy("_cell")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_cell").orderBy("_place", "event", "project_id", "payload"))
+    rows = rows.withColumn("_inside", inside).join(cells, F.col("_cell") == F.col("_at"))
+    rows = rows.select((F.lit(start) + F.col("_before") + F.col("_inside")).alias("id"), "event", "project_id", "payload", F.lit(now).cast("long").alias("created_at"))
     return log.unionByName(rows)
 
 

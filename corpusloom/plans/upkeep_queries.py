@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import catalog, freshness, reports, schedule, search, sync
 from ..sources import documents as sources
+from ..streaming import jobs
 from . import base
 from .base import AS_OF, query
 
@@ -116,8 +117,8 @@ def key_values(spark, sf_dir):
 def audit_append(spark, sf_dir):
     """Events appended with JSON payloads, numbered on from the log."""
     log = spark.createDataFrame([(7, "start", None, None, 0)], catalog.SCHEMAS["audit_log"])
-    events = _docs(spark, sf_dir).where("id % 10 = 0").coalesce(1).sortWithinPartitions("id").select(F.lit("index").alias("event"), "project_id", "lang", F.col("id").alias("document"))
-    return catalog.audit(log, events, AS_OF)
+    events = _docs(spark, sf_dir).where("id % 10 = 0").select(F.lit("index").alias("event"), "project_id", "lang", F.col("id").alias("document"))
+    return catalog.audit(log, events, AS_OF, order="document")
 
 
 _INSTANCES = f"inst AS (SELECT id, CASE WHEN id % 4 <> 0 THEN {AS_OF} - id * 1000 END AS last_synced, id % 3 = 0 AS is_local, CASE id % 4 WHEN 0 THEN 'manual' WHEN 1 THEN 'on_focus' WHEN 2 THEN 'interval' ELSE 'realtime' END AS mode FROM projs)"
@@ -363,3 +364,42 @@ def rebuilt_vectors(spark, sf_dir):
     chunks = _docs(spark, sf_dir).select("id", "content")
     rows = V.rebuild(chunks, "hashing", 48)
     return rows.select("chunk_id", F.size("embedding").alias("dimension"), F.lit(True).alias("made"))
+
+
+_BUCKETED = """, old AS (SELECT id, project_id, source_doc_id, title, created_at FROM docs WHERE id % 4 <> 1),
+new AS (SELECT id, project_id, source_doc_id, 'later ' || title AS title, created_at + 5 AS created_at FROM docs WHERE id % 100 IN (0, 1))
+"""
+
+
+@query(_BUCKETED + "SELECT id, coalesce(n.title, o.title) AS title, coalesce(o.created_at, n.created_at) AS created_at FROM old o FULL JOIN new n USING (id) WHERE id % 100 <> 7")
+def bucket_merge(spark, sf_dir):
+    """A table dealt into buckets, into which updates and new rows are merged, and out of which some ids are deleted."""
+    import uuid
+
+    from ..staging import stage_dir
+
+    docs = _docs(spark, sf_dir).select("id", "title", "created_at")
+    store = catalog.Catalog(spark, f"{stage_dir(spark)}/catalog-{uuid.uuid4().hex}")
+    put = lambda old, new: catalog.upsert(old.select(*docs.columns), new, ["id"], keep_old=("created_at",))
+    store.merge("titles", docs.where("id % 4 <> 1"), ["id"], lambda old, new: new, buckets=64)
+    changed = docs.where("id % 100 in (0, 1)").select("id", F.concat(F.lit("later "), "title").alias("title"), (F.col("created_at") + 5).alias("created_at"))
+    store.merge("titles", changed, ["id"], put)
+    store.merge("titles", docs.where("id % 100 = 7").select("id"), ["id"], lambda old, gone: old.join(gone, "id", "left_anti"))
+    return store.load("titles")
+
+
+@query(""", one AS (SELECT doc_id AS document_id, 2 AS n, 1704067200 + doc_id * 60 AS t FROM documents UNION ALL SELECT doc_id, 1, 1704067200 + 999999 FROM documents WHERE doc_id % 20 = 0)
+SELECT document_id, sum(n)::BIGINT AS count, max(t)::BIGINT AS last_viewed FROM one GROUP BY 1""")
+def view_counts_merged(spark, sf_dir):
+    """View counts into which a later batch of views is added, in its own buckets."""
+    import uuid
+
+    from ..staging import stage_dir
+
+    docs = _docs(spark, sf_dir)
+    store = catalog.Catalog(spark, f"{stage_dir(spark)}/catalog-{uuid.uuid4().hex}")
+    first = docs.select(F.col("id").alias("document_id"), F.lit(2).cast("long").alias("count"), (F.lit(1704067200) + F.col("id") * 60).alias("last_viewed"))
+    later = jobs.view_counts(docs.where("id % 20 = 0").select(F.col("id").alias("document_id"), F.timestamp_seconds(F.lit(1704067200 + 999999)).alias("ts")))
+    for rows in (first, later):
+        store.merge("view_counts", rows, ["document_id"], jobs.merge_views, buckets=64)
+    return store.load("view_counts")

@@ -43,7 +43,7 @@ def merge_pairs(table: DataFrame, new: DataFrame) -> DataFrame:
 def stream_session_pairs(accesses: DataFrame, catalog, checkpoint: str, gap: str = GAP, lateness: str = LATENESS, **trigger):
     """Stream: closed sessions are merged into the catalog's document_co_refs. Accesses later than `lateness` are dropped.
 
-    State is one set of ids an open session. The number of the last batch of each checkpoint is noted with the snapshot
+    A batch rewrites the buckets of its own documents only. State is one set of ids an open session. The number of the last batch of each checkpoint is noted with the snapshot
     that holds its pairs, in one act, so a batch that runs again after a failure isn't counted twice.
     """
     grouped = accesses.withWatermark("ts", lateness).groupBy("session_id", F.session_window("ts", gap)).agg(F.collect_set("document_id").alias("documents"), F.max("ts").alias("seen"))
@@ -54,7 +54,7 @@ def stream_session_pairs(accesses: DataFrame, catalog, checkpoint: str, gap: str
             batch.write.format("noop").mode("overwrite").save()  # its pairs are there, but the stream's state is still to be committed
             return
         pairs = _counted(_pairs(batch.where(F.size("documents") > 1)))
-        catalog.save("document_co_refs", merge_pairs(catalog.load("document_co_refs"), pairs), note=note | {checkpoint: number})
+        catalog.merge("document_co_refs", pairs, ["doc_a_id"], merge_pairs, note=note | {checkpoint: number})
 
     return grouped.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -64,6 +64,21 @@ def view_counts(views: DataFrame) -> DataFrame:
     return views.groupBy("document_id").agg(F.count(F.lit(1)).alias("count"), F.unix_timestamp(F.max("ts").cast("timestamp")).alias("last_viewed"))
 
 
+def merge_views(table: DataFrame, new: DataFrame) -> DataFrame:
+    return table.unionByName(new).groupBy("document_id").agg(F.sum("count").alias("count"), F.max("last_viewed").alias("last_viewed"))
+
+
+def stream_view_counts(views: DataFrame, catalog, checkpoint: str, **trigger):
+    """Stream: views (document_id, ts) are added to the catalog's view_counts, each batch once, in its own buckets."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        note = catalog.note("view_counts")
+        if number > note.get(checkpoint, -1):
+            catalog.merge("view_counts", view_counts(batch), ["document_id"], merge_views, note=note | {checkpoint: number})
+
+    return views.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def debounced(changes: DataFrame, cooldown_seconds: float = 2.0) -> DataFrame:
     """Batch: changes (path, ts) at least a cooldown after the one before on the same path."""
     before = F.lag("ts").over(Window.partitionBy("path").orderBy("ts"))

@@ -59,6 +59,57 @@ def test_catalog_survives_a_save_that_dies(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "c" / "document_tags").iterdir() if not p.name.startswith(".")) == ["v3", "v3.done"]
 
 
+def test_a_merge_rewrites_its_own_buckets(spark, tmp_path):
+    """One key in a hundred, all in few buckets: only their files are new, the others are the ones of before."""
+    store, put = catalog.Catalog(spark, str(tmp_path / "c")), lambda old, new: catalog.upsert(old, new, ["id"])
+    table = spark.range(2000).select("id", F.lit("old").alias("x"))
+    assert len(store.merge("t", table, ["id"], lambda old, new: new, buckets=32, note={"a": 1})) == 32
+    bucket = F.pmod(F.xxhash64("id"), F.lit(32))
+    few = table.where(bucket.isin(3, 4, 20)).limit(20).withColumn("x", F.lit("new"))
+    few = spark.createDataFrame(few.collect(), few.schema)
+    files = set(store.load("t").inputFiles())
+    wrote = store.merge("t", few.unionByName(spark.createDataFrame([(-1, "new")], few.schema).where(bucket == 3)), ["id"], put)
+    assert wrote and set(wrote) <= {3, 4, 20}
+    after = set(store.load("t").inputFiles())
+    number = lambda f: int(f.rsplit("_bucket=", 1)[1].split("/")[0])
+    assert {number(f) for f in after - files} == set(wrote) == {number(f) for f in files - after}
+    assert store.load("t").where("x = 'new'").count() == few.count() and store.load("t").count() >= 2000 and store.note("t") == {"a": 1}
+    # deletes; an empty bucket goes; what a kept snapshot reads survives the vacuum
+    gone = table.where(bucket == 7).select("id")
+    assert store.merge("t", gone, ["id"], lambda old, g: old.join(g, "id", "left_anti"), note={"b": 2}) == []
+    store.vacuum("t", keep=1)
+    assert store.note("t") == {"b": 2} and store.load("t").where(bucket == 7).count() == 0 and store.load("t").count() == 2000 - gone.count() + store.load("t").where("id < 0").count()
+    with pytest.raises(ValueError, match="dealt by"):
+        store.merge("t", few, ["x"], put)
+
+
+def test_a_plain_table_becomes_bucketed(spark, tmp_path):
+    store = catalog.Catalog(spark, str(tmp_path / "c"))
+    store.save("view_counts", spark.createDataFrame([(i, 1, 5) for i in range(50)], catalog.SCHEMAS["view_counts"]))
+    store.merge("view_counts", spark.createDataFrame([(3, 2, 9), (99, 1, 9)], catalog.SCHEMAS["view_counts"]), ["document_id"], jobs.merge_views)
+    got = {r["document_id"]: (r["count"], r["last_viewed"]) for r in store.load("view_counts").collect()}
+    assert len(got) == 51 and got[3] == (3, 9) and got[99] == (1, 9) and got[4] == (1, 5)
+    store.save("view_counts", store.load("view_counts").where("document_id < 5"))  # and plain again
+    assert store.load("view_counts").count() == 5
+
+
+def test_view_counts_as_a_stream(spark, tmp_path):
+    schema, source, store = "document_id long, ts timestamp", str(tmp_path / "in"), catalog.Catalog(spark, str(tmp_path / "c"))
+    for seconds in (0, 100):
+        spark.createDataFrame([(r[1], r[2]) for r in access(("", 1, seconds), ("", 1, seconds + 9), ("", 2, seconds))], schema).write.mode("append").parquet(source)
+        for _ in range(2):  # a second run adds nothing
+            jobs.stream_view_counts(spark.readStream.schema(schema).parquet(source), store, str(tmp_path / "k")).awaitTermination(120)
+    assert {r["document_id"]: r["count"] for r in store.load("view_counts").collect()} == {1: 4, 2: 2}
+
+
+def test_audit_numbers_have_no_gaps(spark):
+    events = spark.range(500).repartition(7).select(F.lit("e").alias("event"), F.lit(1).cast("long").alias("project_id"), F.col("id").alias("n"))
+    log = spark.createDataFrame([(7, "start", None, None, 0)], catalog.SCHEMAS["audit_log"])
+    got = catalog.audit(log, events, 5, order="n").where("event = 'e'").collect()
+    assert sorted((r["id"], r["payload"]) for r in got) == [(8 + n, f'{{"n":{n}}}') for n in range(500)]
+    assert sorted(r["id"] for r in catalog.audit(log, events.unionByName(events), 5).collect()) == list(range(7, 1008))
+
+
 def test_children_aliases_and_violations(spark):
     old = spark.createDataFrame([(1, "x"), (2, "y")], "document_id long, tag string")
     new = spark.createDataFrame([(1, "n"), (1, "n")], "document_id long, tag string")
@@ -292,7 +343,7 @@ def test_stream_counts_a_batch_once_when_it_dies(spark, tmp_path, monkeypatch):
     schema = "session_id string, document_id long, ts timestamp"
     source, store = str(tmp_path / "in"), catalog.Catalog(spark, str(tmp_path / "c"))
     spark.createDataFrame(access(("s1", 1, 0), ("s1", 2, 9), ("late", 3, 90_000)), schema).write.parquet(source)
-    save = catalog.Catalog.save
+    save = catalog.Catalog.merge
 
     def run():
         stream = jobs.stream_session_pairs(spark.readStream.schema(schema).parquet(source), store, str(tmp_path / "k"))
@@ -310,9 +361,9 @@ def test_stream_counts_a_batch_once_when_it_dies(spark, tmp_path, monkeypatch):
         raise OSError("gone")
 
     for fault in (before, after):
-        monkeypatch.setattr(catalog.Catalog, "save", fault)
+        monkeypatch.setattr(catalog.Catalog, "merge", fault)
         assert not run()
-        monkeypatch.setattr(catalog.Catalog, "save", save)
+        monkeypatch.setattr(catalog.Catalog, "merge", save)
     assert run()
     assert [tuple(r)[:3] for r in store.load("document_co_refs").collect()] == [(1, 2, 1)]
 
