@@ -24,15 +24,84 @@ def normalise(raw: Column) -> Column:
     return F.regexp_replace(out, r"\.md$", "")
 
 
-def candidate_keys(documents: DataFrame, lengths: list[int]) -> DataFrame:
-    """kind, key, project_id, document_id: the strings by which a document is found. Kind `name`: its source id and title;
-    kind `end`: the ends of its path of the given lengths. With these, resolution is an equi-join."""
-    path = fold_ascii(F.col("file_path"))
-    sizes = F.array(*map(F.lit, lengths)).cast("array<int>")
-    ends = F.transform(F.filter(sizes, lambda n: n <= F.length(path)), lambda n: F.struct(F.lit("end").alias("kind"), F.right(path, n).alias("key")))
-    names = F.transform(F.array_compact(F.array("source_doc_id", "title")), lambda x: F.struct(F.lit("name").alias("kind"), fold_ascii(x).alias("key")))
-    keys = F.array_distinct(F.concat(names, F.coalesce(ends, F.array().cast("array<struct<kind:string,key:string>>"))))
-    return documents.select(F.inline(keys), "project_id", F.col("id").alias("document_id"))
+def _placed(batches, borders: list[bytes]):
+    """Rows (kind, key, id) with the stretch of the sorted keys that they belong to: a path has one, a target every one
+    that its range reaches into."""
+    import bisect
+
+    import pyarrow as pa
+
+    for batch in batches:
+        at, part = [], []
+        for n, (kind, key) in enumerate(zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist(), strict=True)):
+            raw = key.encode()
+            low = bisect.bisect_right(borders, raw)
+            # no UTF-8 text holds 0xff: every text that begins with the key sorts before this
+            high = low if kind else bisect.bisect_right(borders, raw + b"\xff")
+            part += range(low, high + 1)
+            at += [n] * (high - low + 1)
+        rows = batch.take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *rows.columns], ["part", *rows.schema.names])
+
+
+def _within(batches):
+    """Smallest id under each target (key, id), from rows sorted by (part, key, kind): a target comes right before the paths
+    that begin with it, and ranges are nested or apart, so one stack holds the open ones."""
+    import pyarrow as pa
+
+    open_, keys, ids, current = [], [], [], None
+
+    def close():
+        key, low = open_.pop()
+        if low is not None:
+            keys.append(key)
+            ids.append(low)
+            if open_ and (open_[-1][1] is None or low < open_[-1][1]):
+                open_[-1][1] = low
+
+    for batch in batches:
+        for part, kind, key, number in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "key", "id")), strict=True):
+            while open_ and (part != current or not key.startswith(open_[-1][0])):
+                close()
+            current = part
+            if kind == 0:
+                open_.append([key, None])
+            elif open_ and (open_[-1][1] is None or number < open_[-1][1]):
+                open_[-1][1] = number
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ids, pa.int64())], ["key", "id"])
+        keys, ids = [], []
+    while open_:
+        close()
+    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ids, pa.int64())], ["key", "id"])
+
+
+#: Paths from which the borders of the stretches are learned. They only shape tasks.
+SAMPLE = 20_000
+
+
+def suffix_join(targets: DataFrame, paths: DataFrame) -> DataFrame:
+    """scope, suffix, id: for each of targets (scope, suffix) the smallest id among paths (scope, path, id) of its scope
+    that end with it; without one no row.
+
+    Both are reversed and sorted together: a target is the range of paths that begin with it. Borders cut the order into
+    as many stretches as the session has shuffle partitions; a path goes to one stretch, a target to those that its range
+    covers (one, mostly), and a task passes over its stretch once with the open targets on a stack. No row a path and
+    possible length, no pair of a target and a path: equal paths and equal targets count once, a target that ends every
+    path costs one row a stretch.
+    """
+    spark = paths.sparkSession
+    text = lambda c: F.concat(F.col("scope"), F.lit("\n"), F.reverse(F.col(c)))
+    docs = paths.where("path is not null and scope is not null").groupBy(text("path").alias("key")).agg(F.min("id").alias("id"))
+    rows = docs.select(F.lit(1).alias("kind"), "key", "id").unionByName(targets.where("suffix is not null and scope is not null").select(F.lit(0).alias("kind"), text("suffix").alias("key"), F.lit(None).cast("long").alias("id")).distinct())
+    rows = stage(rows, "suffixes")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = max(1, rows.count() // SAMPLE)
+    seen = sorted(r[0].encode() for r in rows.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("key").collect())  # some SAMPLE rows
+    borders = sorted({seen[len(seen) * i // parts] for i in range(1, parts)}) if seen else []
+    dealt = rows.mapInArrow(lambda it: _placed(it, borders), "part int, kind int, key string, id long")
+    found = dealt.repartition(parts, "part").sortWithinPartitions("part", "key", "kind").mapInArrow(_within, "key string, id long")
+    found = found.groupBy("key").agg(F.min("id").alias("id"))
+    return found.select(F.split_part("key", F.lit("\n"), F.lit(1)).alias("scope"), F.reverse(F.substr("key", F.instr("key", F.lit("\n")) + 1)).alias("suffix"), "id")
 
 
 def resolve(links: DataFrame, documents: DataFrame, aliases: DataFrame, projects: DataFrame | None = None, scheme: str = "doc") -> DataFrame:
@@ -43,8 +112,9 @@ def resolve(links: DataFrame, documents: DataFrame, aliases: DataFrame, projects
     `.md`; A-Z match in any case. The smallest document id wins within a step. What nothing resolves, an empty target
     among it, has a null target and resolution `unresolved`, and is tried again whenever this runs.
 
-    Equal targets of a project are resolved once. Documents that share a key are reduced to the smallest id of each
-    project, and of all, before anything is joined: a target meets two rows a key, however many files are called README.
+    Equal targets of a project are resolved once. Documents that share a name are reduced to the smallest id of each
+    project, and of all, before anything is joined: a target meets two rows a name, however many files are called README.
+    Ends of paths are found by `suffix_join`, within the project and over all.
     """
     docs = documents.select(F.col("id").alias("_id"), F.col("project_id").alias("_project"))
     rows = links.join(docs, F.col("source_id") == F.col("_id"), "left").drop("_id")
@@ -56,12 +126,21 @@ def resolve(links: DataFrame, documents: DataFrame, aliases: DataFrame, projects
     forms = F.array(want("name", F.col("t")), want("name", F.col("n")), want("end", F.col("t")), want("end", F.col("n")), want("end", F.concat("n", F.lit(".md"))))
     bare = (F.col("t") != "") & (F.col("n") != "")
     wanted = asked.where(bare).select("_project", "target_raw", F.inline(F.array_distinct(forms)))
-    lengths = [r[0] for r in wanted.where("kind = 'end'").select(F.length("key")).distinct().collect()]  # no more than the longest path has
-    keys = candidate_keys(documents, sorted(lengths))
-    own = keys.groupBy("kind", "key", "project_id").agg(F.min("document_id").alias("document_id"))
-    every = own.groupBy("kind", "key").agg(F.min("document_id").alias("document_id"))
-    here = wanted.join(own, ["kind", "key"]).where("project_id = _project").select("_project", "target_raw", F.lit(2).alias("step"), "document_id")
-    found = here.unionByName(wanted.join(every, ["kind", "key"]).select("_project", "target_raw", F.lit(3).alias("step"), "document_id"))
+    wanted = stage(wanted, "link-targets")
+    names = F.explode(F.array_distinct(F.array_compact(F.array(fold_ascii(F.col("source_doc_id")), fold_ascii(F.col("title")))))).alias("key")
+    keys = documents.select(names, "project_id", F.col("id").alias("document_id"))
+    own = keys.groupBy("key", "project_id").agg(F.min("document_id").alias("document_id"))
+    every = own.groupBy("key").agg(F.min("document_id").alias("document_id"))
+    named, ended = wanted.where("kind = 'name'"), wanted.where("kind = 'end'")
+    scopes = {2: F.concat(F.lit("p"), F.col("_project").cast("string")), 3: F.lit("all")}
+    targets = ended.select(F.explode(F.array(*scopes.values())).alias("scope"), F.col("key").alias("suffix"))
+    inside = F.explode(F.array(F.concat(F.lit("p"), F.col("project_id").cast("string")), F.lit("all"))).alias("scope")
+    ends = stage(suffix_join(targets, documents.select(inside, fold_ascii(F.col("file_path")).alias("path"), "id")), "link-ends")
+    found = named.join(own, "key").where("project_id = _project").select("_project", "target_raw", F.lit(2).alias("step"), "document_id")
+    found = found.unionByName(named.join(every, "key").select("_project", "target_raw", F.lit(3).alias("step"), "document_id"))
+    for step, scope in scopes.items():
+        met = ended.withColumn("_scope", scope).join(ends, (F.col("_scope") == F.col("scope")) & (F.col("key") == F.col("suffix")))
+        found = found.unionByName(met.select("_project", "target_raw", F.lit(step).alias("step"), F.col("id").alias("document_id")))
     known = aliases.groupBy(F.col("alias").alias("key")).agg(F.min("document_id").alias("document_id"))
     aliased = asked.where(bare).select("_project", "target_raw", F.explode(F.array_distinct(F.array("t", "n"))).alias("key")).join(known, "key")
     found = found.unionByName(aliased.select("_project", "target_raw", F.lit(4).alias("step"), "document_id"))
@@ -73,9 +152,9 @@ def resolve(links: DataFrame, documents: DataFrame, aliases: DataFrame, projects
         exact = parts.join(owned, (F.col("_s1") == F.col("source_project_id")) & (F.col("_s2") == F.col("source_doc_id")))
         found = found.unionByName(exact.select("_project", "target_raw", F.lit(1).alias("step"), "document_id"))
     best = found.groupBy("_project", "target_raw").agg(F.min(F.struct("step", "document_id")).alias("b")).withColumnsRenamed({"_project": "_p", "target_raw": "_t"})
-    names = F.element_at(F.array(*map(F.lit, ("uri", "project", "global", "alias"))), F.col("b.step"))
+    steps = F.element_at(F.array(*map(F.lit, ("uri", "project", "global", "alias"))), F.col("b.step"))
     out = rows.join(best, F.col("_project").eqNullSafe(F.col("_p")) & (F.col("target_raw") == F.col("_t")), "left")
-    return out.select("source_id", "target_raw", F.col("b.document_id").alias("target_id"), F.when(F.col("b").isNull(), "unresolved").otherwise(names).alias("resolution"))
+    return out.select("source_id", "target_raw", F.col("b.document_id").alias("target_id"), F.when(F.col("b").isNull(), "unresolved").otherwise(steps).alias("resolution"))
 
 
 def outgoing(edges: DataFrame, documents: DataFrame, document_id: int) -> DataFrame:
@@ -99,20 +178,51 @@ def neighbours(edges: DataFrame) -> DataFrame:
 def shortest_path(edges: DataFrame, source: int, target: int, max_hops: int = 6) -> DataFrame:
     """path (ids in order) and hops of a directed shortest path, or no row. Ties go to the smallest ids.
 
-    Breadth-first: each step joins the frontier to the edges once and drops what was seen; trails live in the rows.
+    Breadth-first from both ends, always on the side whose frontier is smaller, until the frontiers meet: levels are
+    tables of ids, and each grows to half the distance. Then levels are cut to what leads to the meeting ids, and only
+    there are paths put together, the smallest for each id.
     """
     spark = edges.sparkSession
-    steps = stage(edges.where("target_id is not null").select("source_id", "target_id").distinct(), "edges")
-    frontier = spark.createDataFrame([(source, [source])], "id long, path array<long>")
-    seen = frontier.select("id")
-    reached = frontier.where(F.col("id") == target)
+    none = spark.createDataFrame([], "path array<long>, hops int")
+    if source == target:
+        return spark.createDataFrame([([source], 0)], none.schema)
+    steps = stage(edges.where("target_id is not null").select(F.col("source_id").cast("long").alias("source_id"), F.col("target_id").cast("long").alias("target_id")).distinct(), "edges")
+    ways = {"out": steps.select(F.col("source_id").alias("at"), F.col("target_id").alias("to")), "back": steps.select(F.col("target_id").alias("at"), F.col("source_id").alias("to"))}
+    levels = {side: [spark.createDataFrame([(end,)], "id long")] for side, end in (("out", source), ("back", target))}
+    width, seen, met = {"out": 1, "back": 1}, {side: found[0] for side, found in levels.items()}, None
     for _ in range(max_hops):
-        moved = frontier.join(steps, F.col("id") == F.col("source_id")).select(F.col("target_id").alias("id"), F.concat("path", F.array("target_id")).alias("path"))
-        frontier = stage(moved.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")), "frontier")
-        seen = seen.unionByName(frontier.select("id"))
-        reached = reached.unionByName(frontier.where(F.col("id") == target))
-    best = reached.select("path", (F.size("path") - 1).alias("hops"))
-    return best.orderBy("hops", "path").limit(1)
+        side = min(width, key=lambda s: (width[s], s == "back"))
+        other = "back" if side == "out" else "out"
+        last = levels[side][-1]
+        moved = ways[side].join(last, F.col("at") == F.col("id"), "left_semi").select(F.col("to").alias("id")).distinct()
+        level = stage(moved.join(seen[side], "id", "left_anti"), "frontier")
+        width[side] = level.count()
+        if not width[side]:
+            return none
+        levels[side].append(level)
+        seen[side] = seen[side].unionByName(level)
+        # ids that were met before would have met then: only the two frontiers can
+        common = level.join(levels[other][-1], "id", "left_semi")
+        if not common.isEmpty():
+            met = stage(common, "meeting")
+            break
+    if met is None:
+        return none
+    parts = {}
+    for side, found in levels.items():
+        kept = [met]  # from the meeting ids towards the end, only ids that lead on
+        for level in reversed(found[:-1]):
+            before = ways[side].join(kept[-1], F.col("to") == F.col("id"), "left_semi").select(F.col("at").alias("id")).distinct()
+            kept.append(stage(before.join(level, "id", "left_semi"), "kept"))
+        trail = kept[-1].select("id", F.array("id").alias("trail"))
+        for level in reversed(kept[:-1]):
+            more = ways[side].join(trail, F.col("at") == F.col("id")).drop("id").join(level, F.col("to") == F.col("id"))
+            longer = F.concat("trail", F.array("to")) if side == "out" else F.concat(F.array("to"), "trail")
+            trail = stage(more.select(F.col("to").alias("id"), longer.alias("trail")).groupBy("id").agg(F.min("trail").alias("trail")), "trails")
+        parts[side] = trail.withColumnRenamed("trail", side)
+    whole = F.concat("out", F.slice("back", 2, F.size("back")))
+    both = parts["out"].join(parts["back"], "id").select(whole.alias("path"))
+    return both.select("path", (F.size("path") - 1).alias("hops")).orderBy("path").limit(1)
 
 
 def distances(edges: DataFrame, sources: DataFrame, max_hops: int = 6) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..staging import stage_dir
+from ..staging import stage, stage_dir
 
 #: BM25 constants and weights of content, heading and title; idf floor; fusion constant; vector distance kept.
 K1, B, WEIGHTS, IDF_FLOOR, RRF_K, MAX_DISTANCE = 1.2, 0.75, {"content": 1.0, "heading_path": 3.0, "title": 10.0}, 1e-6, 60, 1.0
@@ -138,19 +138,21 @@ class Index:
         return self.postings.where(keep)
 
 
-def _hits(index: DataFrame, phrase_rows: DataFrame) -> DataFrame:
-    """Postings with each phrase token that they match, by equality or as the beginning of the term."""
+def _hits(index: DataFrame, phrase_rows: DataFrame, prefixes: bool = True) -> DataFrame:
+    """Postings with each phrase token that they match, by equality or (with prefixes) as the beginning of the term."""
     rows = index.select("term", "chunk_id", "col", "positions")
     wanted = phrase_rows.withColumnRenamed("term", "want")
     exact = rows.join(wanted.where("not is_prefix"), F.col("term") == F.col("want"))
+    if not prefixes:
+        return exact
     heads = F.array_distinct(F.array(*(F.left("term", F.lit(n)) for n in (1, 2, 3))))  # a prefix has three characters at most
     begins = rows.withColumn("_head", F.explode(heads)).join(wanted.where("is_prefix"), F.col("_head") == F.col("want")).drop("_head")
     return exact.unionByName(begins)
 
 
-def matches(index: DataFrame, phrase_rows: DataFrame) -> DataFrame:
+def matches(index: DataFrame, phrase_rows: DataFrame, prefixes: bool = True) -> DataFrame:
     """query_id, phrase_id, chunk_id, col, start of every place where a phrase stands: equi-joins on terms alone."""
-    hits = _hits(index, phrase_rows).select("query_id", "phrase_id", "chunk_id", "col", "idx", "length", F.explode("positions").alias("pos"))
+    hits = _hits(index, phrase_rows, prefixes).select("query_id", "phrase_id", "chunk_id", "col", "idx", "length", F.explode("positions").alias("pos"))
     grouped = hits.groupBy("query_id", "phrase_id", "chunk_id", "col", (F.col("pos") - F.col("idx")).alias("start"), "length").agg(F.count_distinct("idx").alias("n"))
     return grouped.where("n = length").select("query_id", "phrase_id", "chunk_id", "col", "start")
 
@@ -161,15 +163,24 @@ def bm25(index: Index, asked: DataFrame | list[tuple]) -> DataFrame:
     asked: phrase rows, as a list (some searches: the scan reads their terms only) or as a table (many searches).
     """
     rows, phrases_ = index.postings, asked
+    if asked == []:
+        return rows.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double")
     if isinstance(asked, list):
         rows, phrases_ = index.of(asked), F.broadcast(index.postings.sparkSession.createDataFrame(asked, PHRASE))  # the callers' own queries
     weight = F.lit(0.0)
     for name, w in WEIGHTS.items():
         weight = F.when(F.col("col") == name, w).otherwise(weight)
-    # a single token's frequency is its number of positions; only longer phrases are laid side by side
-    single = _hits(rows, phrases_.where("length = 1")).select("query_id", "phrase_id", "chunk_id", (weight * F.size("positions")).alias("w"))
-    several = matches(rows, phrases_.where("length > 1")).select("query_id", "phrase_id", "chunk_id", weight.alias("w"))
-    freq = single.unionByName(several).groupBy("query_id", "phrase_id", "chunk_id").agg(F.sum("w").alias("freq"))
+    # branches that nothing asks for are left out where that is known, so the scan's filter is read as few times as needed
+    sizes = {(r[5] > 1, r[4]) for r in asked} if isinstance(asked, list) else {(False, False), (False, True), (True, True)}
+    parts = []
+    if any(not several for several, _ in sizes):  # a single token's frequency is its number of positions
+        single = _hits(rows, phrases_.where("length = 1"), (False, True) in sizes)
+        parts.append(single.select("query_id", "phrase_id", "chunk_id", (weight * F.size("positions")).alias("w")))
+    if any(several for several, _ in sizes):  # only longer phrases are laid side by side
+        parts.append(matches(rows, phrases_.where("length > 1"), (True, True) in sizes).select("query_id", "phrase_id", "chunk_id", weight.alias("w")))
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    # written once: the phrases' document counts and the scores both read it
+    freq = stage(found.groupBy("query_id", "phrase_id", "chunk_id").agg(F.sum("w").alias("freq")), "frequencies")
     df = freq.groupBy("query_id", "phrase_id").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(float(index.total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)

@@ -140,3 +140,29 @@ def link_extract(spark, sf_dir):
     docs = base.documents(spark, sf_dir)
     text = F.concat(F.lit("[[Other|alias]] [t](x/y.md) [u](https://a.b/c) [[Other]]\n"), F.regexp_replace("content", r"[\[\]()#]", " "))
     return docs.select("id", F.array_sort(X.links(text)).alias("links"))
+
+
+_ENDS = "CASE id % 6 WHEN 0 THEN substr(upper(source || '/' || lang || '/doc-' || (id // 2)), 3) WHEN 1 THEN 'see doc://ext ' || (id % 9 + 1) || '/doc-' || (id // 3) WHEN 2 THEN './../c-' || (id // 4) || '.md|x' WHEN 3 THEN right('doc-' || id, 2) WHEN 4 THEN lang || '/doc-' || (id // 5) || '.md' ELSE 'doc-%' END"
+
+
+@query(f""", raw AS (SELECT id AS source_id, project_id, {_ENDS} AS target_raw FROM docs),
+form AS (SELECT DISTINCT project_id AS p, target_raw, trim(split_part(target_raw, '|', 1)) AS t, regexp_extract(target_raw, 'doc://([^/\\s]+(?: [^/\\s]+)*)/([^\\s\\]\\).,]+)', 1) AS u, regexp_extract(target_raw, 'doc://([^/\\s]+(?: [^/\\s]+)*)/([^\\s\\]\\).,]+)', 2) AS v FROM raw),
+norm AS (SELECT *, lower(t) AS lt, lower(regexp_replace(regexp_replace(regexp_replace(t, '^(\\./)+', ''), '^(\\.\\./)+', ''), '\\.md$', '')) AS ln FROM form),
+hits AS (
+  SELECT p, target_raw, 1 AS step, d.id FROM norm JOIN docs d ON u = 'ext ' || d.project_id AND v = d.source_doc_id
+  UNION ALL SELECT p, target_raw, CASE WHEN d.project_id = p THEN 2 ELSE 3 END, d.id FROM norm JOIN docs d
+    ON lower(d.source_doc_id) IN (lt, ln) OR ends_with(lower(d.file_path), lt) OR ends_with(lower(d.file_path), ln) OR ends_with(lower(d.file_path), ln || '.md')
+), best AS (SELECT p, target_raw, min(row(step, id)) AS b FROM hits GROUP BY ALL)
+SELECT source_id, raw.target_raw, b[2] AS target_id, CASE WHEN b IS NULL THEN 'unresolved' ELSE ['uri', 'project', 'global'][b[1]] END AS resolution FROM raw LEFT JOIN best ON p = project_id AND best.target_raw = raw.target_raw""")
+def resolve_suffixes(spark, sf_dir):
+    """Targets that are proper ends of paths (in any case, shared by many files), internal URIs, and wildcards taken literally."""
+    docs = base.documents(spark, sf_dir)
+    text = lambda c: F.expr(c).cast("string")
+    doc = lambda c: F.concat("source", F.lit("/"), "lang", F.lit("/doc-"), text(c))
+    forms = [
+        F.substring(F.upper(doc("id div 2")), 3, 1000), F.concat(F.lit("see doc://ext "), text("id % 9 + 1"), F.lit("/doc-"), text("id div 3")), F.concat(F.lit("./../c-"), text("id div 4"), F.lit(".md|x")),
+        F.right(F.concat(F.lit("doc-"), text("id")), F.lit(2)), F.concat("lang", F.lit("/doc-"), text("id div 5"), F.lit(".md")), F.lit("doc-%"),
+    ]
+    links = docs.select(F.col("id").alias("source_id"), F.element_at(F.array(*forms), (F.col("id") % 6 + 1).cast("int")).alias("target_raw"))
+    projects = base.projects(spark, sf_dir).withColumn("source_project_id", F.concat(F.lit("ext "), F.col("id").cast("string")))
+    return graph.resolve(links, docs.withColumn("title", F.lit(None).cast("string")), spark.createDataFrame([], "document_id long, alias string"), projects)

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 
 from .documents import DOCUMENT
 
@@ -87,6 +87,62 @@ class _Changes(SimpleDataSourceStreamReader):
                 break
 
 
+class Stretch(InputPartition):
+    def __init__(self, low: int, high: int):
+        self.low, self.high = low, high
+
+
+class ChangeFeed(DataSource):
+    """A source's log of changes as a stream whose tasks read it. Subclass with a name and these two, and register.
+
+    head(etag) -> (position, etag) after the last change there is, or None where nothing is newer than that etag (a
+    source's "not modified"); changes(low, high) -> dicts with the readers' columns of the changes at positions low to
+    high - 1, each with its `position`, and `deleted` true where a document went. A stretch of positions can be read again
+    and gives the same. `stretch` (an option, too) positions are one task's work; the driver asks for heads only.
+    """
+
+    stretch = 100
+
+    def schema(self) -> str:
+        return f"{DOCUMENT}, position long, deleted boolean"
+
+    def head(self, etag: str | None) -> tuple[int, str | None] | None:
+        raise NotImplementedError
+
+    def changes(self, low: int, high: int) -> Iterator[dict]:
+        raise NotImplementedError
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _FeedReader(self)
+
+
+class _FeedReader(DataSourceStreamReader):
+    """Offsets hold the position and the etag that came with it, so a restarted query goes on from both."""
+
+    def __init__(self, feed: ChangeFeed):
+        self.feed, self.last = feed, {"at": 0, "etag": None}
+
+    def initialOffset(self) -> dict:
+        return {"at": 0, "etag": None}
+
+    def latestOffset(self) -> dict:
+        found = self.feed.head(self.last["etag"])
+        if found is not None and found[0] > self.last["at"]:
+            self.last = {"at": found[0], "etag": found[1]}
+        return self.last
+
+    def partitions(self, start: dict, end: dict) -> list[Stretch]:
+        # after a restart this comes first with offsets of the log: what is planned there isn't asked for again
+        if end["at"] > self.last["at"]:
+            self.last = end
+        size = int(self.feed.options.get("stretch", self.feed.stretch))
+        return [Stretch(low, min(low + size, end["at"])) for low in range(start["at"], end["at"], size)]
+
+    def read(self, partition: Stretch) -> Iterator[tuple]:
+        for change in self.feed.changes(partition.low, partition.high):
+            yield (*_row(change), change["position"], bool(change.get("deleted")))
+
+
 def register_source(spark: SparkSession, source: type[DocumentSource]) -> None:
     """From now on spark.read.format(source.name()) and spark.readStream.format(source.name()) work."""
     spark.dataSource.register(source)

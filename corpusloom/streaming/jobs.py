@@ -99,3 +99,30 @@ def stream_changes(feed: DataFrame, apply, checkpoint: str, **trigger):
         apply(batch.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n"), number)
 
     return feed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def stream_feed(feed: DataFrame, catalog, checkpoint: str, project_id: int, now: int, **trigger):
+    """Stream: a `connector.ChangeFeed`'s changes reach the catalog's documents, deletions among them.
+
+    Of a batch's changes of a document the last one counts. A batch rewrites its documents' buckets only, and its number
+    is saved with them, so one that runs again after a failure changes nothing. New documents are numbered by a hash.
+    """
+    from ..functions import text as X
+    from ..operators import sync
+
+    keys = ["project_id", "source_doc_id"]
+
+    def combine(old: DataFrame, new: DataFrame) -> DataFrame:
+        return sync.apply_page(old, new.where("not deleted"), new.where("deleted").select(*keys), None, now)[0]
+
+    def each(batch: DataFrame, number: int) -> None:
+        note = catalog.note("documents")
+        if number <= note.get(checkpoint, -1):
+            return
+        last = Window.partitionBy("source_doc_id").orderBy(F.desc("position"))
+        rows = batch.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+        owner = F.lit(project_id).cast("long")
+        rows = rows.withColumns({"project_id": owner, "id": F.xxhash64(owner, "source_doc_id"), "content_hash": X.content_hash(F.col("content"))})
+        catalog.merge("documents", rows, keys, combine, note=note | {checkpoint: number})
+
+    return feed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(**(trigger or {"availableNow": True})).start()

@@ -144,6 +144,25 @@ def test_audit_appends(spark):
     assert 0 < first["id"] < second["id"] and (second["event"], second["payload"], second["created_at"]) == ("sync", '{"note":"n"}', 8)
 
 
+def test_suffix_join_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("ab/é") for _ in range(rng.randint(0, n)))
+    paths = [(rng.choice("xy"), word(9), i) for i in range(600)] + [(None, "ab", 9), ("x", None, 9), ("x", "a%b", 700), ("y", "ab" * 40, 5), ("y", "ab" * 40, 4)]
+    targets = [(rng.choice("xyz"), word(5)) for _ in range(400)] + [("x", ""), ("y", "b"), ("x", "%b"), (None, "a"), ("x", None), ("y", "ab" * 40)]
+    got = {(r["scope"], r["suffix"]): r["id"] for r in graph.suffix_join(spark.createDataFrame(targets, "scope string, suffix string").repartition(3), spark.createDataFrame(paths, "scope string, path string, id long")).collect()}
+    want = {}
+    for scope, suffix in targets:
+        ids = [i for s, p, i in paths if s == scope and s is not None and p is not None and suffix is not None and p.endswith(suffix)]
+        if ids:
+            want[scope, suffix] = min(ids)
+    assert got == want and len(want) > 100
+    none = spark.createDataFrame([], "scope string, suffix string")
+    assert graph.suffix_join(none, spark.createDataFrame(paths, "scope string, path string, id long")).count() == 0
+    assert graph.suffix_join(spark.createDataFrame(targets, "scope string, suffix string"), spark.createDataFrame([], "scope string, path string, id long")).count() == 0
+
+
 def test_links_resolve_in_order(spark, docs):
     links = spark.createDataFrame([(1, "Beta"), (1, "Alpha"), (1, "../sub/b.md|shown"), (3, "b"), (2, "nick"), (1, "nothing"), (1, "doc://ext/c"), (1, "ES/SUB/B"), (1, "iki/c"), (1, ""), (9, "beta")], "source_id long, target_raw string")
     aliases = spark.createDataFrame([(4, "nick"), (3, "nick")], "document_id long, alias string")
@@ -163,6 +182,26 @@ def test_paths_in_a_cyclic_graph(spark):
     assert graph.shortest_path(edges, 1, 4, max_hops=3).count() == 0 and graph.shortest_path(edges, 4, 1).count() == 0
 
 
+def test_two_sided_search_equals_brute_force(spark):
+    """Random graphs with cycles and loops: length and smallest path; a source with very many neighbours stays cheap."""
+    import random
+
+    rng = random.Random(4)
+    pairs = [(rng.randint(0, 40), rng.choice([None, *range(41)])) for _ in range(90)]
+    edges = spark.createDataFrame(pairs, "source_id long, target_id long")
+    for source, target in [(0, 40), (3, 17), (5, 5), (8, 30), (11, 2), (0, 99)]:
+        best, paths = None, [[source]]
+        for _ in range(7):
+            best = min((p for p in paths if p[-1] == target), default=None)
+            if best:
+                break
+            paths = [[*p, t] for p in paths for t in sorted({b for a, b in pairs if a == p[-1] and b is not None and b not in p})]
+        got = [tuple(r) for r in graph.shortest_path(edges, source, target).collect()]
+        assert got == ([(best, len(best) - 1)] if best else []), (source, target)
+    hub = spark.range(3000).select(F.lit(-1).cast("long").alias("source_id"), F.col("id").alias("target_id")).unionByName(spark.createDataFrame([(7, -2), (-2, -3)], "source_id long, target_id long"))
+    assert [tuple(r) for r in graph.shortest_path(hub, -1, -3).collect()] == [([-1, 7, -2, -3], 3)]
+
+
 def test_freshness_life_cycle(spark, docs):
     day = 86400
     projects = spark.createDataFrame([(1, "github", '{"sensitivity_mode":"STRICT"}'), (2, "vault", None)], "id long, source_type string, freshness_policy_json string")

@@ -1,10 +1,13 @@
 """Streams of changes: a feed applied to the catalog with its cursor, and changes debounced by path."""
 
 import datetime as dt
+import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import catalog, sync
+from corpusloom.sources import connector
 from corpusloom.streaming import jobs
 
 FEED = "source_doc_id string, content string, updated_at long, deleted boolean"
@@ -43,3 +46,79 @@ def test_stream_debounces_by_path(spark, tmp_path):
     stream = jobs.stream_debounced(spark.readStream.schema("path string, ts timestamp").parquet(source))
     stream.writeStream.format("memory").queryName("debounced").option("checkpointLocation", str(tmp_path / "k")).trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(r["path"] for r in spark.table("debounced").collect()) == ["p", "q"]
+
+
+class Log(connector.ChangeFeed):
+    """Changes in numbered files beside a head; asked heads are noted down."""
+
+    @classmethod
+    def name(cls):
+        return "change_log"
+
+    def head(self, etag):
+        from pathlib import Path
+
+        root = Path(self.options["root"])
+        found = json.loads((root / "head.json").read_text())
+        with (root / "asked").open("a") as f:
+            f.write("304\n" if found["etag"] == etag else "200\n")
+        return None if found["etag"] == etag else (found["at"], found["etag"])
+
+    def changes(self, low, high):
+        from pathlib import Path
+
+        for n in range(low, high):
+            yield json.loads((Path(self.options["root"]) / f"{n}.json").read_text())
+
+
+def put(root, changes):
+    """Appends (id, content, deleted) to the log."""
+    root.mkdir(exist_ok=True)
+    at = len([p for p in root.glob("*.json") if p.stem.isdigit()])
+    for n, (doc, content, gone) in enumerate(changes, at):
+        (root / f"{n}.json").write_text(json.dumps({"position": n, "source_doc_id": doc, "title": doc, "content": content, "updated_at": 100 + n, "created_at": 100 + n, "deleted": gone}))
+    (root / "head.json").write_text(json.dumps({"at": at + len(changes), "etag": f"e{at + len(changes)}"}))
+
+
+def test_feed_is_read_in_stretches():
+    reader = Log({"root": "x", "stretch": "3"}).streamReader(None)
+    assert [(p.low, p.high) for p in reader.partitions({"at": 2, "etag": None}, {"at": 9, "etag": "e"})] == [(2, 5), (5, 8), (8, 9)]
+    assert reader.partitions({"at": 9, "etag": "e"}, {"at": 9, "etag": "e"}) == [] and reader.last == {"at": 9, "etag": "e"}
+
+
+def test_feed_with_deletions_survives_restarts(spark, tmp_path, monkeypatch):
+    """Updates, deletions and re-creations reach the catalog once, though the query dies before and after a save."""
+    root, store = tmp_path / "log", catalog.Catalog(spark, str(tmp_path / "c"))
+    connector.register_source(spark, Log)
+
+    def run():
+        feed = spark.readStream.format("change_log").option("root", str(root)).option("stretch", 2).load()
+        jobs.stream_feed(feed, store, str(tmp_path / "k"), 1, 500).awaitTermination(120)
+
+    def documents():
+        return {r["source_doc_id"]: (r["updated_at"], r["created_at"]) for r in store.load("documents").collect()}
+
+    put(root, [("a", "one", False), ("b", "two", False), ("a", "later", False), ("c", "x", False), ("c", None, True)])
+    run()
+    assert documents() == {"a": (102, 102), "b": (101, 101)}
+    version = store.version("documents")
+    run()  # nothing new: the head says so
+    assert store.version("documents") == version and (root / "asked").read_text().splitlines()[-1] in ("304", "200")
+    put(root, [("b", None, True), ("a", "again", False), ("c", "back", False)])
+    merge = catalog.Catalog.merge
+
+    def before(self, *a, **b):
+        raise OSError("gone")
+
+    def after(self, *a, **b):
+        merge(self, *a, **b)
+        raise OSError("gone")
+
+    for fault in (before, after):
+        monkeypatch.setattr(catalog.Catalog, "merge", fault)
+        with pytest.raises(Exception, match="gone"):
+            run()
+        monkeypatch.setattr(catalog.Catalog, "merge", merge)
+    run()
+    assert documents() == {"a": (106, 102), "c": (107, 107)} and store.version("documents") == version + 1
+    assert store.load("documents").select("id").distinct().count() == 2
