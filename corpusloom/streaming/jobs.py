@@ -86,9 +86,103 @@ def debounced(changes: DataFrame, cooldown_seconds: float = 2.0) -> DataFrame:
     return changes.withColumn("_gap", gap).where("_gap is null or _gap >= %f" % cooldown_seconds).drop("_gap")
 
 
-def stream_debounced(changes: DataFrame, lateness: str = "2 seconds") -> DataFrame:
-    """Stream: one change a path within the lateness."""
-    return changes.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["path"])
+#: Seconds without a change of a path after which it counts, and in which later ones don't.
+QUIET, COOLDOWN = 0.5, 2.0
+
+
+class Debouncer:
+    """One path's changes, in the order of their times: after QUIET seconds without another the last one is let through, and
+    what follows within COOLDOWN seconds of that is dropped. State is two times; all are seconds."""
+
+    def __init__(self, quiet: float = QUIET, cooldown: float = COOLDOWN, pending: float | None = None, passed: float | None = None):
+        self.quiet, self.cooldown, self.pending, self.passed = quiet, cooldown, pending, passed
+
+    def change(self, at: float) -> list[float]:
+        out = self.until(at)
+        if self.passed is None or at >= self.passed + self.cooldown:
+            self.pending = at if self.pending is None else max(at, self.pending)
+        return out
+
+    def until(self, now: float) -> list[float]:
+        """What is let through once it is later than `now`."""
+        if self.pending is None or now <= self.pending + self.quiet:
+            return []
+        at, self.passed, self.pending = self.pending, self.pending + self.quiet, None
+        return [at]
+
+
+def debounced_quietly(changes: DataFrame, quiet: float = QUIET, cooldown: float = COOLDOWN) -> DataFrame:
+    """Batch: path, ts of changes (path, ts) that a Debouncer lets through."""
+
+    def one(key, part):
+        import pandas as pd
+
+        state, out = Debouncer(quiet, cooldown), []
+        for at in sorted(part["s"]):
+            out += state.change(at)
+        out += state.until(float("inf"))
+        return pd.DataFrame({"path": [key[0]] * len(out), "s": out})
+
+    # a group is one path's different times, eight bytes each
+    rows = changes.select("path", F.col("ts").cast("timestamp").cast("double").alias("s")).distinct()
+    made = rows.groupBy("path").applyInPandas(one, "path string, s double")
+    return made.select("path", F.timestamp_micros(F.round(F.col("s") * 1_000_000).cast("long")).alias("ts"))
+
+
+def stream_debounced(changes: DataFrame, lateness: str = "2 seconds", quiet: float = QUIET, cooldown: float = COOLDOWN) -> DataFrame:
+    """Stream: path, ts of changes (path, ts) that a Debouncer lets through, by event time.
+
+    A path's state is two times, held in the state store; a timer lets a change through when the watermark passes its
+    quiet time, another clears the state when its cooldown is over. Changes later than `lateness` are dropped, and those
+    that come out of order by less count as if they came last. Needs the RocksDB state store.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class Quiet(StatefulProcessor):
+        def init(self, handle):
+            self.handle, self.times = handle, handle.getValueState("times", "pending double, passed double")
+
+        def _state(self):
+            found = self.times.get() if self.times.exists() else (None, None)
+            return Debouncer(quiet, cooldown, *(None if x is None or x != x else float(x) for x in found))
+
+        def _keep(self, state):
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if state.pending is None and state.passed is None:
+                self.times.clear()
+                return
+            self.times.update((state.pending, state.passed))
+            due = state.pending + quiet if state.pending is not None else state.passed + cooldown
+            self.handle.registerTimer(int(due * 1000) + 1)
+
+        def _rows(self, key, out):
+            import pandas as pd
+
+            return pd.DataFrame({"path": pd.Series([key[0]] * len(out), dtype=object), "ts": pd.to_datetime([round(x * 1e6) for x in out], unit="us", utc=True).tz_localize(None)})
+
+        def handleInputRows(self, key, rows, timerValues):
+            state, out = self._state(), []
+            for part in rows:
+                for at in sorted(part["s"]):
+                    out += state.change(float(at))
+            self._keep(state)
+            yield self._rows(key, out)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            state = self._state()
+            now = expiredTimerInfo.getExpiryTimeInMs() / 1000
+            out = state.until(now)
+            if state.pending is None and state.passed is not None and now >= state.passed + cooldown:
+                state.passed = None
+            self._keep(state)
+            yield self._rows(key, out)
+
+        def close(self):
+            pass
+
+    rows = changes.withWatermark("ts", lateness).withColumn("s", F.col("ts").cast("timestamp").cast("double"))
+    return rows.groupBy("path").transformWithStateInPandas(Quiet(), "path string, ts timestamp", "Append", "EventTime")
 
 
 def stream_changes(feed: DataFrame, apply, checkpoint: str, **trigger):

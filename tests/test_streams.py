@@ -1,6 +1,5 @@
 """Streams of changes: a feed applied to the catalog with its cursor, and changes debounced by path."""
 
-import datetime as dt
 import json
 
 import pytest
@@ -39,13 +38,58 @@ def test_change_feed_reaches_the_catalog(spark, tmp_path):
     assert store.note("documents")["cursor"] == "1" and {r["source_doc_id"]: r["updated_at"] for r in store.load("documents").collect()} == {"old": 20, "new": 40}
 
 
+def let_through(times, quiet=0.5, cooldown=2.0):
+    """A clock of tenths of seconds, without any state but a list."""
+    out, passed = [], None
+    todo = sorted(times)
+    while todo:
+        at = todo.pop(0)
+        if passed is not None and at < passed + cooldown:
+            continue
+        while todo and todo[0] <= at + quiet:
+            at = todo.pop(0)
+        out.append(at)
+        passed = at + quiet
+    return out
+
+
+def changes(spark, rows):
+    return spark.createDataFrame(rows, "path string, s double").select("path", F.timestamp_millis((F.round(F.col("s") * 1000)).cast("long")).alias("ts"))
+
+
+TIMES = {"p": [0.0, 0.3, 0.6, 1.0, 2.4, 3.8, 4.0, 9.0], "q": [0.1], "r": [0.0, 0.5, 1.1, 1.2, 3.5, 3.9, 4.3, 7.0, 7.6], "s": [5.0, 5.0, 5.2, 5.9]}
+
+
+def test_debounce_in_batch(spark):
+    rows = changes(spark, [(p, t) for p, times in TIMES.items() for t in times]).repartition(3)
+    got = {}
+    for r in jobs.debounced_quietly(rows).select("path", F.col("ts").cast("double").alias("s")).collect():
+        got.setdefault(r["path"], []).append(round(r["s"], 3))
+    assert {p: sorted(x) for p, x in got.items()} == {p: let_through(t) for p, t in TIMES.items()}
+
+
 def test_stream_debounces_by_path(spark, tmp_path):
-    at = lambda s: dt.datetime(2024, 1, 1, tzinfo=dt.UTC) + dt.timedelta(seconds=s)
-    source = str(tmp_path / "in")
-    spark.createDataFrame([("p", at(0)), ("p", at(1)), ("q", at(1))], "path string, ts timestamp").write.parquet(source)
-    stream = jobs.stream_debounced(spark.readStream.schema("path string, ts timestamp").parquet(source))
-    stream.writeStream.format("memory").queryName("debounced").option("checkpointLocation", str(tmp_path / "k")).trigger(availableNow=True).start().awaitTermination(120)
-    assert sorted(r["path"] for r in spark.table("debounced").collect()) == ["p", "q"]
+    """The stream lets through what the batch form does, whatever the micro-batches, over a restart."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def run():
+        stream = jobs.stream_debounced(spark.readStream.schema("path string, ts timestamp").parquet(source))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "k")).trigger(availableNow=True).start().awaitTermination(180)
+
+    try:
+        for low, high in ((0, 1.05), (1.05, 4.1), (4.1, 100)):
+            changes(spark, [(p, t) for p, times in TIMES.items() for t in times if low <= t < high]).write.mode("append").parquet(source)
+            run()
+        changes(spark, [("end", 500.0)]).write.mode("append").parquet(source)
+        run()
+    finally:
+        spark.conf.unset(provider)
+    got = {}
+    for r in spark.read.parquet(out).select("path", F.col("ts").cast("double").alias("s")).collect():
+        got.setdefault(r["path"], []).append(round(r["s"], 3))
+    assert {p: sorted(x) for p, x in got.items() if p != "end"} == {p: let_through(t) for p, t in TIMES.items()}
 
 
 class Log(connector.ChangeFeed):
