@@ -12,6 +12,17 @@ DEFAULT_JOBS = (
 )
 
 
+def install_defaults(jobs: DataFrame, owners: DataFrame) -> DataFrame:
+    """jobs (owner, name, schedule_json, executor, enabled, immutable, next_run) with the default jobs of each of owners
+    (owner, since) that has none of that name yet; the first run is the schedule's first after `since`."""
+    fields = ("name", "schedule_json", "executor", "enabled", "immutable")
+    wanted = F.inline(F.array(*(F.struct(*(F.lit(j[f]).alias(f) for f in fields)) for j in DEFAULT_JOBS)))
+    made = owners.select("owner", "since", wanted).withColumn("next_run", next_run(F.col("schedule_json"), F.col("since"))).drop("since")
+    there = jobs.select(F.col("owner").alias("_owner"), F.col("name").alias("_name"))
+    missing = made.join(there, F.col("owner").eqNullSafe(F.col("_owner")) & (F.col("name") == F.col("_name")), "left_anti")
+    return jobs.unionByName(missing)
+
+
 def next_run(schedule_json: Column, after: Column) -> Column:
     """Epoch seconds of the first run after a time (epoch seconds), in the session's time zone.
 

@@ -50,6 +50,15 @@ def distances_batch(spark, sf_dir):
     return graph.distances(base.edges(spark, sf_dir), _docs(spark, sf_dir).where("project_id = 1").select("id"), 3)
 
 
+@query(""", walk(source, id, hops) AS (
+  SELECT id, id, 0 FROM docs WHERE id % 50 = 0 UNION
+  SELECT source, target_id, hops + 1 FROM walk JOIN links ON source_id = walk.id WHERE hops < 3
+) SELECT source, id, min(hops) AS hops FROM walk GROUP BY 1, 2""")
+def distances_fiftieth(spark, sf_dir):
+    """Distances to three hops from every fiftieth document, in one job."""
+    return graph.distances(base.edges(spark, sf_dir), _docs(spark, sf_dir).where("id % 50 = 0").select("id"), 3)
+
+
 @query(""", walk(id, depth) AS (SELECT 5::BIGINT, 0 UNION SELECT target_id, depth + 1 FROM walk JOIN links ON source_id = walk.id WHERE depth < 3) SELECT id, depth FROM walk""")
 def cluster_directed(spark, sf_dir):
     """Documents within three directed steps, by level."""

@@ -137,12 +137,16 @@ def schedule_reset(spark, sf_dir):
     return catalog.reset_schedule(_instances(spark, sf_dir)).select("id", "last_synced")
 
 
-@query("SELECT * FROM (VALUES (1, 'freshness', true), (2, 'mine', false), (3, 'prune_co_refs', true)) t(id, name, immutable)")
+@query(""", own AS (SELECT project_id AS owner, min(created_at) AS since FROM docs GROUP BY 1),
+hours AS (SELECT owner, since, since // 86400 * 86400 AS day, name, h FROM own, (VALUES ('freshness', 3), ('prune_co_refs', 4)) t(name, h) WHERE name <> 'freshness' OR owner % 3 <> 0)
+SELECT owner, name, true AS immutable, CASE WHEN day + h * 3600 > since THEN day + h * 3600 ELSE day + h * 3600 + 86400 END AS next_run FROM hours
+UNION ALL SELECT owner, 'freshness', false, since + 60 FROM own WHERE owner % 3 = 0""")
 def default_jobs(spark, sf_dir):
-    """Jobs that every catalog starts with, added where no job has their name."""
-    own = spark.createDataFrame([(1, "freshness", True), (2, "mine", False)], "id int, name string, immutable boolean")
-    defaults = spark.createDataFrame([(3 if j["id"] == 2 else j["id"], j["name"], j["immutable"]) for j in schedule.DEFAULT_JOBS], own.schema)
-    return catalog.install_missing(own, defaults, "name")
+    """Jobs that every project starts with, added where it has none of that name, due first after its first document."""
+    owners = _docs(spark, sf_dir).groupBy(F.col("project_id").alias("owner")).agg(F.min("created_at").alias("since"))
+    job = {"name": "freshness", "schedule_json": '{"type":"interval","seconds":60}', "executor": "builtin", "enabled": True, "immutable": False}
+    own = owners.where("owner % 3 = 0").select("owner", *(F.lit(v).alias(k) for k, v in job.items()), (F.col("since") + 60).alias("next_run"))
+    return schedule.install_defaults(own, owners).select("owner", "name", "immutable", "next_run")
 
 
 @query("SELECT document_id, tag FROM dtags WHERE tag <> 'fr' OR document_id % 2 = 0 UNION ALL SELECT id, 'fr' FROM docs WHERE lang = 'fr' AND id % 2 = 1")

@@ -102,6 +102,19 @@ def test_view_counts_as_a_stream(spark, tmp_path):
     assert {r["document_id"]: r["count"] for r in store.load("view_counts").collect()} == {1: 4, 2: 2}
 
 
+def test_default_jobs_of_each_owner(spark):
+    day = 86400
+    owners = spark.createDataFrame([(1, 10 * day), (2, 10 * day + 4 * 3600), (None, 0)], "owner long, since long")
+    own = spark.createDataFrame([(1, "freshness", "{}", "builtin", False, False, 5)], "owner long, name string, schedule_json string, executor string, enabled boolean, immutable boolean, next_run long")
+    once = schedule.install_defaults(own, owners)
+    got = {(r["owner"], r["name"]): r["next_run"] for r in once.collect()}
+    assert got == {
+        (1, "freshness"): 5, (1, "prune_co_refs"): 10 * day + 4 * 3600, (2, "freshness"): 11 * day + 3 * 3600, (2, "prune_co_refs"): 11 * day + 4 * 3600,
+        (None, "freshness"): 3 * 3600, (None, "prune_co_refs"): 4 * 3600,
+    }
+    assert schedule.install_defaults(once, owners).count() == once.count()
+
+
 def test_audit_numbers_have_no_gaps(spark):
     events = spark.range(500).repartition(7).select(F.lit("e").alias("event"), F.lit(1).cast("long").alias("project_id"), F.col("id").alias("n"))
     log = spark.createDataFrame([(7, "start", None, None, 0)], catalog.SCHEMAS["audit_log"])
