@@ -395,15 +395,21 @@ def explain(documents: DataFrame, query: str) -> DataFrame:
 
 
 class Corpus:
-    """Search façade over prepared tables: documents, projects, chunks, index, vectors, tags, feedback."""
+    """Search façade over prepared tables: documents, projects, chunks, index, vectors, tags, feedback. Without an index
+    one is built when keywords are first asked for."""
 
     def __init__(self, documents, projects, chunks, index=None, vectors=None, tags=None, feedback=None, embedder: str = "hashing"):
-        from .blocks import BlockIndex
-
-        self.documents, self.projects, self.chunks = documents, projects, chunks
-        self.index = index or BlockIndex.build(chunks)
+        self.documents, self.projects, self.chunks, self._index = documents, projects, chunks, index
         self.vectors, self.tags, self.feedback, self.embedder = vectors, tags, feedback, embedder
 
+    @property
+    def index(self):
+        if self._index is None:
+            from .blocks import BlockIndex
+
+            self._index = BlockIndex.build(self.chunks)
+        return self._index
+
     def _scoped(self, query: SearchQuery) -> DataFrame:
         docs = in_scope(self.documents, self.projects, query, self.tags)
         return self.chunks.join(docs.select(F.col("id").alias("_doc")), F.col("document_id") == F.col("_doc"), "left_semi").select(F.col("id").alias("chunk_id"))

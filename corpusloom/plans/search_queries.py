@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import blocks, reports, search
+from ..operators import blocks, pivots, reports, search
 from ..staging import stage
 from . import base
 from .base import query
@@ -160,6 +161,14 @@ def knn_batch(spark, sf_dir):
     return _knn(spark, sf_dir, "chunk_id % 50 = 0", 10).select("query_id", "chunk_id", "rank", F.round("distance", 6).alias("distance"))
 
 
+@query(_KNN.format(where="chunk_id % 50 = 0") + "SELECT query_id, chunk_id, rank, round(distance, 6) AS distance FROM knn WHERE rank <= 10")
+def knn_pivots(spark, sf_dir):
+    """The same from an index by pivots, which compares each query with few vectors."""
+    vectors = base.vectors(spark, sf_dir)
+    asked = vectors.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return pivots.PivotIndex.build(vectors).search(asked, 10, None).select("query_id", "chunk_id", "rank", F.round("distance", 6).alias("distance"))
+
+
 @query(_KNN.format(where="chunk_id % 50 = 0") + "SELECT query_id, chunk_id, round(1 / (60 + distance), 9) AS score FROM knn WHERE rank <= 10 AND distance <= 60")
 def vector_score_threshold(spark, sf_dir):
     """Vector scores of neighbours within a distance."""
@@ -405,3 +414,60 @@ def index_delete(spark, sf_dir):
     index = blocks.BlockIndex.build(docs.select("id", "content", "title"))
     index = index.update(removed=docs.where("id % 50 = 0").select("id")).compact(1 << 30)
     return _topk(docs, index, _QUERIES, base.projects(spark, sf_dir), 20)
+
+
+def _letters():
+    """How often each Latin letter stands in a text, beside the commonest one: an embedder that SQL can state."""
+
+    def embed(texts):
+        counts = np.array([[t.count(chr(c)) + t.count(chr(c - 32)) for c in range(97, 123)] for t in texts], dtype=np.float64).reshape(-1, 26)
+        return (counts / np.maximum(counts.max(axis=1, keepdims=True), 1)).astype(np.float32)
+
+    return embed
+
+
+V.register_embedder("letters", 26, _letters)
+
+
+def _letters_sql(name: str, rows: str) -> str:
+    count = "len(t) - len(replace(replace(t, chr(c::INTEGER), ''), chr(c::INTEGER - 32), ''))"
+    return f"""{name}_n AS (SELECT id, list_transform(range(97, 123), lambda c: ({count})::DOUBLE) AS n FROM (SELECT id, coalesce(content, '') AS t FROM {rows})),
+{name} AS (SELECT id, list_transform(n, lambda x: least(127, floor((x / greatest(list_max(n), 1))::FLOAT::DOUBLE * 128 + 0.5))::INTEGER) AS v FROM {name}_n)"""
+
+
+_ASKED = {1: ("apache license", [], 20, 0), 2: ("The QUICK brown fox", [2, 3], 10, 5), 3: ("zzz", [], 5, 0)}
+_TEXT_VECTORS = (
+    ", "
+    + _letters_sql("made", "docs")
+    + ", asked(id, content, project_ids, page, skipped) AS (VALUES "
+    + ", ".join(f"({i}, '{text}', {projects or '[]::INTEGER[]'}, {limit}, {offset})" for i, (text, projects, limit, offset) in _ASKED.items())
+    + "), "
+    + _letters_sql("wanted", "asked")
+    + """, away AS (
+  SELECT a.id AS query_id, d.id AS chunk_id, page, skipped, sqrt(list_sum(list_transform(list_zip(w.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::DOUBLE) AS distance
+  FROM asked a JOIN wanted w USING (id), docs d JOIN made m USING (id) JOIN projs p ON p.id = d.project_id
+  WHERE CASE WHEN len(a.project_ids) = 0 THEN p.status = 'active' ELSE list_contains(a.project_ids, d.project_id) END
+), placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM away)
+"""
+)
+
+
+@query(_TEXT_VECTORS + "SELECT query_id, chunk_id, round(1 / (60 + distance), 9) AS score FROM placed WHERE rank > skipped AND rank <= page + skipped")
+def vector_text_search(spark, sf_dir):
+    """Texts become vectors, and these find documents: three searches over all documents, one in a scope, one a later page."""
+    docs = base.documents(spark, sf_dir)
+    chunks = docs.select("id", docs["id"].alias("document_id"), "title", "content")
+    vectors = stage(V.rebuild(chunks, "letters"), "letters")
+    corpus = search.Corpus(docs, base.projects(spark, sf_dir), chunks, vectors=vectors, embedder="letters")
+    out = None
+    for i, (text, projects, limit, offset) in _ASKED.items():
+        found = corpus.vector(search.SearchQuery(text, i, "vector", limit, offset, projects), None)
+        out = found if out is None else out.unionByName(found)
+    return out.select("query_id", "chunk_id", F.round("score", 9).alias("score"))
+
+
+@query(", " + _letters_sql("made", "docs") + " SELECT id AS chunk_id, v AS embedding FROM made")
+def rebuilt_letter_vectors(spark, sf_dir):
+    """The vectors of all documents, made anew by an embedder, component by component."""
+    rows = V.rebuild(base.documents(spark, sf_dir).select("id", "content"), "letters")
+    return rows.select("chunk_id", F.transform("embedding", lambda x: x.cast("int")).alias("embedding"))
