@@ -40,6 +40,7 @@ SCHEMAS = {
     "source_instances": "id long, plugin_id string, project_id long, name string, config_json string, sync_status string, last_synced long, sync_cursor string, created_at long, cache_ttl_minutes int",
     "plugins": "id string, name string, version string, enabled boolean, trust_level string, installed_at long",
     "plugin_logs": "plugin_id string, level string, message string, created_at long",
+    "session_documents": "session_id string, started long, document_id long, at long, last long",
     "plugin_kv": "plugin_id string, namespace string, key string, value binary",
     "system_config": "key string, value string, updated_at long",
     "audit_log": "id long, event string, project_id long, payload string, created_at long",

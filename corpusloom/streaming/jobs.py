@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage
+
 #: Idle seconds that end a session, and how late an access may come.
 GAP, LATENESS = "5 minutes", "10 minutes"
 
@@ -59,6 +61,135 @@ def stream_session_pairs(accesses: DataFrame, catalog, checkpoint: str, gap: str
     return grouped.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def stream_sessions(accesses: DataFrame, gap: str = GAP, lateness: str = LATENESS) -> DataFrame:
+    """Stream: session_id, started, document_id, at (both microseconds) of accesses (session_id, document_id, ts), in the
+    order of their times: started names the session as `session_pairs` cuts them.
+
+    A session's state is the accesses of the last `lateness` and two times, however long it lasts; timers let accesses
+    through when the watermark has passed them, and clear the state `gap` after the last. Accesses later than
+    `lateness`, and those with a null, are dropped. Needs the RocksDB state store.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    idle = _micros(accesses.sparkSession, gap)
+
+    class Sessions(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.waiting = handle.getListState("waiting", "at long, document_id long")
+            self.last = handle.getValueState("last", "started long, at long")
+
+        def _wake(self, at):
+            """One timer, for the earliest that waits."""
+            due = -(-at // 1000)
+            for timer in list(self.handle.listTimers()):
+                if timer <= due:
+                    return
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+
+        def _rows(self, key, out):
+            import pandas as pd
+
+            times = {c: pd.Series([r[i] for r in out], dtype="int64") for i, c in enumerate(("started", "document_id", "at"))}
+            return pd.DataFrame({"session_id": pd.Series([key[0]] * len(out), dtype=object), **times})
+
+        def handleInputRows(self, key, rows, timerValues):
+            first = None
+            for part in rows:
+                new = list(zip(map(int, part["at"]), map(int, part["document_id"]), strict=True))
+                self.waiting.appendList(new)
+                first = min([a for a, _ in new] + ([] if first is None else [first]))
+            self._wake(first)
+            yield self._rows(key, [])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            now = timerValues.getCurrentWatermarkInMs() * 1000
+            waiting = sorted((int(r[0]), int(r[1])) for r in self.waiting.get())
+            kept, out = [r for r in waiting if r[0] > now], []
+            started, last = map(int, self.last.get()) if self.last.exists() else (None, None)
+            for at, document in waiting[: len(waiting) - len(kept)]:
+                if last is None or at >= last + idle:
+                    started = at
+                last = at
+                out.append((started, document, at))
+            if kept:
+                self.waiting.put(kept)
+            else:
+                self.waiting.clear()
+            if last is not None and now >= last + idle:
+                last = None  # whatever comes now begins a session
+            if last is None:
+                self.last.clear()
+            else:
+                self.last.update((started, last))
+            for timer in list(self.handle.listTimers()):
+                if timer != expiredTimerInfo.getExpiryTimeInMs():
+                    self.handle.deleteTimer(timer)
+            if kept or last is not None:
+                self.handle.registerTimer(max(-(-min([a for a, _ in kept] or [last + idle]) // 1000), now // 1000 + 1))
+            yield self._rows(key, out)
+
+        def close(self):
+            pass
+
+    whole = accesses.withWatermark("ts", lateness).where("session_id is not null and document_id is not null and ts is not null")
+    rows = whole.select(F.col("session_id").cast("string"), "document_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return rows.groupBy("session_id").transformWithStateInPandas(Sessions(), "session_id string, started long, document_id long, at long", "Append", "EventTime")
+
+
+def _micros(spark, interval: str) -> int:
+    zero = F.lit("1970-01-01").cast("timestamp")
+    return spark.range(1).select(F.unix_micros(zero + F.expr(f"INTERVAL {interval}")) - F.unix_micros(zero)).first()[0]
+
+
+def new_pairs(fresh: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_a_id < doc_b_id, seen of a session's new documents with each other and with those it held: two joins, which
+    split where one session holds very many. seen is when the later of the two was first seen."""
+    names = ["session_id", "started"]
+    other = lambda rows: rows.select(*names, F.col("document_id").alias("_other"), F.col("at").alias("_at"))
+    pairs = fresh.join(other(fresh), names).where("document_id < _other").unionByName(fresh.join(other(known), names))
+    seen = F.timestamp_micros(F.greatest("at", "_at"))
+    return pairs.select(seen.alias("seen"), F.least("document_id", "_other").alias("doc_a_id"), F.greatest("document_id", "_other").alias("doc_b_id"))
+
+
+def stream_long_sessions(accesses: DataFrame, catalog, checkpoint: str, gap: str = GAP, lateness: str = LATENESS, **trigger):
+    """Stream: pairs of a session are merged into the catalog's document_co_refs as they arise, in sessions of any length.
+
+    Documents of open sessions are a table of the catalog (session_documents) dealt by session and document, not state of
+    a key, so no task holds a session. Each table notes the batch that it holds, pairs first: a batch that runs again
+    after a failure does what it had not done. Counts are those of `session_pairs`; last_accessed is when the later of
+    the two was first seen, as the session's end isn't known yet. Sessions that are over leave the table when a later
+    batch touches their buckets.
+    """
+    idle = _micros(accesses.sparkSession, gap)
+    session, keys = ["session_id", "started"], ["session_id", "started", "document_id"]
+
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = stage(batch.groupBy(*keys).agg(F.min("at").alias("at"), F.max("at").alias("last")), "accesses")
+        pairs_note, own_note = catalog.note("document_co_refs"), catalog.note("session_documents")
+        horizon = rows.agg(F.max("last")).first()[0]
+        if horizon is None or number <= own_note.get(checkpoint, -1):
+            return
+        if number > pairs_note.get(checkpoint, -1):
+            # sessions of this batch alone: the others have no new documents
+            known = catalog.load("session_documents").join(rows.select(*session).distinct(), session, "left_semi")
+            known = stage(known, "known")
+            fresh = rows.join(known, keys, "left_anti")
+            catalog.merge("document_co_refs", _counted(new_pairs(fresh, known)), ["doc_a_id"], merge_pairs, note=pairs_note | {checkpoint: number})
+
+        # all that is let through later is later than the horizon
+        held = catalog.load("session_documents").select(*session, "last").unionByName(rows.select(*session, "last"))
+        live = held.groupBy(*session).agg(F.max("last").alias("_end")).where(F.col("_end") + F.lit(idle) > F.lit(horizon)).select(*session)
+
+        def combine(old: DataFrame, new: DataFrame) -> DataFrame:
+            return old.unionByName(new).groupBy(*keys).agg(F.min("at").alias("at"), F.max("last").alias("last")).join(live, session, "left_semi")
+
+        catalog.merge("session_documents", rows, ["session_id", "document_id"], combine, note=own_note | {checkpoint: number})
+
+    return stream_sessions(accesses, gap, lateness).writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def view_counts(views: DataFrame) -> DataFrame:
     """document_id, count, last_viewed of views (document_id, ts); batch or stream (output mode complete or update)."""
     return views.groupBy("document_id").agg(F.count(F.lit(1)).alias("count"), F.unix_timestamp(F.max("ts").cast("timestamp")).alias("last_viewed"))
