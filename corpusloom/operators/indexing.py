@@ -45,14 +45,15 @@ def _replace(key: str, present: Column):
     return lambda old, new: old.join(new.select(key).distinct(), key, "left_anti").unionByName(new.where(present).select(*old.columns))
 
 
-def run(store: C.Catalog, index: blocks.BlockIndex, incoming: DataFrame, now: int, embedder: str = "hashing", whole: bool = True, deleted: DataFrame | None = None, projects: DataFrame | None = None):
+def run(store: C.Catalog, index: blocks.BlockIndex, incoming: DataFrame, now: int, embedder: str = "hashing", whole: bool = True, deleted: DataFrame | None = None, projects: DataFrame | None = None, buckets: int = 256):
     """(the index after the run, source_doc_id, project_id and action of what was done), for incoming documents
     (project_id, source_doc_id, title, file_path, content, created_at, updated_at; more columns of `documents` may follow).
 
     Only changed documents are cut, tokenised, embedded and searched for links; the catalog rewrites the buckets of their
     keys, and the index gets one segment. Links of other documents that had not been resolved, or that led to one that is
     gone, are tried again. Documents are saved last: a run that fails anywhere is repeated whole by the next one, and each
-    step replaces by key, so nothing is left over or doubled. The embedded text names title and section.
+    step replaces by key, so nothing is left over or doubled. The embedded text names title and section. A table's first
+    merge deals it into `buckets`.
     """
     known = store.load("documents")
     work = stage(touched(incoming, known, whole, deleted), "touched")
@@ -65,10 +66,10 @@ def run(store: C.Catalog, index: blocks.BlockIndex, incoming: DataFrame, now: in
     made = V.embed(X.embedding_text(F.col("title"), F.col("heading_path"), F.col("content")), embedder)
     vectors = chunks.select(F.col("id").alias("chunk_id"), V.quantize_i8(made).alias("embedding"))
     named = before.select(F.col("id").alias("chunk_id"), F.lit(None).cast("array<tinyint>").alias("embedding"))
-    store.merge("chunk_embeddings", vectors.unionByName(named), ["chunk_id"], _replace("chunk_id", F.col("embedding").isNotNull()))
+    store.merge("chunk_embeddings", vectors.unionByName(named), ["chunk_id"], _replace("chunk_id", F.col("embedding").isNotNull()), buckets)
 
     rows = chunks.drop("title").unionByName(ids, allowMissingColumns=True)
-    store.merge("chunks", rows, ["document_id"], _replace("document_id", F.col("id").isNotNull()))
+    store.merge("chunks", rows, ["document_id"], _replace("document_id", F.col("id").isNotNull()), buckets)
 
     def documents(old: DataFrame, rows: DataFrame) -> DataFrame:
         fresh = rows.where("action = 'indexed'").withColumn("last_indexed", F.lit(now).cast("long"))
@@ -82,7 +83,7 @@ def run(store: C.Catalog, index: blocks.BlockIndex, incoming: DataFrame, now: in
     again = stage(held.join(again, "source_id", "left_semi").select("source_id", "target_raw"), "links-again")
     found = graph.resolve(own.unionByName(again).distinct(), after, store.load("document_aliases"), projects).withColumn("link_type", F.lit("link"))
     rows = found.unionByName(ids.withColumnRenamed("document_id", "source_id"), allowMissingColumns=True)
-    store.merge("document_links", rows, ["source_id"], _replace("source_id", F.col("target_raw").isNotNull()))
+    store.merge("document_links", rows, ["source_id"], _replace("source_id", F.col("target_raw").isNotNull()), buckets)
 
-    store.merge("documents", work, KEYS, documents)
+    store.merge("documents", work, KEYS, documents, buckets)
     return index, work.select(*KEYS, "action")

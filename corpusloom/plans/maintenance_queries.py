@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import markdown as M
 from ..functions import text as X
-from ..operators import catalog, freshness, reports, schedule, sync
+from ..operators import blocks, catalog, freshness, indexing, reports, schedule, sync
 from ..sources.documents import pages
+from ..staging import stage_dir
 from ..streaming import jobs
 from . import base
 from .base import AS_OF, query
@@ -317,3 +320,25 @@ def storage_strategy(spark, sf_dir):
     chunks = docs.select(F.col("id").alias("document_id"), "content")
     how = docs.select(F.col("id").alias("document_id"), F.when(F.col("project_id") % 2 == 0, "reference").otherwise("full").alias("storage_strategy"))
     return catalog.stored_content(chunks, how).select(F.col("document_id").alias("id"), "content")
+
+
+@query("""SELECT a.source_doc_id, 'doc-' || a.k AS target_raw, b.source_doc_id AS target,
+  CASE WHEN b.id IS NULL THEN 'unresolved' WHEN b.project_id = a.project_id THEN 'project' ELSE 'global' END AS resolution,
+  CASE WHEN a.id % 7 = 0 OR a.id % 5 = 0 THEN 20 ELSE 10 END AS last_indexed
+FROM (SELECT *, (id * 7 + 1) % (SELECT count(*) FROM docs) AS k FROM docs WHERE id % 11 <> 0) a LEFT JOIN docs b ON b.id = a.k AND b.id % 11 <> 0""")
+def index_run(spark, sf_dir):
+    """Links and times of all documents after two runs of an index: the second finds new, changed and deleted ones, and
+    settles links of documents that it doesn't touch. Every seventh is new then, every fifth changed, every eleventh gone."""
+    docs = base.documents(spark, sf_dir)
+    link = (F.col("id") * 7 + 1) % docs.count()
+    docs = docs.withColumn("content", F.concat(F.coalesce("content", F.lit("")), F.lit(" [[doc-"), link.cast("string"), F.lit("]]")))
+    early = docs.where("id % 7 <> 0").withColumn("updated_at", F.when(F.col("id") % 5 == 0, F.col("updated_at") - 60).otherwise(F.col("updated_at")))
+    late, gone = docs.where("id % 11 <> 0"), docs.where("id % 11 = 0")
+    path = f"{stage_dir(spark)}/run-{uuid.uuid4().hex}"
+    store, index = catalog.Catalog(spark, f"{path}/catalog"), blocks.BlockIndex.open(spark, f"{path}/index")
+    index, _ = indexing.run(store, index, early, 10, buckets=32)
+    indexing.run(store, index, late, 20, deleted=gone.select("project_id", "source_doc_id"), buckets=32)
+    held = store.load("documents").select("id", "source_doc_id", "last_indexed")
+    links = store.load("document_links").select(F.col("source_id").alias("id"), "target_raw", "target_id", "resolution")
+    to = held.select(F.col("id").alias("target_id"), F.col("source_doc_id").alias("target"))
+    return held.join(links, "id").join(to, "target_id", "left").select("source_doc_id", "target_raw", "target", "resolution", F.col("last_indexed").cast("int").alias("last_indexed"))
