@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with marks and what they fold to (ß stays): fixed values of the search tokenizer.
-MARKED = "àáâãäåāăąçćčďèéêëēęěğìíîïīıłñńňòóôõöøōőŕřśšşťțùúûüūůűýÿźżž"
-PLAIN = "aaaaaaaaacccdeeeeeeegiiiiiilnnnoooooooorrsssttuuuuuuuyyzzz"
+#: Combining marks that a word is read without, alone or joined to a Latin letter: fixed values of the search tokenizer.
+MARKS = "\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308\u0309\u030a\u030b\u030c\u030f\u0311\u031b\u0323\u0324\u0325\u0326\u0327\u0328\u032d\u032e\u0330\u0331"
+#: Small letters that count as another one: fixed values of the search tokenizer. 1fbe is a Greek iota of its own.
+ALIKE = {"µ": "μ", "ſ": "s", "ẛ": "s", "ς": "σ", "ϐ": "β", "ϑ": "θ", "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ϵ": "ε", "\u1fbe": "ι"}
+
+
+def _marked() -> dict[str, str]:
+    """Small letters of all of Unicode that are one of a to z with one mark, and which; ß, ł, ø and letters with two marks
+    are letters of their own."""
+    parted = ((chr(i), unicodedata.normalize("NFD", chr(i))) for i in range(0x80, 0x3000))
+    return {c: d[0] for c, d in parted if len(d) == 2 and "a" <= d[0] <= "z" and d[1] in MARKS}
+
+
+_FOLDS = _marked() | ALIKE
+#: The fold as two strings for `translate`: what has no counterpart goes.
+MARKED, PLAIN = "".join(_FOLDS) + MARKS, "".join(_FOLDS.values())
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 SNIPPET_MARGIN, CONTEXT_HIT = 50, 120
 
@@ -25,6 +39,11 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), MARKED, PLAIN)
 
 
+def fold_word(word: str) -> str:
+    """The same for a word that the driver holds."""
+    return word.lower().translate(str.maketrans(_FOLDS) | dict.fromkeys(map(ord, MARKS)))
+
+
 def tokens(text: Column) -> Column:
     """Search tokens in order: runs of letters, digits and private-use characters, folded."""
     return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))

@@ -50,7 +50,7 @@ def phrases(text: str) -> list[tuple[list[str], bool]]:
     parts += [clean(p) for w in words if "_" in w for p in w.split("_")]
 
     def tokens(s: str) -> list[str]:
-        folded = s.lower().translate(str.maketrans(X.MARKED, X.PLAIN))
+        folded = X.fold_word(s)
         out, run = [], []
         for c in folded:
             if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co":

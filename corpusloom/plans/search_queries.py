@@ -16,13 +16,13 @@ from .base import query
 _FOLD = f"translate(lower(content), '{X.MARKED}', '{X.PLAIN}')"
 
 
-def _bm25_sql(rows: str, where: str = "TRUE", limit: int = 20) -> str:
-    """BM25 over content and title in plain SQL. rows: (query_id, phrase_id, idx, term, is_prefix, length), as VALUES or a SELECT."""
+def _bm25_sql(rows: str, where: str = "TRUE", limit: int = 20, heading: str | None = None) -> str:
+    """BM25 over content, title and, where given, heading in plain SQL. rows: (query_id, phrase_id, idx, term, is_prefix, length), as VALUES or a SELECT."""
     column = lambda c, name: (
         f"SELECT id AS chunk_id, '{name}' AS col, unnest(l) AS term, generate_subscripts(l, 1) - 1 AS pos FROM "
         f"(SELECT id, regexp_extract_all(translate(lower({c}), '{X.MARKED}', '{X.PLAIN}'), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS l FROM docs)"
     )
-    return f""", tok AS ({column('content', 'content')} UNION ALL {column('title', 'title')}),
+    return f""", tok AS ({column('content', 'content')} UNION ALL {column('title', 'title')}{f" UNION ALL {column(heading, 'heading')}" if heading else ''}),
 lens AS (SELECT chunk_id, count(*) AS d FROM tok GROUP BY 1),
 stats AS (SELECT count(*) AS n, avg(d) AS a FROM lens),
 ph(query_id, phrase_id, idx, term, is_prefix, length) AS ({rows if rows.startswith("SELECT") else "VALUES " + rows}),
@@ -30,7 +30,7 @@ place AS (
   SELECT query_id, phrase_id, chunk_id, col, pos - idx AS start FROM ph JOIN tok ON tok.term = ph.term OR (is_prefix AND starts_with(tok.term, ph.term))
   GROUP BY query_id, phrase_id, chunk_id, col, start, length HAVING count(DISTINCT idx) = length
 ),
-freq AS (SELECT query_id, phrase_id, chunk_id, sum(CASE col WHEN 'content' THEN 1.0 WHEN 'title' THEN 10.0 END) AS f FROM place GROUP BY ALL),
+freq AS (SELECT query_id, phrase_id, chunk_id, sum(CASE col WHEN 'content' THEN 1.0 WHEN 'heading' THEN 3.0 WHEN 'title' THEN 10.0 END) AS f FROM place GROUP BY ALL),
 df AS (SELECT query_id, phrase_id, count(*) AS n FROM freq GROUP BY ALL),
 scored AS (
   SELECT query_id, chunk_id, sum(CASE WHEN ln((stats.n - df.n + 0.5) / (df.n + 0.5)) <= 0 THEN 1e-6 ELSE ln((stats.n - df.n + 0.5) / (df.n + 0.5)) END
@@ -69,6 +69,15 @@ def fts_search(spark, sf_dir):
     return _fts(spark, sf_dir, [search.SearchQuery("apache license", 1), search.SearchQuery("pathetic clown", 2)])
 
 
+@query(_bm25_sql("(1, 0, 0, 'license', false, 2), (1, 0, 1, 'src3', false, 2), (1, 1, 0, 'license', false, 1), (1, 2, 0, 'src3', false, 1), (2, 0, 0, 'src5', false, 2), (2, 0, 1, 'fr', false, 2), (2, 1, 0, 'src5', false, 1), (2, 2, 0, 'fr', true, 1)", "status = 'active'", heading="source || ' > ' || lang") + "SELECT * FROM ranked WHERE rank <= 50")
+def fts_heading(spark, sf_dir):
+    """Searches whose words stand in the headings above a text, too: content weighs 1, headings 3, the title 10."""
+    docs = base.documents(spark, sf_dir)
+    headed = docs.select("id", "content", "title", F.concat_ws(" > ", "source", "lang").alias("heading_path"))
+    asked = search.phrase_rows([search.SearchQuery("license src3", 1), search.SearchQuery("src5 fr", 2)])
+    return _ranked(spark, sf_dir, docs, search.Index.build(headed), asked, 50)
+
+
 @query(_bm25_sql("(1, 0, 0, 'mit', true, 1)", "status = 'active'") + "SELECT * FROM ranked WHERE rank <= 20")
 def fts_search_prefix(spark, sf_dir):
     """A query of up to three characters matches beginnings of words."""
