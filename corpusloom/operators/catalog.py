@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import warnings
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,7 +43,7 @@ SCHEMAS = {
     "plugins": "id string, name string, version string, enabled boolean, trust_level string, installed_at long",
     "plugin_logs": "plugin_id string, level string, message string, created_at long",
     "session_documents": "session_id string, started long, document_id long, at long, last long",
-    "plugin_kv": "plugin_id string, namespace string, key string, value binary",
+    "plugin_kv": "plugin_id string, namespace string, key string, value binary, updated_at long",
     "system_config": "key string, value string, updated_at long",
     "audit_log": "id long, event string, project_id long, payload string, created_at long",
     "scheduled_jobs": "id long, name string, schedule_json string, executor string, enabled boolean, immutable boolean, idle_minutes int, next_run long, last_run long",
@@ -49,6 +51,16 @@ SCHEMAS = {
     "reindex_history": "id long, project_id long, scope string, total long, processed long, skipped long, errors long, started_at long, finished_at long, status string",
 }
 
+#: Kinds of audit events and the fields of each.
+EVENTS = {
+    "index_start": ("project_id",),
+    "index_complete": ("project_id", "docs_indexed"),
+    "plugin_error": ("plugin_id", "message"),
+    "sync_start": ("source_instance_id",),
+    "sync_complete": ("source_instance_id", "docs_synced"),
+    "document_fetch_error": ("project", "doc_id", "message"),
+    "system_error": ("module", "message"),
+}
 
 #: Column and key of a bucketed table's layout.
 BUCKETED = "_bucket"
@@ -235,14 +247,42 @@ def rebuild_content(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("document_id").agg(F.array_join(F.transform(parts, lambda p: p["content"]), "\n").alias("content"))
 
 
-def full_content(documents: DataFrame, local: DataFrame, cache: DataFrame, chunks: DataFrame, now: int) -> DataFrame:
-    """document_id, content, origin: local text first, then an unexpired cache entry, then the chunks."""
+def full_content(documents: DataFrame, local: DataFrame, cache: DataFrame, chunks: DataFrame, now: int, fetched: DataFrame | None = None) -> DataFrame:
+    """document_id, content, origin: local text first, then an unexpired cache entry, then what a source gave (fetched:
+    document_id, content), then the chunks."""
     live = cache.where(F.col("expires_at") > now).select(F.col("doc_id").alias("source_doc_id"), F.col("content").alias("cached"))
     built = rebuild_content(chunks).withColumnRenamed("content", "built")
     joined = documents.select(F.col("id").alias("document_id"), "source_doc_id").join(local.select("document_id", F.col("content").alias("local")), "document_id", "left")
     joined = joined.join(live, "source_doc_id", "left").join(built, "document_id", "left")
-    origin = F.when(F.col("local").isNotNull(), "local").when(F.col("cached").isNotNull(), "cache").when(F.col("built").isNotNull(), "chunks").otherwise("not_found")
-    return joined.select("document_id", F.coalesce("local", "cached", "built").alias("content"), origin.alias("origin"))
+    if fetched is None:
+        joined = joined.withColumn("given", F.lit(None).cast("string"))
+    else:
+        joined = joined.join(fetched.select("document_id", F.col("content").alias("given")), "document_id", "left")
+    steps = {"local": "local", "cached": "cache", "given": "source", "built": "chunks"}
+    origin = F.coalesce(*(F.when(F.col(c).isNotNull(), name) for c, name in steps.items()), F.lit("not_found"))
+    return joined.select("document_id", F.coalesce(*steps).alias("content"), origin.alias("origin"))
+
+
+def fetched_content(documents: DataFrame, local: DataFrame, cache: DataFrame, chunks: DataFrame, now: int, fetch: Callable[[DataFrame], DataFrame], ttl_minutes: int = 360) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(full_content, the cache after it, errors) where sources are asked for what neither the local text nor the cache has.
+
+    fetch takes the documents (id, plugin_id, source_doc_id) that are asked for and gives id, content and error, as
+    `connector.fetch_documents` does for one source; it runs once. What it gives is cached for ttl_minutes. A document
+    that a source fails for falls back on its chunks, and its error (document_id, error) is told.
+    """
+    # a cache entry is its plugin's: two sources may name different documents alike
+    own = documents.select("plugin_id", "source_doc_id", F.col("id").alias("document_id"))
+    held = cache.withColumn("_key", F.struct("plugin_id", "doc_id"))
+    live = held.where(F.col("expires_at") > now).select("_key", "content", "expires_at")
+    live = own.withColumn("_key", F.struct("plugin_id", F.col("source_doc_id").alias("doc_id"))).join(live, "_key").select("document_id", "content", "expires_at")
+    have = local.where("content is not null").select("document_id").unionByName(live.where("content is not null").select("document_id"))
+    asked = own.join(have.distinct(), "document_id", "left_anti").withColumnRenamed("document_id", "id")
+    got = stage(fetch(asked).select(F.col("id").alias("document_id"), "content", "error"), "fetched")
+    given = got.where("error is null and content is not null")
+    entries = given.join(own, "document_id").select("plugin_id", F.col("source_doc_id").alias("doc_id"), "content").dropDuplicates(["plugin_id", "doc_id"])
+    by_id = live.select(F.col("document_id").cast("string").alias("doc_id"), "content", "expires_at")
+    found = full_content(documents.withColumn("source_doc_id", F.col("id").cast("string")), local, by_id, chunks, now, given)
+    return found, cache_set(cache, entries, now, ttl_minutes), got.where("error is not null").select("document_id", "error")
 
 
 MIN_TTL_MINUTES, DEFAULT_TTL_MINUTES = 10, 360
@@ -286,21 +326,93 @@ def put(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return upsert(table, rows, keys)
 
 
-def audit(log: DataFrame, events: DataFrame, now: int, order: str | None = None) -> DataFrame:
-    """Append events (event, project_id, and any payload columns) with a JSON payload, numbered on from the log without
-    gaps, in the order of one of the events' columns (a hash of their content where none is named)."""
+def declared(rows: DataFrame, namespaces: DataFrame) -> DataFrame:
+    """rows (plugin_id, namespace, ...) with `error`: null where the plugin has declared the namespace in namespaces
+    (plugin_id, namespace), else why it is refused. Names are told apart exactly; the empty one has to be declared, too."""
+    known = namespaces.select(F.col("plugin_id").alias("_plugin"), F.col("namespace").alias("_name"), F.lit(True).alias("_ok")).distinct()
+    joined = rows.join(known, (F.col("plugin_id") == F.col("_plugin")) & (F.col("namespace") == F.col("_name")), "left")
+    error = F.when(F.col("_ok").isNull(), F.concat(F.lit("namespace not allowed: "), F.coalesce("namespace", F.lit("null"))))
+    return joined.withColumn("error", error).drop("_plugin", "_name", "_ok")
+
+
+def put_values(table: DataFrame, rows: DataFrame, namespaces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(plugin_kv after rows of it are set, the rows refused, with `error`). Of several rows of a key the one with the
+    latest updated_at is set (the largest value where these are equal); rows without a key or a value are refused."""
+    checked = declared(rows, namespaces)
+    lacks = F.when(F.col("key").isNull(), "no key").when(F.col("value").isNull(), "no value")
+    checked = checked.withColumn("error", F.coalesce("error", lacks))
+    keys = ["plugin_id", "namespace", "key"]
+    last = checked.where("error is null").groupBy(*keys).agg(F.max(F.struct("updated_at", "value")).alias("_v")).select(*keys, "_v.value", "_v.updated_at")
+    return put(table, last, keys), checked.where("error is not null")
+
+
+def get_values(table: DataFrame, asked: DataFrame, namespaces: DataFrame) -> DataFrame:
+    """asked (plugin_id, namespace, key) with value and error: a refused namespace has an error and no value; a key that
+    isn't there has neither."""
+    rows = declared(asked, namespaces)
+    held = table.select(F.col("plugin_id").alias("_p"), F.col("namespace").alias("_n"), F.col("key").alias("_k"), "value")
+    same = F.col("error").isNull() & (F.col("plugin_id") == F.col("_p")) & (F.col("namespace") == F.col("_n")) & (F.col("key") == F.col("_k"))
+    return rows.join(held, same, "left").select(*asked.columns, "value", "error")
+
+
+def event_rows(rows: DataFrame, kind: str, kinds: dict[str, tuple] = EVENTS, keep: tuple = ()) -> DataFrame:
+    """event, project_id and payload of one kind of audit event for each of rows, which have the kind's fields. The payload
+    is the kind with its fields (nulls included) as JSON; project_id is null where the kind has none. Columns in keep, such
+    as one to order by, stay. An unknown kind, or a field that rows don't have, is a ValueError before anything runs."""
+    if kind not in kinds:
+        raise ValueError(f"no kind of audit event: {kind}")
+    if lacking := [f for f in kinds[kind] if f not in rows.columns]:
+        raise ValueError(f"{kind} needs {', '.join(lacking)}")
+    payload = F.to_json(F.struct(F.struct(*kinds[kind]).alias(kind)), {"ignoreNullFields": "false"})
+    project = F.col("project_id") if "project_id" in kinds[kind] else F.lit(None)
+    return rows.select(F.lit(kind).alias("event"), project.cast("long").alias("project_id"), payload.alias("payload"), *keep)
+
+
+def audit_rows(log: DataFrame, events: DataFrame, now: int, order: str | None = None) -> DataFrame:
+    """Rows of the audit log for events (event, project_id, and a payload, or any columns that become one as JSON),
+    numbered on from the log without gaps, in the order of one of the events' columns (a hash of their content where none
+    is named)."""
     names = [c for c in events.columns if c not in ("event", "project_id")]
     start = log.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     # dealt by ranges of the order: counts of ranges are summed up, rows are ranked inside one
     place = F.xxhash64(F.to_json(F.struct(*events.columns))) if order is None else F.col(order)
-    rows = events.select("event", "project_id", F.to_json(F.struct(*names)).alias("payload"), place.alias("_place")).repartitionByRange("_place")
+    payload = F.col("payload") if "payload" in names else F.to_json(F.struct(*names))
+    rows = events.select("event", "project_id", payload.alias("payload"), place.alias("_place")).repartitionByRange("_place")
     rows = stage(rows.withColumn("_cell", F.spark_partition_id()), "audit")
     cells = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
     cells = cells.select(F.col("_cell").alias("_at"), (F.sum("_n").over(Window.orderBy("_cell")) - F.col("_n")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_cell").orderBy("_place", "event", "project_id", "payload"))
     rows = rows.withColumn("_inside", inside).join(cells, F.col("_cell") == F.col("_at"))
-    rows = rows.select((F.lit(start) + F.col("_before") + F.col("_inside")).alias("id"), "event", "project_id", "payload", F.lit(now).cast("long").alias("created_at"))
-    return log.unionByName(rows)
+    return rows.select((F.lit(start) + F.col("_before") + F.col("_inside")).alias("id"), "event", "project_id", "payload", F.lit(now).cast("long").alias("created_at"))
+
+
+def audit(log: DataFrame, events: DataFrame, now: int, order: str | None = None) -> DataFrame:
+    """The log with events appended, as `audit_rows` numbers them."""
+    return log.unionByName(audit_rows(log, events, now, order))
+
+
+def record_events(store: Catalog, events: DataFrame, now: int, order: str | None = None) -> bool:
+    """Append events to the catalog's audit log. Where that fails it warns and returns False: what is watched goes on.
+
+    The log is dealt by time, so an append rewrites the bucket of its own time and no other.
+    """
+    try:
+        rows = audit_rows(store.load("audit_log"), events, now, order)
+        store.merge("audit_log", rows, ["created_at"], lambda old, new: old.unionByName(new))
+    except Exception as error:  # a log that can't be written must not stop the run that it tells of
+        warnings.warn(f"audit log not written: {error}", stacklevel=2)
+        return False
+    return True
+
+
+def clear_audit(log: DataFrame, before: int | None = None, kinds: tuple = ()) -> DataFrame:
+    """The log without events before a time, of some kinds; without either it is emptied."""
+    goes = F.lit(True)
+    if before is not None:
+        goes = goes & (F.col("created_at") < before)
+    if kinds:
+        goes = goes & F.col("event").isin(*kinds)
+    return log.where(~F.coalesce(goes, F.lit(False)))
 
 
 def reset_schedule(instances: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import catalog, freshness, reports, schedule, search, sync
+from ..sources import connector
 from ..sources import documents as sources
+from ..staging import stage_dir
 from ..streaming import jobs
 from . import base
 from .base import AS_OF, query
@@ -80,6 +84,31 @@ def full_content(spark, sf_dir):
     return catalog.full_content(docs, local, cache, chunks, AS_OF)
 
 
+class _Answers(connector.DocumentSource):
+    """Gives documents by their number: some are there, some aren't, for some it fails."""
+
+    def fetch(self, source_doc_id):
+        number = int(source_doc_id.split("-")[1])
+        if number % 8 == 3:
+            raise OSError("no answer")
+        return {"content": f"given {source_doc_id}"} if number % 8 == 2 else None
+
+
+@query(f"""SELECT id AS document_id, CASE WHEN id % 4 = 0 THEN content WHEN id % 4 = 1 THEN 'cached ' || source_doc_id WHEN id % 8 = 2 THEN 'given ' || source_doc_id WHEN id % 8 = 3 THEN 'chunk ' || lang END AS content,
+  CASE WHEN id % 4 = 0 THEN 'local' WHEN id % 4 = 1 THEN 'cache' WHEN id % 8 = 2 THEN 'source' WHEN id % 8 = 3 THEN 'chunks' ELSE 'not_found' END AS origin,
+  CASE WHEN id % 8 = 3 THEN 'OSError: no answer' WHEN id % 8 IN (6, 7) THEN 'not found' END AS error, CASE WHEN id % 4 = 1 THEN {AS_OF} + 1 WHEN id % 8 = 2 THEN {AS_OF} + 3600 END AS expires_at FROM docs""")
+def fetched_content(spark, sf_dir):
+    """What neither the local text nor the cache has is asked of its source and cached; chunks where that fails."""
+    docs = _docs(spark, sf_dir).withColumn("plugin_id", F.lit("p"))
+    local = docs.where("id % 4 = 0").select(F.col("id").alias("document_id"), "content")
+    cache = docs.where("id % 4 = 1").select("plugin_id", F.col("source_doc_id").alias("doc_id"), F.concat(F.lit("cached "), "source_doc_id").alias("content"), F.lit(AS_OF).cast("long").alias("cached_at"), F.lit(AS_OF + 1).cast("long").alias("expires_at"))
+    chunks = docs.where("id % 8 = 3").select(F.col("id").alias("document_id"), F.lit(0).alias("chunk_index"), F.concat(F.lit("chunk "), "lang").alias("content"))
+    source = _Answers({})
+    found, cached, errors = catalog.fetched_content(docs, local, cache, chunks, AS_OF, lambda asked: connector.fetch_documents(source, asked), ttl_minutes=60)
+    ends = docs.select(F.col("id").alias("document_id"), F.col("source_doc_id").alias("doc_id")).join(cached.select("doc_id", "expires_at"), "doc_id")
+    return found.join(errors, "document_id", "left").join(ends.drop("doc_id"), "document_id", "left")
+
+
 # sinks
 
 
@@ -113,6 +142,39 @@ def key_values(spark, sf_dir):
     return catalog.put(old, rows.where("id % 2 = 0").select("plugin_id", "namespace", "key", F.lit("new").alias("value")), ["plugin_id", "namespace", "key"])
 
 
+@query("""SELECT a.lang AS plugin_id, a.source AS namespace, a.key, CASE WHEN ok THEN coalesce(new, old) END AS value, CASE WHEN NOT ok THEN 'namespace not allowed: ' || a.source END AS error
+FROM (SELECT lang, source, 'k' || (id % 5) AS key, bool_or(project_id % 2 = 0) AS ok, arg_max(source_doc_id, id) FILTER (WHERE id % 2 = 0) AS new, arg_max('old', id) FILTER (WHERE id % 3 = 0) AS old FROM docs GROUP BY ALL) a""")
+def declared_values(spark, sf_dir):
+    """Values that plugins set and get: only in namespaces that they have declared, the latest of a key."""
+    docs = _docs(spark, sf_dir).select(F.col("lang").alias("plugin_id"), F.col("source").alias("namespace"), F.concat(F.lit("k"), (F.col("id") % 5).cast("string")).alias("key"), "source_doc_id", "id", "project_id")
+    keys = ["plugin_id", "namespace", "key"]
+    names = docs.where("project_id % 2 = 0").select("plugin_id", "namespace")
+    old = docs.where("id % 3 = 0").select(*keys).distinct().select(*keys, F.lit("old").alias("value"), F.lit(0).cast("long").alias("updated_at"))
+    rows = docs.where("id % 2 = 0").select(*keys, F.col("source_doc_id").alias("value"), F.col("id").alias("updated_at"))
+    table, _ = catalog.put_values(old, rows, names)
+    return catalog.get_values(table, docs.select(*keys).distinct(), names)
+
+
+@query(f"""SELECT id, event, project_id, payload, {AS_OF} AS created_at FROM (SELECT row_number() OVER (ORDER BY id) AS id, CASE WHEN id % 3 = 0 THEN 'index_complete' WHEN id % 3 = 1 THEN 'plugin_error' ELSE 'document_fetch_error' END AS event,
+  CASE WHEN id % 3 = 0 THEN project_id END AS project_id, CASE WHEN id % 3 = 0 THEN '{{"index_complete":{{"project_id":' || project_id || ',"docs_indexed":' || {_ID} || '}}}}' ELSE '{{"document_fetch_error":{{"project":"' || source || '","doc_id":"' || source_doc_id || '","message":null}}}}' END AS payload FROM docs)
+WHERE event <> 'plugin_error'""")
+def audit_events(spark, sf_dir):
+    """Audit events of three kinds in the catalog's log, then one kind cleared: the numbers of the others stay."""
+    docs = _docs(spark, sf_dir)
+    kinds = [
+        (docs.where("id % 3 = 0").select("id", "project_id", F.col("id").alias("docs_indexed")), "index_complete"),
+        (docs.where("id % 3 = 1").select("id", F.col("lang").alias("plugin_id"), F.col("title").alias("message")), "plugin_error"),
+        (docs.where("id % 3 = 2").select("id", F.col("source").alias("project"), F.col("source_doc_id").alias("doc_id"), F.lit(None).cast("string").alias("message")), "document_fetch_error"),
+    ]
+    events = None
+    for rows, kind in kinds:
+        made = catalog.event_rows(rows, kind, keep=("id",))
+        events = made if events is None else events.unionByName(made)
+    store = catalog.Catalog(spark, f"{stage_dir(spark)}/audit-{uuid.uuid4().hex}")
+    catalog.record_events(store, events, AS_OF, order="id")
+    return catalog.clear_audit(store.load("audit_log"), kinds=("plugin_error",))
+
+
 @query(f"SELECT 7 + row_number() OVER (ORDER BY id) AS id, 'index' AS event, project_id, '{{\"lang\":\"' || lang || '\",\"document\":' || {_ID} || '}}' AS payload, {AS_OF} AS created_at FROM docs WHERE id % 10 = 0 UNION ALL SELECT 7, 'start', NULL, NULL, 0")
 def audit_append(spark, sf_dir):
     """Events appended with JSON payloads, numbered on from the log."""

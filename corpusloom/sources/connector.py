@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .documents import DOCUMENT
 
@@ -19,10 +22,11 @@ class Page(InputPartition):
 
 
 class DocumentSource(DataSource):
-    """Subclass with a name and these three, and register: a page is one task's work, and can be read again.
+    """Subclass with a name and these, and register: a page is one task's work, and can be read again.
 
     total() -> documents there are; page(start, size) -> dicts with the readers' columns;
-    changes(cursor) -> (dicts, next cursor) of documents changed after a cursor (a JSON-able dict, {} at first).
+    changes(cursor) -> (dicts, next cursor) of documents changed after a cursor (a JSON-able dict, {} at first);
+    fetch(source_doc_id) -> one document's dict, or None where there is none.
     """
 
     page_size = 100
@@ -39,6 +43,9 @@ class DocumentSource(DataSource):
     def changes(self, cursor: dict) -> tuple[list[dict], dict]:
         raise NotImplementedError
 
+    def fetch(self, source_doc_id: str) -> dict | None:
+        raise NotImplementedError
+
     def health(self) -> bool:
         return self.total() >= 0
 
@@ -143,6 +150,36 @@ class _FeedReader(DataSourceStreamReader):
             yield (*_row(change), change["position"], bool(change.get("deleted")))
 
 
+def fetch_documents(source: DocumentSource, asked: DataFrame) -> DataFrame:
+    """Documents as a source has them now: asked's id, the readers' columns, and error, for asked (id, source_doc_id).
+
+    Tasks fetch, document by document; asked is spread over them first, as a source answers more slowly than Spark counts
+    bytes. A document that isn't there has the error `not found`, one that the source fails for what it raised; neither
+    stops the others. A null source_doc_id isn't asked for and counts as not found. A task that is run again fetches again.
+    """
+    schema = f"id long, {DOCUMENT}, error string"
+
+    def fetched(batches):
+        for batch in batches:
+            rows = []
+            for number, key in zip(batch.column("id").to_pylist(), batch.column("source_doc_id").to_pylist(), strict=True):
+                found, error = None, "not found"
+                try:
+                    found = source.fetch(key) if key is not None else None
+                except Exception as failed:  # a source may fail in any way
+                    error = f"{type(failed).__name__}: {failed}"
+                if found is None:
+                    rows.append({"id": number, "source_doc_id": key, "error": error})
+                else:
+                    meta = found.get("metadata")
+                    rows.append({f: found.get(f) for f in _FIELDS} | {"id": number, "source_doc_id": key, "metadata": list(meta.items()) if meta is not None else None})
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    arrow = to_arrow_schema(asked.sparkSession.createDataFrame([], schema).schema)
+    spread = asked.select(F.col("id").cast("long").alias("id"), "source_doc_id").repartition("source_doc_id")
+    return spread.mapInArrow(fetched, schema)
+
+
 def register_source(spark: SparkSession, source: type[DocumentSource]) -> None:
     """From now on spark.read.format(source.name()) and spark.readStream.format(source.name()) work."""
     spark.dataSource.register(source)
