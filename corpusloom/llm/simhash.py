@@ -18,6 +18,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 #: most: on the popcounts of all segments of the others they agree, and the popcounts of these few are near.
 GROUPS = 4
 LOW_BITS = 0x5555555555555555
+#: Parts that a cell is dealt in, and fingerprints of a cell that are compared pair by pair as they come.
+SPLITS, SMALL = 16, 48
 
 
 def fingerprint(text: str | None) -> int:
@@ -65,25 +67,34 @@ def neighbours(dimensions: int, radius: int) -> list[tuple[int, ...]]:
     return [s for s in steps if s > tuple(-x for x in s)]
 
 
+def agreed_masks(groups: int = GROUPS, radius: int = RADIUS) -> list[int]:
+    """For each choice of groups that may differ, the bits of the others."""
+    masks = group_masks(groups)
+    return [sum(m for i, m in enumerate(masks) if i not in free) for free in combinations(range(groups), radius)]
+
+
 def cells(fps: DataFrame, groups: int = GROUPS, radius: int = RADIUS) -> DataFrame:
-    """The grid range-join's two sides, dealt by cell: key, guest, fp.
+    """The grid range-join's two sides, dealt by cell: key, guest, agreed, fp.
 
     For each choice of groups that may differ, a cell is the segment popcounts of the others and a place in the grid of
     the chosen groups' popcounts. A fingerprint is at home in its own cell and a guest in the neighbouring ones, up to a
     Manhattan distance of radius on one side: of each pair within it, one is at home where the other is a guest.
+    Every pair within radius has a choice under which all other bits are equal, not their popcounts alone. So each cell
+    is dealt to SPLITS tasks by a hash of these bits, and no pair is lost.
     """
     # popcount of every two-bit segment, in place: 1 where the bits differ, 2 where both are set
     first, second = F.col("fp").bitwiseAND(F.lit(LOW_BITS)), F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(LOW_BITS))
     counts = first.bitwiseXOR(second).bitwiseOR(F.shiftleft(first.bitwiseAND(second), 1))
-    masks, keys = group_masks(groups), []
-    rows = fps.select("fp", counts.alias("c"), *(F.bit_count(F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias(f"g{i}") for i, m in enumerate(masks)))
-    for number, free in enumerate(combinations(range(groups), radius)):
-        same = F.col("c").bitwiseAND(F.lit(_signed(sum(m for i, m in enumerate(masks) if i not in free))))
+    keys = []
+    rows = fps.select("fp", counts.alias("c"), *(F.bit_count(F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias(f"g{i}") for i, m in enumerate(group_masks(groups))))
+    for number, (free, mask) in enumerate(zip(combinations(range(groups), radius), agreed_masks(groups, radius), strict=True)):
+        same, bits = (F.col(c).bitwiseAND(F.lit(_signed(mask))) for c in ("c", "fp"))
+        part = F.pmod(F.xxhash64(bits), F.lit(SPLITS))
         for step in [(0,) * radius, *neighbours(radius, radius)]:
             place = [F.col(f"g{i}") + F.lit(d) for i, d in zip(free, step, strict=True)]
             # a number for the cell; where two cells share one, the exact check parts them
-            keys.append(F.struct(F.xxhash64(F.lit(number), same, *place).alias("key"), F.lit(any(step)).alias("guest")))
-    return rows.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.key", "k.guest", "fp")
+            keys.append(F.struct(F.xxhash64(F.lit(number), same, *place, part).alias("key"), F.lit(any(step)).alias("guest"), F.lit(_signed(mask)).alias("agreed")))
+    return rows.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.key", "k.guest", "k.agreed", "fp")
 
 
 def _pairs_of(home: np.ndarray, guests: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,25 +114,57 @@ def _pairs_of(home: np.ndarray, guests: np.ndarray, radius: int) -> tuple[np.nda
     return nodes[child], nodes[label[child]]
 
 
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of rows that are equal in all columns."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    starts = np.flatnonzero(new)
+    return starts, np.concatenate([starts[1:], [len(new)]])
+
+
 def _cell_links(batches, radius: int):
-    """Rows come sorted by key, those at home first. Links inside each cell, verified exactly."""
+    """Rows come sorted by (key, guest, fp), so those at home first. Links inside each cell, verified exactly.
 
-    def links(fp, guest, starts, ends):
-        u, v = [], []
+    A cell of few is compared pair by pair. A larger one is ordered by the bits that its choice leaves alone, and only
+    fingerprints that have all of these in common are compared: under some choice every pair within radius does.
+    """
+
+    def near(fp, guest, starts, ends):
+        """Pairs of small runs, all at once; and the other runs."""
         size = ends - starts
-        small = (size > 1) & (size <= 48)
+        small = (size > 1) & (size <= SMALL)
+        u, v = [], []
         for shift in range(1, int(size[small].max()) if small.any() else 0):
             s, e = starts[small & (size > shift)], ends[small & (size > shift)]
             n = e - s - shift
             at = np.repeat(s - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            near = at[~guest[at] & (np.bitwise_count(fp[at] ^ fp[at + shift]) <= radius)]
-            u.append(fp[near])
-            v.append(fp[near + shift])
-        for s, e in zip(starts[size > 48], ends[size > 48], strict=True):
-            own = guest[s:e]
-            i, j = _pairs_of(fp[s:e][~own], fp[s:e][own], radius)
-            u.append(i)
-            v.append(j)
+            at = at[~guest[at] & (np.bitwise_count(fp[at] ^ fp[at + shift]) <= radius)]
+            u.append(fp[at])
+            v.append(fp[at + shift])
+        return u, v, np.flatnonzero(size > SMALL)
+
+    def links(key, guest, agreed, fp):
+        if not len(key):
+            return
+        starts, ends = _runs(key)
+        u, v, large = near(fp, guest, starts, ends)
+        if len(large):
+            rows = np.concatenate([np.arange(starts[c], ends[c]) for c in large])
+            cell = np.repeat(large, ends[large] - starts[large])
+            bits = fp[rows] & agreed[rows]
+            order = np.lexsort((fp[rows], guest[rows], bits, cell))
+            rows = rows[order]
+            fp, guest = fp[rows], guest[rows]
+            starts, ends = _runs(cell[order], bits[order])
+            more_u, more_v, large = near(fp, guest, starts, ends)
+            u, v = u + more_u, v + more_v
+            for s, e in zip(starts[large], ends[large], strict=True):
+                own = guest[s:e]
+                i, j = _pairs_of(fp[s:e][~own], fp[s:e][own], radius)
+                u.append(i)
+                v.append(j)
         if u and sum(map(len, u)):
             yield pd.DataFrame({"u": np.concatenate(u).view(np.int64), "v": np.concatenate(v).view(np.int64)})
 
@@ -129,19 +172,16 @@ def _cell_links(batches, radius: int):
     for pdf in batches:
         if not len(pdf):
             continue
-        key = pdf["key"].to_numpy()
-        if held and held[-1][0][0] == key[0] and key[0] == key[-1]:
-            held.append((key, pdf["fp"].to_numpy().view(np.uint64), pdf["guest"].to_numpy()))
+        held.append((pdf["key"].to_numpy(), pdf["guest"].to_numpy(), pdf["agreed"].to_numpy().view(np.uint64), pdf["fp"].to_numpy().view(np.uint64)))
+        key = held[-1][0]
+        if held[0][0][0] == key[0] and key[0] == key[-1] and len(held) > 1:
             continue
-        held.append((key, pdf["fp"].to_numpy().view(np.uint64), pdf["guest"].to_numpy()))
-        key, fp, guest = (np.concatenate(x) for x in zip(*held, strict=True))
-        starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
-        ends = np.concatenate([starts[1:], [len(key)]])
-        yield from links(fp, guest, starts[:-1], ends[:-1])
-        held = [tuple(x[starts[-1] :] for x in (key, fp, guest))]
+        rows = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        yield from links(*(x[:last] for x in rows))
+        held = [tuple(x[last:] for x in rows)]
     if held:
-        key, fp, guest = (np.concatenate(x) for x in zip(*held, strict=True))
-        yield from links(fp, guest, np.array([0]), np.array([len(key)]))
+        yield from links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, groups: int = GROUPS) -> DataFrame:
@@ -151,7 +191,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, groups: int = GROUPS)
     compared, so exact copies, however many, cost one row. Segment popcounts embed each group as a point: a change of
     one bit moves one popcount by one, so the Manhattan distance between two points never exceeds the number of
     differing bits. A grid range-join under that distance finds the candidates, which are then verified exactly. A task
-    holds one cell's fingerprints at a time (8 bytes each, all different) and passes on links that span its components.
+    holds one part of a cell at a time (25 bytes a fingerprint, all different) and passes on links.
     Null and blank texts have fingerprint 0 and link like any other; very long texts are hashed a stretch at a time. A
     null doc_id keeps its row and links, but names no component (a component of such rows only is null). Repeated rows
     give repeated rows; an empty table gives none. Of equal distances none is dropped.

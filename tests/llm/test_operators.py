@@ -218,6 +218,32 @@ def test_simhash_clusters(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
 
 
+def test_simhash_dense_cells(spark):
+    """Thousands of fingerprints around two others: cells too large to be compared as they come, in parts and over batches."""
+    fps = set()
+    for center, width in ((int(RNG.integers(0, 1 << 62)), 20), (int(RNG.integers(0, 1 << 62)), 62)):
+        for _ in range(1500):
+            f = center
+            for bit in RNG.integers(0, width, int(RNG.integers(1, 7))).tolist():
+                f ^= 1 << bit
+            fps.add(f)
+    fps = {i: f for i, f in enumerate(sorted(fps))}
+    want = brute.components_of(fps)
+    assert 100 < len(set(want.values())) < len(want) - 100
+    table = spark.createDataFrame([(f,) for f in fps.values()], "fp long")
+    number = {f: i for i, f in fps.items()}
+    held = simhash.cells(table).groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert held > 2 * simhash.SMALL
+    for batch in (10_000, 37):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        keyed = simhash.cells(table).repartition("key").sortWithinPartitions("key", "guest", "fp")
+        links = keyed.mapInPandas(lambda it: simhash._cell_links(it, 2), "u long, v long")
+        found = common.components(links).collect()
+        comp = {number[r["node"]]: number[r["component"]] for r in found}
+        assert {i: comp.get(i, i) for i in fps} == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+
+
 def test_simhash_grid_meets_every_pair_within_reach(spark):
     """Each pair within the radius shares a cell in which one of the two is at home; cells bound the Manhattan distance."""
     made = [(a := int(RNG.integers(0, 1 << 62)), a ^ (1 << int(RNG.integers(0, 62))) ^ (1 << int(RNG.integers(0, 62)))) for _ in range(60)]
