@@ -497,3 +497,24 @@ def test_forest():
         a, b = rng.integers(0, n, (2, int(rng.integers(0, 80))))
         want = brute.union(range(n), zip(a.tolist(), b.tolist(), strict=True))
         assert common.forest(a, b, n).tolist() == [want[i] for i in range(n)]
+
+
+def test_warc_text_equals_its_steps_one_by_one(spark):
+    """Decoding in one pass, tags by their beginning and trimming give what the listed steps give in their order."""
+    names = [n for n, _ in warc.ENTITIES]
+    pieces = [*names, "&", ";", "lt;", "amp", "&amp;lt;", "&&lt;", "&LT;", "&lt", "&ltx;", "&#39", "&#8217;", " ", "  ", "\n", "\t", "\x0b", "\x0c", "\r", "a", "é", "<p>", "</Div >", "<preX>", "<heading>", "<tdx>", "<TD a=1>", "<i>", "<b", "<!--", "-->", "<script>", "</script>", "<Template x>", "</template>", ">"]
+    rng = np.random.default_rng(3)
+    texts = ["", *names, "&".join(names), *("".join(rng.choice(pieces, int(rng.integers(1, 25)))) for _ in range(1500))]
+    tags = [*re.split(r"\|", warc.BLOCK), "b", "h7", "heade", "optio", "di", "dx", "addres", "u", "col"]
+    texts += [f"x<{t}>y</{t} a='1'>z<{t}/>" for t in tags]
+    slow = F.col("html")
+    for pattern, to in warc.STEPS:
+        slow = F.regexp_replace(slow, pattern, to)
+    for name, to in warc.ENTITIES:
+        slow = F.replace(slow, F.lit(name), F.lit(to))
+    for pattern, to in warc.TIDY:
+        slow = F.regexp_replace(slow, pattern, to)
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "html string").select("html", slow.alias("slow"), warc.plain(F.col("html")).alias("fast")).collect()
+    assert [r["html"] for r in rows if r["slow"] != r["fast"]] == []
+    got = spark.createDataFrame([("&amp;lt; &lt;&copy;&x;&",)], "t string").select(warc.decoded(F.col("t"))).first()[0]
+    assert got == "&lt; <©&x;&"
