@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -22,6 +22,8 @@ SAMPLE, FREQUENT = 4_000, 50_000
 #: Fewest bits of the parity bitmap of a set; larger sets have as many as shingles, at least. Two bitmaps never differ in
 #: more bits than the sets in shingles.
 BITMAP = 512
+#: Leading sets that each set is held against first.
+LEADS = 3
 #: 64-bit words of the filter that keeps texts no pair asks for from travelling. As it fills it lets more through; it
 #: never holds back a text that is asked for.
 FILTER = 1 << 18
@@ -183,11 +185,13 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, name: str) -> D
     theirs = bits.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("bits").alias("others"))
     near = pairs.join(mine, "u").join(theirs, "v").where("5 * least(n, m) >= 4 * greatest(n, m)")
     likely = common.stage(near.mapInArrow(_likely, "u long, v long"), f"{name}-pairs")
-    one = _contents(docs, likely.select(F.col("u").alias("node")).distinct()).withColumnRenamed("node", "u")
-    other = _contents(docs, likely.select(F.col("v").alias("node")).distinct()).select(F.col("node").alias("v"), F.col("content").alias("other"))
+    named = likely.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    contents = common.stage(_contents(docs, named), f"{name}-contents")
+    one, other = contents.withColumnRenamed("node", "u"), contents.select(F.col("node").alias("v"), F.col("content").alias("other"))
     joined = likely.join(one, "u").join(other, "v").sortWithinPartitions("v")
     links = common.stage(joined.mapInArrow(_verified, "u long, v long"), f"{name}-links")
     common.unstage(likely)
+    common.unstage(contents)
     return links
 
 
@@ -197,6 +201,26 @@ def _named(nodes: DataFrame, comps: DataFrame, name: str) -> DataFrame:
     return nodes.join(comps, F.col("node") == F.col("_node"), "left").drop("_node").withColumn(name, F.coalesce(name, "node"))
 
 
+def _stars(placed: DataFrame) -> DataFrame:
+    """Pairs (u, v) of each set in placed (shingle, node, i, kind) with the LEADS sets that lead the most of its shingles:
+    of a shingle and a kind, the set that has it earliest."""
+    least = placed.groupBy("shingle", "kind").agg(F.min(F.struct("i", "node"))["node"].alias("lead"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets")
+    met = placed.join(least, ["shingle", "kind"]).where("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("k"))
+    turn = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("k"), "lead"))
+    return met.withColumn("turn", turn).where(F.col("turn") <= LEADS).select(F.col("node").alias("u"), F.col("lead").alias("v"))
+
+
+def _alike(distinct: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets whose fingerprints are equal or near by the operator's grid join, a spanning forest of them."""
+    from . import simhash  # which imports this module
+
+    prints = distinct.groupBy("fp").agg(F.min("node").alias("v"))
+    equal = distinct.select(F.col("node").alias("u"), "fp").join(prints, "fp").where("u <> v").select("u", "v")
+    near = simhash.near_fingerprints(prints.select("fp"))
+    one, other = (prints.select(F.col("fp").alias(c), F.col("v").alias(f"_{c}")) for c in ("u", "v"))
+    return equal.unionByName(near.join(one, "u").join(other, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v")))
+
+
 def _links(docs: DataFrame, sets: DataFrame, distinct: DataFrame, sample: int) -> DataFrame:
     """Links (u, v) of sets with a similarity of 0.8 or more that give the components of all such links."""
     share = max(1, sets.count() // sample)
@@ -208,16 +232,12 @@ def _links(docs: DataFrame, sets: DataFrame, distinct: DataFrame, sample: int) -
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("shingle")
     live = common.stage(rows.join(shared, "shingle"), "shingle-prefixes")
 
-    # first links: each set with one other that holds the most of its first shingles as the least set of its size there,
-    # and with the least set of its fingerprint. A large group of near copies gets a link a set, not one a pair.
-    kind = F.floor(F.log("size") / F.log(F.lit(1.25))).cast("int").alias("kind")
-    sized = live.withColumn("size", F.shiftright("at", 31)).select("shingle", "node", kind)
-    least = sized.groupBy("shingle", "kind").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").drop("last")
-    met = sized.join(least, ["shingle", "kind"]).where("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("k"))
-    star = met.groupBy("node").agg(F.max(F.struct("k", "lead"))["lead"].alias("v")).select(F.col("node").alias("u"), "v")
-    prints = distinct.groupBy("fp").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v < last").drop("last")
-    alike = distinct.select(F.col("node").alias("u"), "fp").join(prints, "fp").where("u <> v").select("u", "v")
-    first = verified(docs, distinct, star.unionByName(alike).distinct(), "shingle-first")
+    # first links: each set with the sets that stand first at the most of its own first shingles, and with those that the
+    # grid join finds near its fingerprint. The place of a shingle that many near copies share is the number of rarer ones
+    # before it, so the copy with the fewest edits stands first, and the others link with it: a link a set, not one a pair.
+    kind = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int").alias("kind")
+    placed = live.withColumn("n", F.shiftright("at", 31)).withColumn("i", F.col("at").bitwiseAND(F.lit((1 << 31) - 1))).select("shingle", "node", "i", kind)
+    first = verified(docs, distinct, _stars(placed).unionByName(_alike(distinct)).distinct(), "shingle-first")
 
     # what is left: pairs of different components. Shingles whose sets are all in one are done with.
     parts = common.stage(_named(live.select("node").distinct(), common.components(first, "shingle-parts"), "part"), "shingle-parts")

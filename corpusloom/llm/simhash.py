@@ -184,6 +184,13 @@ def _cell_links(batches, radius: int):
         yield from links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def near_fingerprints(fps: DataFrame, radius: int = RADIUS, groups: int = GROUPS) -> DataFrame:
+    """Links (u, v) of different fingerprints (fp) within radius by the grid range-join, verified exactly: a spanning forest
+    of each large cell's, and all of a small one's."""
+    keyed = cells(fps, groups, radius).repartition("key").sortWithinPartitions("key", "guest", "fp")
+    return keyed.mapInPandas(lambda it: _cell_links(it, radius), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, groups: int = GROUPS) -> DataFrame:
     """doc_id, text_key, fp (signed 64 bits) and component_id of every row of docs (doc_id, text; others are ignored).
 
@@ -198,9 +205,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, groups: int = GROUPS)
     """
     fps = common.stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", common.text_key().alias("text_key")).mapInArrow(_fingerprints, "doc_id long, text_key long, fp long"), "simhash")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    keyed = cells(distinct.select("fp"), groups, radius).repartition("key").sortWithinPartitions("key", "guest", "fp")
-    links = keyed.mapInPandas(lambda it: _cell_links(it, radius), "u long, v long")
-    comps = common.components(links, "simhash-components")
+    comps = common.components(near_fingerprints(distinct.select("fp"), radius, groups), "simhash-components")
     # fingerprints are the nodes: an id that repeats with other texts joins nothing
     labelled = distinct.join(comps, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp"))
     low = labelled.groupBy("component").agg(F.min("low").alias("component_id"))

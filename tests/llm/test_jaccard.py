@@ -58,3 +58,34 @@ def test_bitmaps_never_differ_in_more_bits_than_the_sets():
         b = np.unique(np.concatenate([a[: min(n, m) * 9 // 10], rng.integers(0, 1 << 63, m // 5, dtype=np.int64).view(np.uint64) * np.uint64(2)]))
         assert jaccard._differ(jaccard._bitmap(a), jaccard._bitmap(b)) <= len(np.setxor1d(a, b))
         assert jaccard._differ(jaccard._bitmap(a), jaccard._bitmap(a)) == 0
+
+
+def test_a_family_of_edited_copies_is_linked_by_its_centre(spark, monkeypatch):
+    """400 copies with one to three edits each, most of them less similar than 0.8: a few pairs a copy, not all pairs."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(400):
+        w = list(words)
+        for at in rng.integers(0, len(w), int(rng.integers(1, 4))):
+            w[at] = f"x{k}_{at}"
+        texts.append(" ".join(w))
+    counts, own = {}, jaccard.verified
+
+    def counted(docs, sets, pairs, name):
+        pairs = common.stage(pairs, "counted")
+        counts[name] = pairs.count()
+        return own(docs, sets, pairs, name)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
+    assert got == brute.jaccard_components(dict(enumerate(texts)))
+    assert sum(counts.values()) <= 8 * len(texts), counts
+
+
+def test_near_fingerprints_propose_links(spark):
+    """Equal fingerprints and those that the grid join finds within two bits are held against each other."""
+    rows = [(10, 0), (11, 0), (12, 3), (13, 255), (14, -1), (15, -1 ^ (1 << 40))]
+    distinct = spark.createDataFrame(rows, "node long, fp long")
+    assert {tuple(sorted(r)) for r in jaccard._alike(distinct).collect()} == {(10, 11), (10, 12), (14, 15)}
