@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..staging import stage
+from ..staging import stage, unstage
 
 #: Allowed values of enumerated columns.
 ENUMS = {
@@ -164,13 +164,14 @@ class Catalog:
         layout["schema"] = json.loads(out.schema.json())
         width = layout["n"] if touched is None else max(1, len(touched))
         dealt = out.withColumn(BUCKETED, bucket).repartition(min(width, layout["n"]), BUCKETED)
-        dealt.write.mode("errorifexists").partitionBy(BUCKETED).parquet(f"{self.path}/{name}/v{n}")
+        dealt.write.mode("errorifexists").option("compression", "zstd").partitionBy(BUCKETED).parquet(f"{self.path}/{name}/v{n}")
         fs, p = self._fs(f"{self.path}/{name}/v{n}")
         wrote = [str(f.getPath().getName()).partition("=")[2] for f in fs.listStatus(p) if str(f.getPath().getName()).startswith(f"{BUCKETED}=")]
         kept = {} if touched is None else {b: v for b, v in layout["at"].items() if int(b) not in touched}
         layout["at"] = kept | dict.fromkeys(wrote, n)
         note = {k: v for k, v in marker.items() if k != BUCKETED} if note is None else note
         self._finish(name, n, note | {BUCKETED: layout})
+        unstage(rows)
         return sorted(map(int, wrote))
 
     def vacuum(self, name: str, keep: int = 2) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import markdown as M
 from ..functions import text as X
 from ..functions import vectors as V
-from ..staging import stage
+from ..staging import stage, unstage
 from . import blocks, graph, sync
 from . import catalog as C
 
@@ -53,10 +53,13 @@ def run(store: C.Catalog, index: blocks.BlockIndex, incoming: DataFrame, now: in
     keys, and the index gets one segment. Links of other documents that had not been resolved, or that led to one that is
     gone, are tried again. Documents are saved last: a run that fails anywhere is repeated whole by the next one, and each
     step replaces by key, so nothing is left over or doubled. The embedded text names title and section. A table's first
-    merge deals it into `buckets`.
+    merge deals it into `buckets`. What the run stages for itself goes as soon as nothing reads it: a run holds changed
+    texts once, and their chunks once beside those of the catalog.
     """
     known = store.load("documents")
     work = stage(touched(incoming, known, whole, deleted), "touched")
+    # documents are saved without their texts
+    named = stage(work.select(*(c for c in work.columns if c in known.columns or c == "action")), "touched-documents")
     new, ids = work.where("action = 'indexed'"), work.select(F.col("id").alias("document_id"))
     chunks = stage(chunk_rows(new), "chunks")
     # what these documents had before: the table of chunks still says so, as it is replaced after all that hangs on it
@@ -65,17 +68,19 @@ def run(store: C.Catalog, index: blocks.BlockIndex, incoming: DataFrame, now: in
 
     made = V.embed(X.embedding_text(F.col("title"), F.col("heading_path"), F.col("content")), embedder)
     vectors = chunks.select(F.col("id").alias("chunk_id"), V.quantize_i8(made).alias("embedding"))
-    named = before.select(F.col("id").alias("chunk_id"), F.lit(None).cast("array<tinyint>").alias("embedding"))
-    store.merge("chunk_embeddings", vectors.unionByName(named), ["chunk_id"], _replace("chunk_id", F.col("embedding").isNotNull()), buckets)
+    old = before.select(F.col("id").alias("chunk_id"), F.lit(None).cast("array<tinyint>").alias("embedding"))
+    store.merge("chunk_embeddings", vectors.unionByName(old), ["chunk_id"], _replace("chunk_id", F.col("embedding").isNotNull()), buckets)
 
     rows = chunks.drop("title").unionByName(ids, allowMissingColumns=True)
     store.merge("chunks", rows, ["document_id"], _replace("document_id", F.col("id").isNotNull()), buckets)
+    for done in (chunks, before):
+        unstage(done)
 
     def documents(old: DataFrame, rows: DataFrame) -> DataFrame:
         fresh = rows.where("action = 'indexed'").withColumn("last_indexed", F.lit(now).cast("long"))
         return C.upsert_documents(old, sync._as_documents(fresh, old)).join(rows.where("action = 'deleted'").select(*KEYS), KEYS, "left_anti").select(*old.columns)
 
-    after = stage(documents(known, work), "documents-after").select("id", "project_id", "source_doc_id", "file_path", "title")
+    after = stage(documents(known, named), "documents-after").select("id", "project_id", "source_doc_id", "file_path", "title")
     own = new.select(F.col("id").alias("source_id"), F.explode(X.links(F.col("content"))).alias("target_raw"))
     held = store.load("document_links").join(ids.withColumnRenamed("document_id", "source_id"), "source_id", "left_anti")
     gone = work.where("action = 'deleted'").select(F.col("id").alias("target_id"))
@@ -85,5 +90,8 @@ def run(store: C.Catalog, index: blocks.BlockIndex, incoming: DataFrame, now: in
     rows = found.unionByName(ids.withColumnRenamed("document_id", "source_id"), allowMissingColumns=True)
     store.merge("document_links", rows, ["source_id"], _replace("source_id", F.col("target_raw").isNotNull()), buckets)
 
-    store.merge("documents", work, KEYS, documents, buckets)
-    return index, work.select(*KEYS, "action")
+    for done in (work, after, again):
+        unstage(done)
+
+    store.merge("documents", named, KEYS, documents, buckets)
+    return index, named.select(*KEYS, "action")

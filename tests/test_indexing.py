@@ -80,3 +80,16 @@ def test_increment_takes_named_deletions_only(spark, tmp_path):
     assert state(store, index)[0] == ["a", "b", "d", "same"]
     _, done = indexing.run(store, index, some.limit(0), 70, whole=False)
     assert done.count() == 0
+
+
+def test_a_run_leaves_no_staged_copies(spark, tmp_path, monkeypatch):
+    """Of what two runs stage only lists of documents and of links' targets stay; no text, chunk, vector or posting does."""
+    from corpusloom import staging
+
+    for module in (staging, blocks):
+        monkeypatch.setattr(module, "stage_dir", lambda spark: str(tmp_path / "staged"))
+    store = catalog.Catalog(spark, str(tmp_path / "c"))
+    index, _ = indexing.run(store, blocks.BlockIndex.open(spark, str(tmp_path / "i")), table(spark, FIRST), 50, buckets=2)
+    _, done = indexing.run(store, index, table(spark, LATER), 60, buckets=2)
+    assert {r["source_doc_id"]: r["action"] for r in done.collect()} == {"a": "indexed", "c": "deleted", "d": "indexed", "e": "indexed"}
+    assert {p.name.rpartition("-")[0] for p in (tmp_path / "staged").iterdir()} <= {"touched-documents", "link-targets", "link-ends", "suffixes"}
