@@ -19,6 +19,10 @@ from .substrings import mixed
 SHINGLE = 5
 #: Documents from which frequent shingles are told (the order of shingles only, never the result), and how many are kept.
 SAMPLE, FREQUENT = 4_000, 50_000
+#: Shingles that so many sets have among their first ones, or those of twice that number, come after the others; CELLS
+#: hashed cells hold the logarithm of these counts. Like the sample they only settle an order: cells that shingles share
+#: cost time, no result.
+HEAVY, CELLS = 8, 1 << 22
 #: Fewest bits of the parity bitmap of a set; larger sets have as many as shingles, at least. Two bitmaps never differ in
 #: more bits than the sets in shingles.
 BITMAP = 512
@@ -91,7 +95,54 @@ def _all(batches):
             yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(np.int64))], ["shingle"])
 
 
-def _prefixes(batches, frequent: np.ndarray, counts: np.ndarray):
+def _cell(shingles: np.ndarray) -> np.ndarray:
+    return ((shingles * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - CELLS.bit_length())).astype(np.int64)
+
+
+def _ordered(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray, levels: np.ndarray | None = None) -> np.ndarray:
+    """A set's shingles, rare ones first, by an order that is common to all sets: by the sample's count, then by the level of
+    their cell, then by their hash."""
+    level = np.zeros(len(found), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+        level = np.where(frequent[at] == found, counts[at], 0)
+    if levels is not None:
+        level = (level << 8) + levels[_cell(found)]
+    return found[np.argsort(level, kind="stable")]
+
+
+def _first(n: int) -> int:
+    """How many first shingles of a set of n two sets that link share one of."""
+    return n - (4 * n + 4) // 5 + 1
+
+
+def _early(batches, frequent: np.ndarray, counts: np.ndarray):
+    """Twice as many first shingles of each set as a link needs."""
+    for batch in batches:
+        held: list[np.ndarray] = [np.empty(0, np.uint64)]
+        for text in batch.column("text").to_pylist():
+            if len(found := shingles(text)):
+                held.append(_ordered(found, frequent, counts)[: 2 * _first(len(found))])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["shingle"])
+
+
+def _levels(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each cell the logarithm of the largest count of a shingle there that HEAVY sets or more have early; 0: none. At
+    most CELLS rows reach the driver."""
+    heavy = docs.select("text").mapInArrow(lambda it: _early(it, frequent, counts), "shingle long").groupBy("shingle").count().where(F.col("count") >= HEAVY)
+    made = heavy.mapInArrow(_celled, "cell int, level int").groupBy("cell").agg(F.max("level").alias("level")).toPandas()
+    levels = np.zeros(CELLS, np.uint8)
+    levels[made["cell"].to_numpy(np.int64)] = made["level"].to_numpy(np.uint8)
+    return levels
+
+
+def _celled(batches):
+    for batch in batches:
+        cell = _cell(batch.column("shingle").to_numpy().view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.log2(batch.column("count").to_numpy()).astype(np.int32))], ["cell", "level"])
+
+
+def _prefixes(batches, frequent: np.ndarray, counts: np.ndarray, levels: np.ndarray):
     """The first shingles of each set, rare ones first: two sets that link share one of them. Equal sets go once a task
     and hundred thousand sets. `at` holds the set's size and the shingle's place."""
     seen: set[int] = set()
@@ -105,11 +156,7 @@ def _prefixes(batches, frequent: np.ndarray, counts: np.ndarray):
             if len(seen) >= 100_000:
                 seen.clear()
             seen.add(node)
-            level = np.zeros(n, np.int64)
-            if len(frequent):
-                at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-                level = np.where(frequent[at] == found, counts[at], 0)
-            first = found[np.argsort(level, kind="stable")[: n - (4 * n + 4) // 5 + 1]]
+            first = _ordered(found, frequent, counts, levels)[: _first(n)]
             parts.append((first.view(np.int64), np.full(len(first), node, np.uint64).view(np.int64), (n << 31) + np.arange(len(first))))
             held += len(first)
             if held > 100_000:
@@ -228,7 +275,8 @@ def _links(docs: DataFrame, sets: DataFrame, distinct: DataFrame, sample: int) -
     seen = seen.groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(FREQUENT).collect()
     seen.sort(key=lambda r: r["shingle"] % (1 << 64))
     frequent, counts = np.array([r[0] for r in seen], np.int64).view(np.uint64), np.array([r[1] for r in seen], np.int64)
-    rows = docs.select("text").mapInArrow(lambda it: _prefixes(it, frequent, counts), "shingle long, node long, at long")
+    levels = _levels(docs, frequent, counts)
+    rows = docs.select("text").mapInArrow(lambda it: _prefixes(it, frequent, counts, levels), "shingle long, node long, at long")
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("shingle")
     live = common.stage(rows.join(shared, "shingle"), "shingle-prefixes")
 

@@ -84,6 +84,27 @@ def test_a_family_of_edited_copies_is_linked_by_its_centre(spark, monkeypatch):
     assert sum(counts.values()) <= 8 * len(texts), counts
 
 
+def test_a_passage_that_some_texts_share_makes_few_pairs(spark, monkeypatch):
+    """20 passages, each in 30 otherwise different texts, which the sample doesn't show: their shingles come last."""
+    texts = []
+    for k in range(600):
+        own = [f"w{k}_{i}" for i in range(150)]
+        texts.append(" ".join(own[:70] + [f"p{k % 20}_{i}" for i in range(50)] + own[70:]))
+    texts.append(texts[7].replace("w7_3 ", "x "))
+    counts, own = {}, jaccard.verified
+
+    def counted(docs, sets, pairs, name):
+        pairs = common.stage(pairs, "counted")
+        counts[name] = pairs.count()
+        return own(docs, sets, pairs, name)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs, sample=10).collect()}
+    assert got == {k: k for k in range(600)} | {600: 7}
+    assert sum(counts.values()) <= len(texts), counts
+
+
 def test_near_fingerprints_propose_links(spark):
     """Equal fingerprints and those that the grid join finds within two bits are held against each other."""
     rows = [(10, 0), (11, 0), (12, 3), (13, 255), (14, -1), (15, -1 ^ (1 << 40))]
