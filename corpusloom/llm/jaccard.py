@@ -129,17 +129,59 @@ def _early(batches, frequent: np.ndarray, counts: np.ndarray):
 def _levels(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each cell the logarithm of the largest count of a shingle there that HEAVY sets or more have early; 0: none. At
     most CELLS rows reach the driver."""
-    heavy = docs.select("text").mapInArrow(lambda it: _early(it, frequent, counts), "shingle long").groupBy("shingle").count().where(F.col("count") >= HEAVY)
-    made = heavy.mapInArrow(_celled, "cell int, level int").groupBy("cell").agg(F.max("level").alias("level")).toPandas()
+    early = docs.select("text").mapInArrow(lambda it: _early(it, frequent, counts), "shingle long")
+    # nearly all of them are different, so they are sorted and not put in hash tables
+    made = _together(early).mapInArrow(_heavy, "cell int, level int").groupBy("cell").agg(F.max("level").alias("level")).toPandas()
     levels = np.zeros(CELLS, np.uint8)
     levels[made["cell"].to_numpy(np.int64)] = made["level"].to_numpy(np.uint8)
     return levels
 
 
-def _celled(batches):
+def _together(rows: DataFrame) -> DataFrame:
+    """rows dealt and sorted by shingle."""
+    return rows.repartition("shingle").sortWithinPartitions("shingle")
+
+
+def _heavy(batches):
+    """Rows come sorted by shingle. Cell and level of each shingle of HEAVY rows or more."""
+
+    def made(keys, counts):
+        heavy = counts >= HEAVY
+        cell = _cell(keys[heavy].view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.log2(counts[heavy]).astype(np.int32))], ["cell", "level"])
+
+    last, before = np.empty(0, np.int64), np.empty(0, np.int64)  # the last shingle and its rows so far
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        found = batch.column("shingle").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+        keys, counts = found[starts], np.diff(starts, append=len(found))
+        if len(last) and keys[0] == last[0]:
+            counts[0] += before[0]
+        else:
+            keys, counts = np.concatenate([last, keys]), np.concatenate([before, counts])
+        last, before = keys[-1:], counts[-1:]
+        yield made(keys[:-1], counts[:-1])
+    yield made(last, before)
+
+
+def _shared(batches):
+    """Rows come sorted by shingle. Those whose shingle another row has too."""
+    names = ["shingle", "node", "at"]
+    last, met = [np.empty(0, np.int64)] * 3, False  # the last row, and whether the one before it has its shingle
+    made = lambda columns: pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
     for batch in batches:
-        cell = _cell(batch.column("shingle").to_numpy().view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.log2(batch.column("count").to_numpy()).astype(np.int32))], ["cell", "level"])
+        if not batch.num_rows:
+            continue
+        rows = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(last, names, strict=True)]
+        same = rows[0][1:] == rows[0][:-1]
+        keep = np.concatenate([[met], same])
+        keep[:-1] |= same
+        yield made([x[:-1][keep[:-1]] for x in rows])
+        last, met = [x[-1:].copy() for x in rows], bool(keep[-1])
+    if met:
+        yield made(last)
 
 
 def _prefixes(batches, frequent: np.ndarray, counts: np.ndarray, levels: np.ndarray):
@@ -277,8 +319,7 @@ def _links(docs: DataFrame, sets: DataFrame, distinct: DataFrame, sample: int) -
     frequent, counts = np.array([r[0] for r in seen], np.int64).view(np.uint64), np.array([r[1] for r in seen], np.int64)
     levels = _levels(docs, frequent, counts)
     rows = docs.select("text").mapInArrow(lambda it: _prefixes(it, frequent, counts, levels), "shingle long, node long, at long")
-    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("shingle")
-    live = common.stage(rows.join(shared, "shingle"), "shingle-prefixes")
+    live = common.stage(_together(rows).mapInArrow(_shared, rows.schema), "shingle-prefixes")
 
     # first links: each set with the sets that stand first at the most of its own first shingles, and with those that the
     # grid join finds near its fingerprint. The place of a shingle that many near copies share is the number of rarer ones
@@ -317,9 +358,10 @@ def near_duplicates(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     component. Repeated rows give repeated rows; a similarity of exactly 0.8 links; an empty table gives none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", common.text_key().alias("text_key"))
-    sets = common.stage(rows.mapInArrow(_sets, "doc_id long, text_key long, node long, n long, fp long, bits binary"), "shingle-sets")
-    distinct = common.stage(sets.groupBy("node").agg(F.min("doc_id").alias("low"), *(F.first(c).alias(c) for c in ("n", "fp", "bits"))), "shingle-distinct")
-    comps = common.components(_links(rows, sets, distinct, sample), "shingle-components")
+    with common.small_batches(docs.sparkSession):  # all Python of the stage runs here
+        sets = common.stage(rows.mapInArrow(_sets, "doc_id long, text_key long, node long, n long, fp long, bits binary"), "shingle-sets")
+        distinct = common.stage(sets.groupBy("node").agg(F.min("doc_id").alias("low"), *(F.first(c).alias(c) for c in ("n", "fp", "bits"))), "shingle-distinct")
+        comps = common.components(_links(rows, sets, distinct, sample), "shingle-components")
     labelled = _named(distinct.select("node", "low"), comps, "component")
     low = labelled.groupBy("component").agg(F.min("low").alias("component_id"))
     return sets.select("doc_id", "text_key", "node").join(labelled.join(low, "component").select("node", "component_id"), "node", "left").select("doc_id", "text_key", "component_id")

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -110,3 +111,39 @@ def test_near_fingerprints_propose_links(spark):
     rows = [(10, 0), (11, 0), (12, 3), (13, 255), (14, -1), (15, -1 ^ (1 << 40))]
     distinct = spark.createDataFrame(rows, "node long, fp long")
     assert {tuple(sorted(r)) for r in jaccard._alike(distinct).collect()} == {(10, 11), (10, 12), (14, 15)}
+
+
+def _batches(columns, names, cuts):
+    cuts = [0, *sorted(cuts), len(columns[0])]
+    return [pa.RecordBatch.from_arrays([pa.array(x[a:b]) for x in columns], names) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def test_runs_of_shingles_over_batches():
+    """Shared and heavy shingles, however the sorted rows are cut into batches, empty ones included."""
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        found = np.sort(rng.choice(rng.integers(-1 << 62, 1 << 62, 12), int(rng.integers(0, 90))))
+        at = np.arange(len(found))
+        counts, cuts = Counter(found.tolist()), rng.integers(0, len(found) + 1, 6)
+        got = [r for b in jaccard._shared(_batches([found, at, -at], ["shingle", "node", "at"], cuts)) for r in zip(*b.to_pydict().values(), strict=True)]
+        assert got == [(s, i, -i) for s, i in zip(found.tolist(), at.tolist(), strict=True) if counts[s] > 1]
+        got = Counter(r for b in jaccard._heavy(_batches([found], ["shingle"], cuts)) for r in zip(*b.to_pydict().values(), strict=True))
+        heavy = {s: k for s, k in counts.items() if k >= jaccard.HEAVY}
+        assert got == Counter((int(jaccard._cell(np.array([s]).view(np.uint64))[0]), k.bit_length() - 1) for s, k in heavy.items())
+
+
+def test_python_gets_small_batches(spark, monkeypatch):
+    """Every staged step of the near-dedup stage runs under the bound, which holds for real batches and is taken back."""
+    before, seen, own = spark.conf.get(common.BATCH_BYTES), [], common.stage
+    monkeypatch.setattr(common, "stage", lambda df, name: seen.append(spark.conf.get(common.BATCH_BYTES)) or own(df, name))
+    docs = spark.range(2000, numPartitions=1).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 1000) as text")
+    jaccard.near_duplicates(docs).count()
+    assert seen and set(seen) == {"2m"} and spark.conf.get(common.BATCH_BYTES) == before
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["size", "rows"])
+
+    with common.small_batches(spark):
+        got = docs.select("text").mapInArrow(sizes, "size long, rows long").collect()
+    assert max(r["size"] for r in got) < 4 << 20 and sum(r["rows"] for r in got) == 2000
