@@ -21,9 +21,9 @@ def touched(incoming: DataFrame, known: DataFrame, whole: bool = True, deleted:
 
     A known document keeps its id; a new one is numbered by a hash of its key. incoming has one row a document.
     """
-    rows = incoming.withColumn("content_hash", X.content_hash(F.col("content")))
+    hashed = X.content_hash(F.col("content"))
     old = known.select(*KEYS, F.col("id").alias("_id"))
-    new = sync.needs_reindexing(rows, known).where("needs").drop("needs", "id").join(old, KEYS, "left")
+    new = sync.needs_reindexing(incoming.drop("content_hash"), known, hashed).where("needs").drop("needs", "id").withColumn("content_hash", hashed).join(old, KEYS, "left")
     new = new.withColumn("id", F.coalesce("_id", F.xxhash64(*KEYS))).drop("_id").withColumn("action", F.lit("indexed"))
     gone = old.join(deleted.select(*KEYS).distinct(), KEYS, "left_semi") if deleted is not None else old.limit(0)
     if whole:
@@ -66,8 +66,8 @@ def run(store: C.Catalog, index: blocks.BlockIndex, incoming: DataFrame, now: in
     before = stage(store.load("chunks").join(ids, "document_id", "left_semi").select("id"), "chunks-before")
     index = index.update(chunks.select("id", "title", "heading_path", "content"), before)
 
-    made = V.embed(X.embedding_text(F.col("title"), F.col("heading_path"), F.col("content")), embedder)
-    vectors = chunks.select(F.col("id").alias("chunk_id"), V.quantize_i8(made).alias("embedding"))
+    made = V.embed_i8(X.embedding_text(F.col("title"), F.col("heading_path"), F.col("content")), embedder)
+    vectors = chunks.select(F.col("id").alias("chunk_id"), made.alias("embedding"))
     old = before.select(F.col("id").alias("chunk_id"), F.lit(None).cast("array<tinyint>").alias("embedding"))
     store.merge("chunk_embeddings", vectors.unionByName(old), ["chunk_id"], _replace("chunk_id", F.col("embedding").isNotNull()), buckets)
 
@@ -81,7 +81,7 @@ def run(store: C.Catalog, index: blocks.BlockIndex, incoming: DataFrame, now: in
         return C.upsert_documents(old, sync._as_documents(fresh, old)).join(rows.where("action = 'deleted'").select(*KEYS), KEYS, "left_anti").select(*old.columns)
 
     after = stage(documents(known, named), "documents-after").select("id", "project_id", "source_doc_id", "file_path", "title")
-    own = new.select(F.col("id").alias("source_id"), F.explode(X.links(F.col("content"))).alias("target_raw"))
+    own = stage(new.select(F.col("id").alias("source_id"), F.explode(X.links(F.col("content"))).alias("target_raw")), "links-own")
     held = store.load("document_links").join(ids.withColumnRenamed("document_id", "source_id"), "source_id", "left_anti")
     gone = work.where("action = 'deleted'").select(F.col("id").alias("target_id"))
     again = held.where("target_id is null").select("source_id").unionByName(held.join(gone, "target_id", "left_semi").select("source_id")).distinct()
@@ -90,7 +90,7 @@ def run(store: C.Catalog, index: blocks.BlockIndex, incoming: DataFrame, now: in
     rows = found.unionByName(ids.withColumnRenamed("document_id", "source_id"), allowMissingColumns=True)
     store.merge("document_links", rows, ["source_id"], _replace("source_id", F.col("target_raw").isNotNull()), buckets)
 
-    for done in (work, after, again):
+    for done in (work, after, own, again):
         unstage(done)
 
     store.merge("documents", named, KEYS, documents, buckets)

@@ -17,14 +17,16 @@ DEFAULT_INTERVAL, LOCAL_COOLDOWN, REMOTE_COOLDOWN = 7200, 60, 900
 RETRY_BASE, RETRY_CAP, FREE_WAIT, GIVE_UP = 10, 300, 300, 3
 
 
-def needs_reindexing(incoming: DataFrame, indexed: DataFrame) -> DataFrame:
-    """incoming with `needs`: never indexed, or times differ, or (without times) hashes differ, or neither is known."""
+def needs_reindexing(incoming: DataFrame, indexed: DataFrame, content_hash: Column | None = None) -> DataFrame:
+    """incoming with `needs`: never indexed, or times differ, or (without times) hashes differ, or neither is known.
+    content_hash: of incoming, where it isn't a column; it is worked out only where times don't decide."""
+    content_hash = F.col("content_hash") if content_hash is None else content_hash
     known = indexed.select("project_id", "source_doc_id", F.col("updated_at").alias("_at"), F.col("content_hash").alias("_hash"), F.col("last_indexed").alias("_indexed"))
     rows = incoming.join(known, ["project_id", "source_doc_id"], "left")
     needs = (
         F.when(F.col("_indexed").isNull(), True)
         .when(F.col("updated_at").isNotNull() & F.col("_at").isNotNull(), F.col("updated_at") != F.col("_at"))
-        .when(F.col("content_hash").isNotNull() & F.col("_hash").isNotNull(), F.col("content_hash") != F.col("_hash"))
+        .when(content_hash.isNotNull() & F.col("_hash").isNotNull(), content_hash != F.col("_hash"))
         .otherwise(True)
     )
     return rows.withColumn("needs", needs).drop("_at", "_hash", "_indexed")
